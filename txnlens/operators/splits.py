@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnlens.functions import columns as c
+from txnlens.operators.prefix import prior_rows
 
 # Fixed cut points: last step of each stage before the final one.
 THREE_STAGE = {"main": (480, 600), "alternative": (520, 631), "late": (594, 674)}
@@ -36,20 +37,31 @@ def split_quantile(df: DataFrame, cut: int = SINGLE_CUT) -> DataFrame:
     return df.selectExpr("*", f"{stage(['train', 'test'], (cut,))} AS split")
 
 
+def _take_share(df: DataFrame, strata: list[str], row_id: str, seed: str, share: float, out: str) -> DataFrame:
+    """Mark the first ``share`` of each stratum in hash order.
+
+    Strata are few and huge, so the ranking is the split-key prefix count; hash values are
+    uniform and cut evenly.
+    """
+    hashed = df.selectExpr("*", f"{c.md5_number(repr(seed), row_id)} AS _h")
+    ranked = prior_rows(hashed, strata, "_h", {"_rank": ("count", "1")}, tie=[row_id])
+    sizes = F.broadcast(df.groupBy(*strata).agg(F.expr("count(1) AS _n")))
+    return ranked.join(sizes, strata).selectExpr(*df.columns, f"_rank < floor({share!r}D * _n) AS {out}")
+
+
 def split_random_stratified(
     df: DataFrame, label: str = "y", row_id: str = "row_num", seed: int = 42, train: float = 0.8
 ) -> DataFrame:
-    """Hash split per label: the same rows on every run and every cluster, no shuffle.
+    """Exact share of every class for training, drawn by hash: the same on every run.
 
-    The label is part of the hashed text, so each class is drawn on its own; ``inner`` splits
-    the training part once more.
+    ``inner_split`` divides the training part once more.
     """
-    outer = c.md5_unit(f"'{seed}'", label, row_id)
-    inner = c.md5_unit(f"'{seed}-inner'", label, row_id)
-    return df.selectExpr(
-        "*",
-        f"CASE WHEN {outer} < {train} THEN 'train' ELSE 'test' END AS split",
-        f"CASE WHEN {outer} < {train} THEN CASE WHEN {inner} < {train} THEN 'fit' ELSE 'val' END END AS inner_split",
+    outer = _take_share(df, [label], row_id, f"{seed}", train, "_train")
+    inner = _take_share(outer, [label, "_train"], row_id, f"{seed}-inner", train, "_fit")
+    return inner.selectExpr(
+        *df.columns,
+        "CASE WHEN _train THEN 'train' ELSE 'test' END AS split",
+        "CASE WHEN _train THEN CASE WHEN _fit THEN 'fit' ELSE 'val' END END AS inner_split",
     )
 
 
