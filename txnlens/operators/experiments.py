@@ -221,9 +221,9 @@ def block_bootstrap(scored: DataFrame, replicates: int = 200, share: float = 0.0
     return per_rep.agg(F.expr("count(1) AS replicates"), *_summary("nbv", "nbv"), *_summary("recall", "recall"))
 
 
-def blend(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
-    mix = " + ".join(f"{w!r}D * {col}" for col, w in weights.items())
-    return scored.selectExpr("row_num", f"{mix} AS blended")
+def blend(weights: dict[str, float]) -> str:
+    """Weighted sum of model scores as an expression over the wide score frame."""
+    return " + ".join(f"{w!r}D * {col}" for col, w in weights.items())
 
 
 def pareto_points(results: DataFrame, by: str = "universe") -> DataFrame:

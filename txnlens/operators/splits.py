@@ -113,6 +113,13 @@ def fold_test_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
     return df.join(F.broadcast(folds), F.expr("step > cut AND step <= test_end"))
 
 
+def embargo_summary(ranked: DataFrame) -> DataFrame:
+    """Spread of a fold metric per embargo, over folds whose test part has both classes."""
+    usable = ranked.where("positives > 0 AND positives < rows")
+    stats = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+    return usable.groupBy("embargo").agg(*[F.expr(f"{fn}(average_precision) AS {n}") for n, fn in stats.items()])
+
+
 def segment_folds(df: DataFrame, folds: int = 5) -> DataFrame:
     """Expanding folds over equal step segments between the first and last step."""
     span = df.selectExpr("min(step) AS lo", "max(step) + 1 AS hi")

@@ -80,8 +80,8 @@ def rank_ctes(src: str = "scored", keys: tuple[str, ...] = (), name: str = "fr")
     return frontier_ctes(src, keys, name=name) + f""",
 {name}_l AS (SELECT *, lag(tp, 1, 0) OVER w AS tp0, lag(fp, 1, 0) OVER w AS fp0 FROM {name} WINDOW w AS ({part}ORDER BY threshold DESC)),
 {name}_m AS (SELECT {k}(max(np) + max(nn))::BIGINT AS rows, max(np)::BIGINT AS positives,
-  coalesce(sum((tp - tp0)::DOUBLE / nullif(np, 0) * tp / (tp + fp)), 0) AS average_precision,
-  coalesce(sum((fp - fp0)::DOUBLE / nullif(nn, 0) * (tp + tp0) / 2 / nullif(np, 0)), 0.5) AS roc_auc FROM {name}_l{group})"""
+  coalesce(sum((tp - tp0) * (tp / (tp + fp))) / nullif(max(np), 0), 0) AS average_precision,
+  coalesce(sum((fp - fp0) * (tp + tp0) / 2) / nullif(max(np), 0) / nullif(max(nn), 0), 0.5) AS roc_auc FROM {name}_l{group})"""
 
 
 RANK = SCORED + rank_ctes()
