@@ -9,8 +9,9 @@ from txnlens.functions import columns as c
 from txnlens.functions.schema import ALERT_COST, CAPTURE_RATE, FP_AMOUNT_RATE
 from txnlens.operators import frontier as fr
 from txnlens.operators import metrics
-from txnlens.operators.prefix import union_all
+from txnlens.operators.prefix import union_all, value_edges
 from txnlens.operators.splits import stage
+from txnlens.sources.scratch import stored
 
 MODELS = {"main": "score", "weak": "score_b"}
 POLICIES = ["top1", "fpr1", "nbv", "ev", "fpr0.1", "fpr0.25", "fpr0.5", "fpr2"]
@@ -89,20 +90,24 @@ def outcomes_at(points: DataFrame, thresholds: DataFrame, keys: list[str]) -> Da
 
 def factorial_eval(scored: DataFrame) -> DataFrame:
     """Thresholds from the policy part, metrics on the test part, for every combination."""
-    rows = by_model(in_universes(scored))
-    policy, test = rows.where("part = 'policy'"), rows.where("part = 'test'")
-    chosen_on = fr.exact_frontier(policy, KEYS)
+    rows = by_model(in_universes(scored)).where("part IN ('policy', 'test')")
+    # One pass over the rows; everything that follows reads the much smaller points.
+    points = stored(fr.score_points(rows, [*KEYS, "part"]), "points")
+    edges = value_edges(points, "threshold")
+    policy, test = (points.where(f"part = '{part}'").drop("part") for part in ("policy", "test"))
+    chosen_on = fr.frontier_of(policy, KEYS, edges)
     budgets = fr.fpr_budgets(chosen_on, tuple(BUDGETS.values()), KEYS)
     names = " ".join(f"WHEN budget = {b!r}D THEN '{p}'" for p, b in BUDGETS.items())
     thresholds = union_all([
         budgets.selectExpr(*KEYS, f"CASE {names} END AS policy", "threshold"),
         fr.nbv_subsample(chosen_on, keys=KEYS).selectExpr(*KEYS, "'nbv' AS policy", "threshold"),
-        fr.capacity_cut(fr.exact_frontier(test, KEYS), keys=KEYS).selectExpr(*KEYS, "'top1' AS policy", "threshold"),
+        fr.capacity_cut(fr.frontier_of(test, KEYS, edges), keys=KEYS).selectExpr(*KEYS, "'top1' AS policy", "threshold"),
     ])
-    cut = outcomes_at(fr.score_points(test, KEYS), thresholds, KEYS)
-    ev = metrics.outcome(metrics.with_alert(test, f"{metrics.expected_value('score')} > 0"), KEYS)
+    cut = outcomes_at(test, thresholds, KEYS)
+    alerted = metrics.with_alert(rows.where("part = 'test'"), f"{metrics.expected_value('score')} > 0")
+    ev = metrics.outcome(alerted, KEYS)
     together = cut.unionByName(ev.selectExpr("*", "'ev' AS policy", "0D AS threshold"))
-    ranks = fr.ranking_metrics(test, KEYS).select(*KEYS, "average_precision", "roc_auc")
+    ranks = fr.ranking_of(test, KEYS, edges).select(*KEYS, "average_precision", "roc_auc")
     # One ranking row per model and universe: set by the configuration.
     return metrics.guarded_rates(together.join(F.broadcast(ranks), KEYS))
 
@@ -144,9 +149,11 @@ def daily_stability(scored: DataFrame, share: float = 0.01) -> DataFrame:
     """Per model and day: metrics of that day's own top share; days without positives drop out."""
     rows = by_model(scored.selectExpr("*", f"{c.plain_day()} AS day"))
     keys = ["model", "day"]
-    cuts = fr.capacity_cut(fr.exact_frontier(rows, keys), share, keys).selectExpr(*keys, "'top' AS policy", "threshold")
-    totals = outcomes_at(fr.score_points(rows, keys), cuts, keys)
-    ranks = fr.ranking_metrics(rows, keys).select(*keys, "average_precision", "roc_auc")
+    points = stored(fr.score_points(rows, keys), "points")
+    edges = value_edges(points, "threshold")
+    cuts = fr.capacity_cut(fr.frontier_of(points, keys, edges), share, keys)
+    totals = outcomes_at(points, cuts.selectExpr(*keys, "'top' AS policy", "threshold"), keys)
+    ranks = fr.ranking_of(points, keys, edges).select(*keys, "average_precision", "roc_auc")
     return metrics.guarded_rates(totals.where("tp + fn > 0").join(ranks, keys)).drop("policy")
 
 

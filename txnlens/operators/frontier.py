@@ -38,19 +38,16 @@ def class_totals(points: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def exact_frontier(
-    scored: DataFrame, keys: list[str] | None = None, score: str = "score", limit: int = SINGLE_WINDOW_VALUES
-) -> DataFrame:
-    """``scored`` has ``y`` (0/1), ``amount`` and a score; one frontier per value of ``keys``."""
-    keys = keys or []
-    points = score_points(scored, keys, score)
-    edges = value_edges(scored, score, limit)
-    running = cumulate_desc(points, keys, "threshold", TOTALS, edges)
+def frontier_of(points: DataFrame, keys: list[str], edges: list[float] | None = None) -> DataFrame:
+    """Frontier from :func:`score_points`; ``rank`` numbers the thresholds from the top."""
+    ranked = points.selectExpr(*keys, "threshold", *TOTALS, "1L AS rank")
+    running = cumulate_desc(ranked, keys, "threshold", [*TOTALS, "rank"], edges)
     joined = _join_totals(running, class_totals(points, keys), keys)
     captured, alerted = "CAST(tp_amt AS DOUBLE)", "CAST(fp_amt AS DOUBLE)"
     return joined.selectExpr(
         *keys,
         "threshold",
+        "rank",
         "tp",
         "fp",
         "total_pos - tp AS fn",
@@ -66,23 +63,25 @@ def exact_frontier(
     )
 
 
-# --- ranking metrics ---------------------------------------------------------
-def ranking_metrics(
+def exact_frontier(
     scored: DataFrame, keys: list[str] | None = None, score: str = "score", limit: int = SINGLE_WINDOW_VALUES
 ) -> DataFrame:
+    """``scored`` has ``y`` (0/1), ``amount`` and a score; one frontier per value of ``keys``."""
+    keys = keys or []
+    return frontier_of(score_points(scored, keys, score), keys, value_edges(scored, score, limit))
+
+
+# --- ranking metrics ---------------------------------------------------------
+def ranking_of(points: DataFrame, keys: list[str], edges: list[float] | None = None) -> DataFrame:
     """Average precision and ROC area per key, from running counts over distinct scores.
 
     Each point adds its own positives and negatives to the sums, so no neighbour lookup is
     needed: recall grows by pos/total_pos at precision tp/(tp+fp); the area gains
     neg * (tp - pos/2).  With one class missing the area is 0.5.
     """
-    keys = keys or []
-    points = score_points(scored, keys, score)
-    own = points.selectExpr(*keys, "threshold", "tp", "fp", "tp AS pos", "fp AS neg")
-    edges = value_edges(scored, score, limit)
-    running = cumulate_desc(own, keys, "threshold", ["tp", "fp"], edges)
-    both = running.join(own.select(*keys, "threshold", "pos", "neg"), [*keys, "threshold"])
-    folded = both.groupBy(*keys).agg(
+    own = points.selectExpr(*keys, "threshold", "tp AS pos", "fp AS neg", "tp", "fp")
+    running = cumulate_desc(own, keys, "threshold", ["tp", "fp"], edges, keep=["pos", "neg"])
+    folded = running.groupBy(*keys).agg(
         F.expr("sum(pos) AS positives"),
         F.expr("sum(neg) AS negatives"),
         F.expr("sum(pos * (tp / (tp + fp))) AS ap_sum"),
@@ -97,6 +96,16 @@ def ranking_metrics(
     )
 
 
+def ranking_metrics(
+    scored: DataFrame, keys: list[str] | None = None, score: str = "score", limit: int = SINGLE_WINDOW_VALUES
+) -> DataFrame:
+    keys = keys or []
+    counted = scored.groupBy(*keys, F.col(score).alias("threshold")).agg(
+        F.expr("count_if(y = 1) AS tp"), F.expr("count_if(y = 0) AS fp")
+    )
+    return ranking_of(counted, keys, value_edges(scored, score, limit))
+
+
 # --- grid --------------------------------------------------------------------
 GRID = (0.001, 0.999, 500)  # fixed values: first, last and number of grid thresholds
 
@@ -210,17 +219,11 @@ def capacity_cut(frontier: DataFrame, share: float = 0.01, keys: list[str] | Non
 
 
 def nbv_subsample(frontier: DataFrame, candidates: int = 50, keys: list[str] | None = None) -> DataFrame:
-    """Best net value over every (n / candidates)-th frontier row, first maximum wins.
-
-    The rank of a frontier row is its number of higher thresholds, counted with the same
-    prefix helper the frontier itself uses.
-    """
+    """Best net value over every (n / candidates)-th frontier row, first maximum wins."""
     keys = keys or []
-    ones = frontier.selectExpr(*keys, "threshold", "1L AS rank")
-    ranked = cumulate_desc(ones, keys, "threshold", ["rank"], value_edges(frontier, "threshold"))
-    size = frontier.groupBy(*keys).agg(F.expr(f"greatest(1L, count(1) div {candidates}) AS stride"))
-    joined = _join_totals(frontier.join(ranked, [*keys, "threshold"]), size, keys)
-    return argmax(joined.where("(rank - 1) % stride = 0"), "net_value", keys, first="highest")
+    size = frontier.groupBy(*keys).agg(F.expr(f"greatest(1L, max(rank) div {candidates}) AS stride"))
+    every = _join_totals(frontier, size, keys).where("(rank - 1) % stride = 0")
+    return argmax(every, "net_value", keys, first="highest")
 
 
 def top_share(scored: DataFrame, shares: tuple[float, ...], rounding: str = "floor", tie: str = "row_num") -> DataFrame:

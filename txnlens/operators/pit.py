@@ -41,8 +41,33 @@ def past(expr: str, entity: str, hours: int) -> str:
     return f"{expr} OVER (PARTITION BY {entity} ORDER BY step RANGE BETWEEN {hours} PRECEDING AND 1 PRECEDING)"
 
 
+HOURS = sorted({*COUNT_HOURS, *AMOUNT_HOURS, *SENDER_HOURS})
+MEASURES = {
+    **{f"c{h}": "BIGINT" for h in COUNT_HOURS},
+    **{f"a{h}": "DECIMAL(28,2)" for h in AMOUNT_HOURS},
+    **{f"d{h}": "BIGINT" for h in SENDER_HOURS},
+}
+
+
+def _change(at: str, seen: str = "0", **measures: str) -> str:
+    """One change of the running measures of a recipient, taking effect at step ``at``."""
+    cells = ", ".join(f"'{m}', CAST({measures.get(m, '0')} AS {typ})" for m, typ in MEASURES.items())
+    return f"named_struct('at', {at}, 'seen', {seen}, {cells})"
+
+
+def activity_changes(ledger: DataFrame) -> DataFrame:
+    """What each active (recipient, step) adds from the next step on, and takes back when it
+    leaves a window.  Running sums of the changes replace sliding frames."""
+    enter = {**{f"c{h}": "cnt" for h in COUNT_HOURS}, **{f"a{h}": "amt" for h in AMOUNT_HOURS}}
+    changes = [_change("step", seen="1"), _change("step + 1", **enter)]
+    for hours in HOURS:
+        leave = {m: f"-{x}" for m, x in enter.items() if m in (f"c{hours}", f"a{hours}")}
+        changes.append(_change(f"step + {hours + 1}", **leave))
+    return bucketed(ledger, "dest_id").selectExpr("dest_id", f"inline(array({', '.join(changes)}))")
+
+
 def sender_changes(ledger: DataFrame) -> DataFrame:
-    """Per (recipient, step): how many senders become, or stop being, recently seen.
+    """When a sender becomes, or stops being, recently seen by a recipient.
 
     A payment at step u makes its sender recent for steps u+1 .. u+w.  Payments of one
     sender closer than w form one stretch, which counts +1 where it starts and -1 after it
@@ -53,37 +78,32 @@ def sender_changes(ledger: DataFrame) -> DataFrame:
     edges = pairs.selectExpr("dest_id", "step", f"lag(step) {w} AS p", f"lead(step) {w} AS n")
     changes = []
     for hours in SENDER_HOURS:
-        starts = f"p IS NULL OR step - p > {hours}"
-        ends = f"n IS NULL OR n - step > {hours}"
-        zero = {h: "0" for h in SENDER_HOURS}
-        for when, at, sign in ((starts, "step + 1", "1"), (ends, f"step + {hours + 1}", "-1")):
-            deltas = ", ".join(f"'d{h}', {sign if h == hours else zero[h]}" for h in SENDER_HOURS)
-            changes.append(f"CASE WHEN {when} THEN named_struct('at', {at}, {deltas}) END")
-    exploded = edges.selectExpr("dest_id", f"inline(filter(array({', '.join(changes)}), x -> x IS NOT NULL))")
-    return exploded.groupBy("dest_id", F.col("at").alias("step")).agg(
-        *[F.expr(f"sum(d{h}) AS d{h}") for h in SENDER_HOURS]
-    )
+        name = f"d{hours}"
+        changes.append(f"CASE WHEN p IS NULL OR step - p > {hours} THEN {_change('step + 1', **{name: '1'})} END")
+        changes.append(f"CASE WHEN n IS NULL OR n - step > {hours} THEN {_change(f'step + {hours + 1}', **{name: '-1'})} END")
+    return edges.selectExpr("dest_id", f"inline(filter(array({', '.join(changes)}), x -> x IS NOT NULL))")
 
 
 def recipient_history(ledger: DataFrame) -> DataFrame:
-    """All window features per (recipient, step) with activity, in one window pass."""
-    seen = bucketed(ledger, "dest_id").selectExpr("*", *[f"0L AS d{h}" for h in SENDER_HOURS])
-    moves = sender_changes(ledger).selectExpr("dest_id", "step", "0L AS cnt", "CAST(0 AS DECIMAL(28,2)) AS amt",
-                                              *[f"d{h}" for h in SENDER_HOURS])
-    merged = seen.unionByName(moves).groupBy("dest_id", "step").agg(
-        F.expr("sum(cnt) AS cnt"), F.expr("CAST(sum(amt) AS DECIMAL(28,2)) AS amt"),
-        *[F.expr(f"sum(d{h}) AS d{h}") for h in SENDER_HOURS],
+    """All window features per (recipient, step) with activity, in one running-sum pass."""
+    changes = activity_changes(ledger).unionByName(sender_changes(ledger))
+    per_step = changes.groupBy("dest_id", F.col("at").alias("step")).agg(
+        F.expr("max(seen) AS seen"), *[F.expr(f"CAST(sum({m}) AS {typ}) AS {m}") for m, typ in MEASURES.items()]
     )
-    running = "OVER (PARTITION BY dest_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return merged.selectExpr(
+    w = "OVER (PARTITION BY dest_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND {to})"
+    now, before = w.format(to="CURRENT ROW"), w.format(to="1 PRECEDING")
+    running = per_step.selectExpr(
+        "dest_id", "step", "seen", *[f"sum({m}) {now} AS {m}" for m in MEASURES],
+        f"step - max(CASE WHEN seen = 1 THEN step END) {before} AS since",
+    )
+    return running.where("seen = 1").selectExpr(
         "dest_id",
         "step",
-        "cnt",
-        *[f"coalesce({past('sum(cnt)', 'dest_id', h)}, 0L) AS pit_prior_count_{h}h" for h in COUNT_HOURS],
-        *[f"coalesce(CAST({past('sum(amt)', 'dest_id', h)} AS DOUBLE), 0D) AS pit_prior_amount_{h}h" for h in AMOUNT_HOURS],
-        *[f"sum(d{h}) {running} AS pit_distinct_senders_{h}h" for h in SENDER_HOURS],
-        f"coalesce(step - {past('max(CASE WHEN cnt > 0 THEN step END)', 'dest_id', LOOKBACK)}, {NEVER}L) AS pit_steps_since_last_event",
-    ).where("cnt > 0").drop("cnt")
+        *[f"c{h} AS pit_prior_count_{h}h" for h in COUNT_HOURS],
+        *[f"CAST(a{h} AS DOUBLE) AS pit_prior_amount_{h}h" for h in AMOUNT_HOURS],
+        *[f"d{h} AS pit_distinct_senders_{h}h" for h in SENDER_HOURS],
+        f"CASE WHEN since <= {LOOKBACK} THEN since ELSE {NEVER}L END AS pit_steps_since_last_event",
+    )
 
 
 def pit_frame(ledger: DataFrame) -> DataFrame:

@@ -111,16 +111,23 @@ def value_edges(df: DataFrame, value: str, limit: int = SINGLE_WINDOW_VALUES) ->
 
 
 def cumulate_desc(
-    points: DataFrame, keys: list[str], value: str, sums: list[str], edges: list[float] | None = None
+    points: DataFrame,
+    keys: list[str],
+    value: str,
+    sums: list[str],
+    edges: list[float] | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Replace each column in ``sums`` by its running total over ``value`` descending.
 
-    ``points`` has one row per (keys, value).  With ``edges`` the order is cut into value
-    ranges: windows run per range and the totals of the higher ranges are added.
+    ``points`` has one row per (keys, value); columns in ``keep`` pass through.  With
+    ``edges`` the order is cut into value ranges: windows run per range and the totals of the
+    higher ranges are added.
     """
     down = [f"{value} DESC"]
+    kept = [*keys, value, *(keep or [])]
     if not edges:
-        return points.selectExpr(*keys, value, *[f"sum({c}) {_over(keys, down, UP_TO)} AS {c}" for c in sums])
+        return points.selectExpr(*kept, *[f"sum({c}) {_over(keys, down, UP_TO)} AS {c}" for c in sums])
     cut = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=value, outputCol="_chunk")
     rows = cut.transform(points)
     inside = [*keys, "_chunk"]
@@ -130,8 +137,8 @@ def cumulate_desc(
     carry = totals.selectExpr(
         *inside, *[f"sum(_tot_{c}) {_over(keys, ['_chunk DESC'], BEFORE)} AS _carry_{c}" for c in sums]
     )
-    joined = rows.selectExpr(*inside, value, *local).join(carry, inside, "left")
-    return joined.selectExpr(*keys, value, *[f"_here_{c} + coalesce(_carry_{c}, 0) AS {c}" for c in sums])
+    joined = rows.selectExpr(*kept, "_chunk", *local).join(carry, inside, "left")
+    return joined.selectExpr(*kept, *[f"_here_{c} + coalesce(_carry_{c}, 0) AS {c}" for c in sums])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.functions.schema import NUMERIC_FEATURES
-from txnlens.operators.prefix import HOT_ROWS, prior_rows, quantiles, union_all
+from txnlens.operators.prefix import HOT_ROWS, prior_rows, union_all
 
 
 def result(check: str, frame: DataFrame, observed: str, ok: str, bound: str) -> DataFrame:
@@ -132,25 +132,60 @@ def skew_audit(logged: DataFrame, recomputed: DataFrame, tolerance: float = 1e-9
 
 
 # --- statistics --------------------------------------------------------------
-def unpivot_numeric(gold: DataFrame, features: list[str], *ids: str) -> DataFrame:
-    pairs = ", ".join(f"named_struct('feature', '{f}', 'v', {f})" for f in features)
-    return gold.selectExpr(*ids, f"inline(array({pairs}))").where("v IS NOT NULL")
+SKETCH = 10_000  # a sketch of this accuracy misses a rank by at most rows / SKETCH
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def feature_stats(gold: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Mean, std and quartiles of every numeric feature in one job.
+def feature_stats(gold: DataFrame, features: list[str] | None = None, sketch: int = SKETCH) -> DataFrame:
+    """Mean, std and exact quartiles of every numeric feature.
 
-    Quartiles come from value counts per feature, so no task holds a column's values.
+    Three column-pruned passes, none of which shuffles the table: sketches bracket each
+    quartile; one pass counts what lies below each bracket; one keeps only the values inside
+    the brackets (a few per ten thousand), among which the exact rank is picked.  Brackets
+    are read once and used as literals, so both passes see the same ones.
     """
     names = features or NUMERIC_FEATURES
-    moments = gold.selectExpr(
-        *[f"struct(count({f}) AS n, avg({f}) AS mean, stddev_samp({f}) AS std) AS {f}" for f in names]
+    slack = 2.0 / sketch
+    probs = [q for p in QUARTILES.values() for q in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    at = ", ".join(f"{q!r}D" for q in probs)
+    first = gold.selectExpr(
+        *[f"struct(count({f}) AS n, avg({f}) AS mean, stddev_samp({f}) AS std, "
+          f"percentile_approx({f}, array({at}), {sketch}) AS cuts) AS {f}" for f in names]
+    ).first()
+    brackets, rows = [], []
+    for f in names:
+        s = first[f]
+        rows.append((f, s["n"], s["mean"], s["std"]))
+        if s["n"]:
+            brackets += [(f, name, p, s["n"], s["cuts"][2 * i], s["cuts"][2 * i + 1]) for i, (name, p) in enumerate(QUARTILES.items())]
+    base = gold.sparkSession.createDataFrame(rows, "feature string, n long, mean double, std double")
+    if not brackets:
+        return base.selectExpr("*", *[f"CAST(NULL AS DOUBLE) AS {name}" for name in QUARTILES])
+    quart = F.broadcast(_ranked_values(gold, brackets))  # one row per feature
+    return base.join(quart, "feature", "left")
+
+
+def _ranked_values(gold: DataFrame, brackets: list[tuple]) -> DataFrame:
+    below = gold.selectExpr(*[f"count_if({f} < {lo!r}D) AS b{i}" for i, (f, _, _, _, lo, _) in enumerate(brackets)]).first()
+    spark = gold.sparkSession
+    wanted = spark.createDataFrame(
+        [(f, name, p * (n - 1), below[i]) for i, (f, name, p, n, _, _) in enumerate(brackets)],
+        "feature string, q string, rank double, below long",
+    )
+    inside = ", ".join(
+        f"CASE WHEN {f} BETWEEN {lo!r}D AND {hi!r}D THEN named_struct('feature', '{f}', 'q', '{name}', 'v', {f}) END"
+        for f, name, _, _, lo, hi in brackets
+    )
+    values = gold.selectExpr(f"inline(filter(array({inside}), x -> x IS NOT NULL))")
+    counts = values.groupBy("feature", "q", "v").agg(F.expr("count(1) AS n"))
+    running = counts.selectExpr("feature", "q", "v", "sum(n) OVER (PARTITION BY feature, q ORDER BY v) AS upto")
+    placed = running.join(F.broadcast(wanted), ["feature", "q"]).groupBy("feature", "q", "rank").agg(
+        F.expr("min(v) FILTER (WHERE below + upto > floor(rank)) AS lo"),
+        F.expr("min(v) FILTER (WHERE below + upto > ceil(rank)) AS hi"),
+    )
+    return placed.groupBy("feature").agg(
+        *[F.expr(f"max(lo + (hi - lo) * (rank - floor(rank))) FILTER (WHERE q = '{name}') AS {name}") for name in QUARTILES]
     )
-    pairs = ", ".join(f"named_struct('feature', '{f}', 's', {f})" for f in names)
-    wide = moments.selectExpr(f"inline(array({pairs}))").selectExpr("feature", "s.n AS n", "s.mean AS mean", "s.std AS std")
-    long = unpivot_numeric(gold, names)
-    quart = quantiles(long, ["feature"], "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return wide.join(F.broadcast(quart), "feature", "left")  # one row per feature
 
 
 def drift(baseline: DataFrame, window: DataFrame) -> DataFrame:

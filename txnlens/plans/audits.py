@@ -10,6 +10,7 @@ from txnlens.plans.inputs import (
 )
 from txnlens.plans.registry import query
 from txnlens.sources import events
+from txnlens.sources.scratch import stored
 
 LOW, HIGH = 0.001, 0.05  # bounds that fit this ledger
 
@@ -85,7 +86,9 @@ def dq_balance_gap(spark, d):
       UNION ALL SELECT 'balance_gap', 'pass', (count(*) FILTER (WHERE balance_gap_flag = 1))::DOUBLE, 'advisory' FROM gold"""),
 )
 def dq_suite(spark, d):
-    return rounded(q.suite(ledger(spark, d), silver(spark, d), gold(spark, d), LOW, HIGH), "observed")
+    layer = stored(silver(spark, d), "silver")
+    features = stored(account_features(layer), "gold")
+    return rounded(q.suite(ledger(spark, d), layer, features, LOW, HIGH), "observed")
 
 
 @query("expected_row_count", with_ctes(LEDGER, "SELECT count(*) AS rows, true AS dense FROM ledger"))
@@ -123,7 +126,7 @@ def stats_sql(src: str) -> str:
 @query("feature_stats", with_ctes(GOLD + f", st AS ({stats_sql('gold')})",
        "SELECT feature, n, " + ", ".join(f"rnd({s}, 6) AS {s}" for s in STATS) + " FROM st"))
 def feature_stats(spark, d):
-    return rounded(q.feature_stats(gold(spark, d)), *STATS)
+    return rounded(q.feature_stats(stored(gold(spark, d), "gold")), *STATS)
 
 
 DRIFT_FEATURES = ["amount", "amount_z_vs_prior", "seconds_since_last_txn", "amount_to_balance_ratio", "hour_of_day"]
@@ -144,7 +147,7 @@ def _drift_stats(src: str, where: str) -> str:
       rnd((w.p50 - b.p50) / b.std, 6) AS median_shift, rnd(w.std / b.std, 6) AS spread_ratio FROM b JOIN w USING (feature)"""),
 )
 def drift_check(spark, d):
-    rows = gold(spark, d)
+    rows = stored(gold(spark, d).select("event_ts_us", *DRIFT_FEATURES), "gold")
     base = q.feature_stats(rows.where(f"event_ts_us < {SPLIT_US}"), DRIFT_FEATURES)
     window = q.feature_stats(rows.where(f"event_ts_us >= {SPLIT_US}"), DRIFT_FEATURES)
     return rounded(q.drift(base, window), *DRIFT)

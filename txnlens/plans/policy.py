@@ -39,7 +39,7 @@ def front(spark, d):
 
 @query("exact_frontier", with_ctes(FR, "SELECT threshold, tp, fp, fn, tn, " + ", ".join(f"rnd({x}, 6) AS {x}" for x in DOUBLES) + " FROM fr"))
 def exact_frontier(spark, d):
-    return rounded(front(spark, d), *DOUBLES)
+    return rounded(front(spark, d).drop("rank"), *DOUBLES)
 
 
 _LO, _HI, _N = frontier.GRID
