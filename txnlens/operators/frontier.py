@@ -128,10 +128,10 @@ def threshold_grid(scored: DataFrame, keys: list[str] | None = None, grid=GRID)
     # The division can land one cell off; compare with the real thresholds and correct.
     cell = (
         f"CASE WHEN score < {lo!r}D THEN -1 "
-        f"WHEN g + 1 <= {n - 1} AND score >= {at.format(i='(g + 1)')} THEN g + 1 "
-        f"WHEN score < {at.format(i='g')} THEN g - 1 ELSE least(g, {n - 1}) END"
+        f"WHEN _g + 1 <= {n - 1} AND score >= {at.format(i='(_g + 1)')} THEN _g + 1 "
+        f"WHEN score < {at.format(i='_g')} THEN _g - 1 ELSE _g END"
     )
-    placed = scored.selectExpr(*keys, "y", "amount", "score", f"least({guess}, {n - 1}) AS g").selectExpr(
+    placed = scored.selectExpr(*keys, "y", "amount", "score", f"least({guess}, {n - 1}) AS _g").selectExpr(
         *keys, "y", "amount", f"CAST({cell} AS INT) AS cell"
     )
     counts = score_points(placed, keys, "cell").withColumnRenamed("threshold", "cell")

@@ -76,7 +76,8 @@ def platt(scored: DataFrame, window: str) -> DataFrame:
     """Logistic curve on the raw score, fitted on ``window`` rows; other rows are scored too."""
     prep = VectorAssembler(inputCols=["score"], outputCol="s")
     curve = LogisticRegression(featuresCol="s", labelCol="y", maxIter=50).fit(prep.transform(scored.where(window)))
-    return curve.transform(prep.transform(scored)).select(*scored.columns, vector_to_array("probability")[1].alias("calibrated"))
+    slope, shift = float(curve.coefficients[0]), float(curve.intercept)
+    return scored.selectExpr("*", f"1D / (1D + exp(-({slope!r}D * score + {shift!r}D))) AS calibrated")
 
 
 def isotonic(scored: DataFrame, window: str) -> DataFrame:

@@ -168,7 +168,7 @@ def split_random_stratified(spark, d):
 @query(
     "split_summary",
     with_ctes(SCORED, f"""SELECT split, count(*) AS rows, sum(y)::BIGINT AS positives, rnd(sum(amount), 6) AS amount,
-      rnd(sum(amount) FILTER (WHERE y = 1), 6) AS positive_amount, rnd(count(*) / sum(count(*)) OVER (), 6) AS row_share,
+      rnd(coalesce(sum(amount) FILTER (WHERE y = 1), 0), 6) AS positive_amount, rnd(count(*) / sum(count(*)) OVER (), 6) AS row_share,
       rnd(avg(y), 6) AS positive_rate FROM (SELECT *, {FOUR} FROM scored) GROUP BY split"""),
 )
 def split_summary(spark, d):
