@@ -39,11 +39,12 @@ def test_suite_reports_a_failure(spark):
     assert got["row_parity"] == got["first_txn"] == got["ts_strict"] == got["no_infinite"] == "pass"
 
 
-def test_feature_stats_are_exact_with_a_coarse_sketch(spark):
+@pytest.mark.parametrize("sketch", [50, 10_000])
+def test_feature_stats_are_exact(spark, sketch):
     rng = np.random.default_rng(4)
     vals = np.round(np.concatenate([rng.exponential(50, 3000), np.full(1500, 7.0)]), 3)
     df = spark.createDataFrame([(float(v), None if i % 5 else float(i)) for i, v in enumerate(vals)], "a double, b double")
-    got = {r.feature: r for r in q.feature_stats(df, ["a", "b"], sketch=50).collect()}
+    got = {r.feature: r for r in q.feature_stats(df, ["a", "b"], sketch=sketch).collect()}
     b = np.arange(0, len(vals), 5)
     for name, v in (("a", vals), ("b", b)):
         assert got[name].n == len(v)

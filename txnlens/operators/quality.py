@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,54 +136,67 @@ def skew_audit(logged: DataFrame, recomputed: DataFrame, tolerance: float = 1e-9
 # --- statistics --------------------------------------------------------------
 SKETCH = 10_000  # a sketch of this accuracy misses a rank by at most rows / SKETCH
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+BRACKETS = "feature string, q string, rank double, lo double, hi double"
 
 
 def feature_stats(gold: DataFrame, features: list[str] | None = None, sketch: int = SKETCH) -> DataFrame:
     """Mean, std and exact quartiles of every numeric feature.
 
-    Three column-pruned passes, none of which shuffles the table: sketches bracket each
-    quartile; one pass counts what lies below each bracket; one keeps only the values inside
-    the brackets (a few per ten thousand), among which the exact rank is picked.  Brackets
-    are read once and used as literals, so both passes see the same ones.
+    Three passes, none of which shuffles the table: sketches bracket each quartile; one pass
+    counts what lies outside each bracket; one keeps only the values inside the brackets (a
+    few per ten thousand rows), among which the exact rank is picked.  Brackets are read
+    once, a few per feature, so all passes see the same ones.
     """
-    names = features or NUMERIC_FEATURES
-    slack = 2.0 / sketch
-    probs = [q for p in QUARTILES.values() for q in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    at = ", ".join(f"{q!r}D" for q in probs)
-    first = gold.selectExpr(
-        *[f"struct(count({f}) AS n, avg({f}) AS mean, stddev_samp({f}) AS std, "
-          f"percentile_approx({f}, array({at}), {sketch}) AS cuts) AS {f}" for f in names]
-    ).first()
-    brackets, rows = [], []
-    for f in names:
-        s = first[f]
-        rows.append((f, s["n"], s["mean"], s["std"]))
-        if s["n"]:
-            brackets += [(f, name, p, s["n"], s["cuts"][2 * i], s["cuts"][2 * i + 1]) for i, (name, p) in enumerate(QUARTILES.items())]
-    base = gold.sparkSession.createDataFrame(rows, "feature string, n long, mean double, std double")
-    if not brackets:
-        return base.selectExpr("*", *[f"CAST(NULL AS DOUBLE) AS {name}" for name in QUARTILES])
-    quart = F.broadcast(_ranked_values(gold, brackets))  # one row per feature
-    return base.join(quart, "feature", "left")
-
-
-def _ranked_values(gold: DataFrame, brackets: list[tuple]) -> DataFrame:
-    below = gold.selectExpr(*[f"count_if({f} < {lo!r}D) AS b{i}" for i, (f, _, _, _, lo, _) in enumerate(brackets)]).first()
     spark = gold.sparkSession
-    wanted = spark.createDataFrame(
-        [(f, name, p * (n - 1), below[i]) for i, (f, name, p, n, _, _) in enumerate(brackets)],
-        "feature string, q string, rank double, below long",
-    )
-    inside = ", ".join(
-        f"CASE WHEN {f} BETWEEN {lo!r}D AND {hi!r}D THEN named_struct('feature', '{f}', 'q', '{name}', 'v', {f}) END"
-        for f, name, _, _, lo, hi in brackets
+    names = features or NUMERIC_FEATURES
+    narrow, wide = 2.0 / sketch, max(0.01, 4.0 / sketch)
+    at = ", ".join(f"{p + s!r}D" for p in QUARTILES.values() for s in (-wide, -narrow, narrow, wide))
+    pairs = ", ".join(f"named_struct('feature', '{f}', 'v', {f})" for f in names)
+    long = gold.selectExpr(f"inline(array({pairs}))")
+    first = long.groupBy("feature").agg(
+        F.expr("count(v) AS n"), F.expr("avg(v) AS mean"), F.expr("stddev_samp(v) AS std"),
+        F.expr(f"percentile_approx(v, array({at}), {sketch}) AS cuts"),
+    ).collect()  # one row per feature
+    brackets = []
+    for r in first:
+        for i, (name, p) in enumerate(QUARTILES.items() if r["n"] else ()):
+            outer_lo, inner_lo, inner_hi, outer_hi = r["cuts"][4 * i: 4 * i + 4]
+            if r["n"] >= 20 * sketch:
+                lo, hi = inner_lo, inner_hi
+            elif r["n"] * wide >= 10:  # a narrow bracket would be less than a few rows
+                lo, hi = outer_lo, outer_hi
+            else:
+                lo, hi = -math.inf, math.inf
+            brackets.append((r["feature"], name, p * (r["n"] - 1), lo, hi))
+    base = spark.createDataFrame(
+        [(r["feature"], r["n"], r["mean"], r["std"]) for r in first], "feature string, n long, mean double, std double"
     )
-    values = gold.selectExpr(f"inline(filter(array({inside}), x -> x IS NOT NULL))")
-    counts = values.groupBy("feature", "q", "v").agg(F.expr("count(1) AS n"))
-    running = counts.selectExpr("feature", "q", "v", "sum(n) OVER (PARTITION BY feature, q ORDER BY v) AS upto")
-    placed = running.join(F.broadcast(wanted), ["feature", "q"]).groupBy("feature", "q", "rank").agg(
-        F.expr("min(v) FILTER (WHERE below + upto > floor(rank)) AS lo"),
-        F.expr("min(v) FILTER (WHERE below + upto > ceil(rank)) AS hi"),
+    values = long.where("v IS NOT NULL")
+    return base.join(F.broadcast(_ranked_values(values, brackets)), "feature", "left")  # one row per feature
+
+
+def _ranked_values(values: DataFrame, brackets: list[tuple]) -> DataFrame:
+    """Exact values at the wanted ranks; each bracket is checked and widened if it misses."""
+    spark = values.sparkSession
+    sides = values.join(F.broadcast(spark.createDataFrame(brackets, BRACKETS)), "feature").groupBy("feature", "q").agg(
+        F.expr("count_if(v < lo) AS below"), F.expr("count_if(v > hi) AS above"), F.expr("count(1) AS n")
+    ).collect()  # one row per bracket
+    outside = {(r["feature"], r["q"]): r for r in sides}
+    checked = []
+    for f, name, rank, lo, hi in brackets:
+        r = outside[f, name]
+        below = r["below"]
+        if below > math.floor(rank):
+            lo, below = -math.inf, 0
+        if r["n"] - r["above"] <= math.ceil(rank):
+            hi = math.inf
+        checked.append((f, name, rank, lo, hi, below))
+    wanted = F.broadcast(spark.createDataFrame(checked, BRACKETS + ", below long"))
+    inside = values.join(wanted, "feature").where("v BETWEEN lo AND hi")
+    counts = inside.groupBy("feature", "q", "rank", "below", "v").agg(F.expr("count(1) AS n"))
+    running = counts.selectExpr("*", "below + sum(n) OVER (PARTITION BY feature, q ORDER BY v) AS upto")
+    placed = running.groupBy("feature", "q", "rank").agg(
+        F.expr("min(v) FILTER (WHERE upto > floor(rank)) AS lo"), F.expr("min(v) FILTER (WHERE upto > ceil(rank)) AS hi")
     )
     return placed.groupBy("feature").agg(
         *[F.expr(f"max(lo + (hi - lo) * (rank - floor(rank))) FILTER (WHERE q = '{name}') AS {name}") for name in QUARTILES]
