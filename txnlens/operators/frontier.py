@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from txnlens.functions import columns as c
 from txnlens.functions.schema import ALERT_COST, CAPTURE_RATE, FP_AMOUNT_RATE
 from txnlens.operators.prefix import SINGLE_WINDOW_VALUES, cumulate_desc, prior_rows, value_edges
+from txnlens.sources.scratch import stored
 
 TOTALS = ["tp", "fp", "tp_amt", "fp_amt"]
 NBV = f"({CAPTURE_RATE}D * {{tp}} - {FP_AMOUNT_RATE}D * {{fp}} - {ALERT_COST}D * ({{n}}))"
@@ -240,14 +241,14 @@ def top_share(scored: DataFrame, shares: tuple[float, ...], rounding: str = "flo
     )
     cuts = frontier.selectExpr("threshold", "tp", "fp", "fn", f"inline(array({parts}))")
     whole = "tp + fp <= flagged"
-    picked = cuts.groupBy("share", "flagged").agg(
+    picked = cuts.groupBy("share", "flagged").agg(  # one row per share asked for
         F.expr(f"coalesce(max(tp + fp) FILTER (WHERE {whole}), 0L) AS taken"),
         F.expr(f"coalesce(max(tp) FILTER (WHERE {whole}), 0L) AS tp_whole"),
         F.expr(f"max(threshold) FILTER (WHERE NOT ({whole})) AS cut_score"),
         F.expr("max(tp + fn) AS total_pos"),
     )
+    picked = stored(picked, "cuts")
     open_cuts = F.broadcast(picked.where("cut_score IS NOT NULL AND taken < flagged"))
-    # one row per share asked for
     straddling = scored.join(open_cuts, F.expr("score = cut_score")).selectExpr("share", "flagged - taken AS room", tie, "y")
     ordered = prior_rows(straddling, ["share"], tie, {"_rank": ("count", "1")})
     extra = ordered.where("_rank < room").groupBy("share").agg(F.expr("sum(y) AS tp_part"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from txnlens.functions import columns as c
 from txnlens.functions.schema import ALERT_COST, CAPTURE_RATE, EV_MULTIPLIER, FP_AMOUNT_RATE
 from txnlens.operators.frontier import fbeta, ranking_metrics
+from txnlens.sources.scratch import stored
 
 def with_alert(scored: DataFrame, condition: str) -> DataFrame:
     return scored.selectExpr("*", f"({condition}) AS alert")
@@ -166,6 +167,6 @@ def redecide(events: DataFrame, labels: DataFrame, threshold: float) -> DataFram
 
 def axis_points(events: DataFrame, x: str, y: str) -> DataFrame:
     """Two fields of the nested records per event, rows lacking either dropped but counted."""
-    points = events.selectExpr("event_id", f"{x} AS x", f"{y} AS y", "decision AS color")
+    points = stored(events.selectExpr("event_id", f"{x} AS x", f"{y} AS y", "decision AS color"), "points")
     dropped = points.selectExpr("count_if(x IS NULL OR y IS NULL) AS excluded")
     return points.where("x IS NOT NULL AND y IS NOT NULL").crossJoin(F.broadcast(dropped))

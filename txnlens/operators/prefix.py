@@ -63,8 +63,9 @@ def prior_rows(
 ) -> DataFrame:
     """Add one column per aggregate over the rows of the same key strictly before this one.
 
-    ``pos`` is the leading integer ordering column and ``tie`` the columns that break its
-    ties.  ``aggs`` maps an output name to ``(count|sum|min|max, expression)``.  With ``prev``
+    ``df`` is read up to three times (finding hot keys, the windows, chunk totals), so it
+    should be a table or cheap to compute.  ``pos`` is the leading integer ordering column and
+    ``tie`` the columns that break its ties.  ``aggs`` maps an output name to ``(count|sum|min|max, expression)``.  With ``prev``
     a struct column ``prev`` holds those columns of the immediately preceding row.
     """
     order = [pos, *(tie or [])]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from txnlens.functions.schema import LABEL_COLUMNS
 from txnlens.operators.account import account_features
 from txnlens.operators.prefix import HOT_ROWS, recent_values
+from txnlens.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -61,9 +62,9 @@ def score_sequential(
     a bounded window frame holds; the recurrence itself is one ``aggregate`` expression.
     ``states`` (``account_id``, ``last_fraud_score``) seeds accounts scored before.
     """
-    features = account_features(txn, hot_rows=hot_rows).selectExpr(
+    features = stored(account_features(txn, hot_rows=hot_rows).selectExpr(
         "event_id", "account_id", "event_ts_us", "seconds_since_last_txn", "txn_count_prior", f"{model.margin()} AS margin"
-    )
+    ), "margins")
     depth = model.depth()
     recent = recent_values(features, ["account_id"], "event_ts_us", ["event_id"], "margin", depth + 1, "margins", hot_rows)
     if states is not None:

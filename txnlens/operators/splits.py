@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions import columns as c
 from txnlens.operators.prefix import prior_rows
+from txnlens.sources.scratch import stored
 
 # Fixed cut points: last step of each stage before the final one.
 THREE_STAGE = {"main": (480, 600), "alternative": (520, 631), "late": (594, 674)}
@@ -56,7 +57,7 @@ def split_random_stratified(
 
     ``inner_split`` divides the training part once more.
     """
-    outer = _take_share(df, [label], row_id, f"{seed}", train, "_train")
+    outer = stored(_take_share(df, [label], row_id, f"{seed}", train, "_train"), "outer")
     inner = _take_share(outer, [label, "_train"], row_id, f"{seed}-inner", train, "_fit")
     return inner.selectExpr(
         *df.columns,

@@ -7,7 +7,7 @@ from txnlens.functions.schema import COLD_START_NULL, FEATURES, GOLD_COLUMNS, NU
 from txnlens.operators.account import account_features, cold_start_violations, column_role, null_counts
 from txnlens.operators.medallion import event_id, to_silver, with_event_ts
 from txnlens.plans.inputs import (
-    GOLD, LEDGER, SCORED_GOLD, SILVER, gold, ledger, r6_list, rounded, scored_silver, silver, with_ctes,
+    GOLD, LEDGER, SCORED_GOLD, SILVER, gold, ledger, r6_list, rounded, scored_silver_table, silver, with_ctes,
 )
 from txnlens.plans.registry import query
 
@@ -98,7 +98,7 @@ for _name, _cols in GROUPS.items():
 
 @query("f_prev_score", with_ctes(SCORED_GOLD, "SELECT event_id, prev_fraud_score FROM gold"))
 def f_prev_score(spark, d):
-    return account_features(scored_silver(spark, d), score="score").select("event_id", "prev_fraud_score")
+    return account_features(scored_silver_table(spark, d), score="score").select("event_id", "prev_fraud_score")
 
 
 _OTHER = [x for x in GOLD_COLUMNS if x not in NUMERIC_FEATURES]

@@ -6,7 +6,7 @@ from txnlens.functions.schema import NUMERIC_FEATURES
 from txnlens.operators import quality as q
 from txnlens.operators.account import account_features
 from txnlens.plans.inputs import (
-    GOLD, LEDGER, SCORED_GOLD, SILVER, gold, ledger, rounded, scored_silver, scored_with_features, silver, with_ctes,
+    GOLD, LEDGER, SCORED_GOLD, SILVER, gold, ledger, rounded, scored_silver_table, scored_with_features, silver, with_ctes,
 )
 from txnlens.plans.registry import query
 from txnlens.sources import events
@@ -111,7 +111,7 @@ def skew_audit(spark, d):
             "* EXCEPT (f)",
             "struct(f.* EXCEPT (amount_velocity), f.amount_velocity + CASE WHEN txn_type = 'DEBIT' THEN 1D ELSE 0D END AS amount_velocity) AS f"),
     )
-    return q.skew_audit(logged, account_features(scored_silver(spark, d), score="score"))
+    return q.skew_audit(logged, account_features(scored_silver_table(spark, d), score="score"))
 
 
 STATS = ["mean", "std", "p25", "p50", "p75"]

@@ -16,6 +16,7 @@ from txnlens.plans.policy import FR, frontier_ctes
 from txnlens.plans.registry import query
 from txnlens.plans.tables import LABEL_CTE
 from txnlens.sources import events, fixture
+from txnlens.sources.scratch import stored
 
 T = 0.7
 ALERT = f"score >= {T}"
@@ -269,7 +270,7 @@ PROBS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 )
 def latency_summary(spark, d):
     """Summary of a duration column; here the wait between an account's transactions."""
-    waits = gold(spark, d).select("seconds_since_last_txn")
+    waits = stored(gold(spark, d).select("seconds_since_last_txn"), "waits")
     points = quantiles(waits, [], "seconds_since_last_txn", PROBS)
     mean = waits.selectExpr("avg(seconds_since_last_txn) AS mean")
     return rounded(mean.crossJoin(F.broadcast(points)), "mean", *PROBS)

@@ -9,6 +9,7 @@ from txnlens.functions.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TXN
 from txnlens.operators.account import account_features
 from txnlens.operators.medallion import event_id, to_silver, with_event_ts
 from txnlens.sources import fixture
+from txnlens.sources.scratch import stored
 
 
 def ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -19,8 +20,13 @@ def silver(spark: SparkSession, d: str) -> DataFrame:
     return to_silver(ledger(spark, d))
 
 
+def silver_table(spark: SparkSession, d: str) -> DataFrame:
+    """Silver written as a table: the feature fold reads its input several times."""
+    return stored(silver(spark, d), "silver")
+
+
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    return account_features(silver(spark, d))
+    return account_features(silver_table(spark, d))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -31,9 +37,13 @@ def scored_silver(spark: SparkSession, d: str) -> DataFrame:
     return with_event_ts(scored(spark, d)).selectExpr(f"{event_id()} AS event_id", "*")
 
 
+def scored_silver_table(spark: SparkSession, d: str) -> DataFrame:
+    return stored(scored_silver(spark, d), "scored")
+
+
 def scored_with_features(spark: SparkSession, d: str) -> DataFrame:
     """Transactions with their score and a struct ``f`` of the features seen at scoring."""
-    rows = scored_silver(spark, d)
+    rows = scored_silver_table(spark, d)
     names = NUMERIC_FEATURES + CATEGORICAL_FEATURES
     feats = account_features(rows, score="score").selectExpr(
         "event_id", f"struct({', '.join(names)}) AS f"

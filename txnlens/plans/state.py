@@ -8,7 +8,7 @@ from txnlens.operators.state import (
     account_state, decoded, diff_states, merge_states, read_state_json, state_cover, upsert_latest, with_state_json,
 )
 from txnlens.plans.inputs import (
-    GOLD, SCORED_GOLD, SCORED_SILVER, SILVER, gold, ledger, rounded, scored_silver, scored_with_features, silver,
+    GOLD, SCORED_GOLD, SCORED_SILVER, SILVER, gold, ledger, rounded, scored_silver, scored_with_features, silver, silver_table,
     state_cte, with_ctes,
 )
 from txnlens.plans.registry import query
@@ -126,7 +126,7 @@ def q_state_divergence(spark, d):
       n > 0 AS had_prev_state FROM chain"""),
 )
 def q_sequential_scoring(spark, d):
-    out = scoring.score_sequential(silver(spark, d), scoring.DEFAULT_MODEL, threshold=0.5)
+    out = scoring.score_sequential(silver_table(spark, d), scoring.DEFAULT_MODEL, threshold=0.5)
     return rounded(out.select("event_id", "fraud_score", "decision", "had_prev_state"), "fraud_score")
 
 
