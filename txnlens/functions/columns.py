@@ -77,11 +77,17 @@ def report_day(step: str = "step") -> str:
 
 
 def hour_dt(ts_us: str) -> str:
-    return f"date_format(timestamp_micros({ts_us}), 'yyyy-MM-dd')"
+    """UTC date text of a microsecond timestamp, whatever the session time zone."""
+    return f"CAST(date_add(DATE'1970-01-01', CAST(({ts_us}) div {24 * US_PER_HOUR} AS INT)) AS STRING)"
 
 
 def hour_hr(ts_us: str) -> str:
-    return f"date_format(timestamp_micros({ts_us}), 'HH')"
+    return f"lpad(CAST((({ts_us}) div {US_PER_HOUR}) % 24 AS STRING), 2, '0')"
+
+
+def micros(ts: str) -> str:
+    """Microseconds since the epoch of a zone-less timestamp column."""
+    return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))"
 
 
 # --- deterministic randomness ------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from txnlens.functions.columns import micros
 from txnlens.operators import models, pit
 from txnlens.operators.frontier import ranking_metrics
 from txnlens.operators.metrics import calibration_errors
@@ -103,6 +104,6 @@ def permutation_importance(spark, d):
 def model_compat(spark, d):
     """Events read as registered model versions; those for other feature versions are refused."""
     versions = fixture.table(spark, d, "events").selectExpr(
-        "event_type AS model_name", "concat('v', event_id) AS version", "unix_micros(CAST(ts AS TIMESTAMP)) AS created_us",
+        "event_type AS model_name", "concat('v', event_id) AS version", f"{micros('ts')} AS created_us",
         "1 + CAST(get_json_object(props, '$.k') AS BIGINT) % 3 AS feature_schema_version")
     return models.compatible(versions).select("model_name", "version", "created_us")

@@ -281,5 +281,5 @@ def deployment_audit(spark, d):
     """Each event is read as one process reporting the version it resolved."""
     log = fixture.table(spark, d, "events").selectExpr(
         "concat('model-', event_type) AS model_name", "concat('v', user_id % 5) AS version",
-        "unix_micros(CAST(ts AS TIMESTAMP)) AS resolved_at_us")
+        f"{c.micros('ts')} AS resolved_at_us")
     return ops.latest_deployment(log, NOW_US, 3_600_000_000)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from txnlens.functions.columns import micros
 from txnlens.functions.schema import SIM_EPOCH_US, US_PER_HOUR
 
 
@@ -15,7 +16,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ledger row per event; projections only, so filters reach the Parquet scan."""
     base = table(spark, sf_dir, "events").selectExpr(
         "event_id + 1 AS row_num",
-        f"(unix_micros(CAST(ts AS TIMESTAMP)) - {SIM_EPOCH_US}) div {US_PER_HOUR} + 1 AS step",
+        f"({micros('ts')} - {SIM_EPOCH_US}) div {US_PER_HOUR} + 1 AS step",
         "CASE event_type WHEN 'signup' THEN 'CASH_IN' WHEN 'view' THEN 'PAYMENT' WHEN 'click' THEN 'DEBIT' "
         "WHEN 'purchase' THEN 'CASH_OUT' WHEN 'error' THEN 'TRANSFER' END AS txn_type",
         "value AS amount",
