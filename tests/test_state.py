@@ -8,6 +8,7 @@ from txnlens.operators.account import account_features
 from txnlens.operators.state import (
     account_state, decoded, lookup_states, merge_states, read_state_json, upsert_latest, with_state_json,
 )
+from txnlens.streaming.score_stream import states_before, stream_scores
 from txnlens.streaming.state_stream import current_states, stream_state
 
 from helpers import frame, txn
@@ -116,11 +117,41 @@ def test_sequential_scoring_equals_recurrence(spark, hot_rows, feedback):
 
 def test_sequential_scoring_starts_from_stored_score(spark):
     rows = [txn(1, "A", 1, 10), txn(2, "A", 2, 20)]
-    seeds = spark.createDataFrame([("A", 0.8)], "account_id string, last_fraud_score double")
-    got = {r.event_id: r for r in score_sequential(frame(spark, rows), DEFAULT_MODEL, 0.5, states=seeds).collect()}
-    want = sequential(spark, rows, DEFAULT_MODEL, {"A": 0.8})
-    assert got["e0001"].had_prev_state
-    assert all(got[k].fraud_score == pytest.approx(want[k], abs=1e-13) for k in want)
+    whole = sequential(spark, rows, DEFAULT_MODEL)
+    first = frame(spark, rows[:1]).selectExpr("*", f"{whole['e0001']!r}D AS s")
+    got = score_sequential(frame(spark, rows[1:]), DEFAULT_MODEL, 0.5, states=account_state(first, score="s")).first()
+    assert got.had_prev_state and got.fraud_score == pytest.approx(whole["e0002"], abs=1e-13)
+
+
+def test_features_continue_from_stored_states(spark):
+    rows = [txn(i, "AB"[i % 2], 1 + i // 3, 5 + (i * 31) % 70, "TRANSFER" if i % 3 else "PAYMENT", f"C{i % 4}") for i in range(1, 40)]
+    whole = {r.event_id: r for r in account_features(frame(spark, rows)).collect()}
+    states = account_state(frame(spark, rows[:22]))
+    for hot_rows in (4, 1000):
+        rest = account_features(frame(spark, rows[22:]), states=states, hot_rows=hot_rows).collect()
+        assert len(rest) == 17 and all(r == whole[r.event_id] for r in rest)
+
+
+def test_late_row_is_compared_with_the_stored_anchor(spark):
+    states = account_state(frame(spark, [txn(1, "A", 9, 100, "TRANSFER")]))
+    late = account_features(frame(spark, [txn(2, "A", 2, 10), txn(3, "A", 3, 10)]), states=states).collect()
+    assert {r.prev_txn_type for r in late} == {"TRANSFER"} and {r.txn_count_prior for r in late} == {1.0, 2.0}
+
+
+def test_score_stream_equals_one_pass(spark, tmp_path):
+    rows = [txn(i, "AB"[i % 2], 1 + i // 3, 5 + (i * 31) % 70, "TRANSFER" if i % 3 else "PAYMENT", f"C{i % 4}") for i in range(1, 30)]
+    src, ckpt, scores, states = (str(tmp_path / x) for x in ("src", "ckpt", "scores", "states"))
+    for part in (rows[:11], rows[11:20], rows[20:]):
+        frame(spark, part).select(*TXN_COLUMNS).coalesce(1).write.mode("append").json(src)
+        stream_scores(spark, src, ckpt, scores, states, DEFAULT_MODEL, 0.5).awaitTermination()
+    got = {r.event_id: r.fraud_score for r in spark.read.parquet(scores).collect()}
+    want = sequential(spark, rows, DEFAULT_MODEL)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-13) for k in want)
+    last = by_account(states_before(spark, states, 99))
+    whole = by_account(account_state(frame(spark, rows)))
+    assert {k: (r.txn_count, r.amount_sum, r.last_event_id) for k, r in last.items()} == {
+        k: (r.txn_count, r.amount_sum, r.last_event_id) for k, r in whole.items()}
+    assert last["A"].last_fraud_score == pytest.approx(want[last["A"].last_event_id], abs=1e-13)
 
 
 def test_unbounded_feedback_is_refused():

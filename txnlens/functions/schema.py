@@ -83,6 +83,7 @@ STATE = T.StructType(
 STATE_COLUMNS = STATE.fieldNames()
 ANCHOR_COLUMNS = [c for c in STATE_COLUMNS if c.startswith("last_")]
 
+# Feature names in table order.
 NUMERIC_FEATURES = [
     "is_first_txn",
     "seconds_since_last_txn",

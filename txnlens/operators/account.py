@@ -23,11 +23,48 @@ from txnlens.functions.schema import (
 )
 from txnlens.operators.prefix import HOT_ROWS, prior_rows
 
-PREV_COLUMNS = ["event_ts_us", "step", "txn_type", "amount", "newbalance_orig", "dest_id"]
+PREV_COLUMNS = ["event_ts_us", "event_id", "step", "txn_type", "amount", "newbalance_orig", "dest_id"]
 
 
-def with_prior(silver: DataFrame, score: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+# Column of the previous row -> the field of a stored account state that replaces it.
+STATE_PREV = {
+    "event_ts_us": "last_event_ts_us",
+    "event_id": "last_event_id",
+    "step": "last_step",
+    "txn_type": "last_txn_type",
+    "amount": "last_amount",
+    "newbalance_orig": "last_newbalance_orig",
+    "dest_id": "last_dest_id",
+}
+
+
+def _continue_from(rows: DataFrame, states: DataFrame, prev: list[str], score: str | None) -> DataFrame:
+    """Add stored states to the totals of the rows at hand.
+
+    The previous transaction is the later one of the row before and the stored anchor, so a
+    late event never moves the anchor back.
+    """
+    known = states.selectExpr("account_id", f"struct({', '.join(x for x in states.columns if x != 'account_id')}) AS s")
+    fields = {**STATE_PREV, **({score: "last_fraud_score"} if score else {})}
+    anchor = ", ".join(f"'{c}', s.{fields[c]}" for c in prev)
+    older = "prev IS NULL OR struct(s.last_event_ts_us, s.last_event_id) > struct(prev.event_ts_us, prev.event_id)"
+    combined = {
+        "n": "n + coalesce(s.txn_count, 0L)",
+        "sum_a": "coalesce(sum_a, 0) + coalesce(CAST(s.amount_sum AS DECIMAL(28,2)), 0)",
+        "sum_sq": "coalesce(sum_sq, 0) + coalesce(CAST(s.amount_sqsum AS DECIMAL(38,4)), 0)",
+        "max_a": "greatest(max_a, s.max_amount)",
+        "first_ts": "least(first_ts, s.first_event_ts_us)",
+        "prev": f"CASE WHEN s IS NOT NULL AND ({older}) THEN named_struct({anchor}) ELSE prev END",
+    }
+    joined = rows.join(known, "account_id", "left")
+    return joined.selectExpr(*[f"{combined[x]} AS {x}" if x in combined else x for x in rows.columns])
+
+
+def with_prior(
+    silver: DataFrame, score: str | None = None, hot_rows: int = HOT_ROWS, states: DataFrame | None = None
+) -> DataFrame:
     """Attach the account's previous row and running totals to every transaction."""
+    prev = [*PREV_COLUMNS, *([score] if score else [])]
     rows = prior_rows(
         silver,
         ["account_id"],
@@ -39,10 +76,12 @@ def with_prior(silver: DataFrame, score: str | None = None, hot_rows: int = HOT_
             "max_a": ("max", "amount"),
             "first_ts": ("min", "event_ts_us"),
         },
-        prev=[*PREV_COLUMNS, *([score] if score else [])],
+        prev=prev,
         tie=["event_id"],
         hot_rows=hot_rows,
     )
+    if states is not None:
+        rows = _continue_from(rows, states, prev, score)
     return rows.selectExpr(
         "*",
         f"(event_ts_us - prev.event_ts_us) / {US_PER_SECOND}D AS gap_s",
@@ -99,14 +138,19 @@ def feature_columns(score: str | None = None) -> dict[str, str]:
     return features
 
 
-def account_features(silver: DataFrame, score: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def account_features(
+    silver: DataFrame, score: str | None = None, hot_rows: int = HOT_ROWS, states: DataFrame | None = None
+) -> DataFrame:
     """The gold table: identity, version, all features, and labels attached at the end.
 
+    ``states`` continues from stored account states: ``silver`` then holds only transactions
+    those states have not seen.
+
     ``score`` names a column holding the score each row received; without it (a batch
     refresh) ``prev_fraud_score`` is NULL.
     """
     labels = [name for name in LABEL_COLUMNS if name in silver.columns]
-    return with_prior(silver, score, hot_rows).selectExpr(
+    return with_prior(silver, score, hot_rows, states).selectExpr(
         "event_id",
         "account_id",
         "event_ts_us",

@@ -60,23 +60,23 @@ def score_sequential(
 
     Nothing is written.  The score needs only the margins of the last ``depth`` rows, which
     a bounded window frame holds; the recurrence itself is one ``aggregate`` expression.
-    ``states`` (``account_id``, ``last_fraud_score``) seeds accounts scored before.
+    ``states`` are the account states before these rows: features and scores continue there.
     """
-    features = stored(account_features(txn, hot_rows=hot_rows).selectExpr(
+    features = stored(account_features(txn, hot_rows=hot_rows, states=states).selectExpr(
         "event_id", "account_id", "event_ts_us", "seconds_since_last_txn", "txn_count_prior", f"{model.margin()} AS margin"
     ), "margins")
     depth = model.depth()
     recent = recent_values(features, ["account_id"], "event_ts_us", ["event_id"], "margin", depth + 1, "margins", hot_rows)
     if states is not None:
-        recent = recent.join(states.selectExpr("account_id", "last_fraud_score AS seed", "true AS stored"), "account_id", "left")
+        recent = recent.join(states.selectExpr("account_id", "last_fraud_score AS seed"), "account_id", "left")
     else:
-        recent = recent.selectExpr("*", "CAST(NULL AS DOUBLE) AS seed", "CAST(NULL AS BOOLEAN) AS stored")
+        recent = recent.selectExpr("*", "CAST(NULL AS DOUBLE) AS seed")
     # The seed matters only while the frame still reaches the account's first row here.
-    start = f"CASE WHEN txn_count_prior <= {depth} THEN coalesce(seed, 0D) ELSE 0D END"
+    start = f"CASE WHEN size(margins) <= {depth} THEN coalesce(seed, 0D) ELSE 0D END"
     step = f"(p, m) -> 1D / (1D + exp(-(m + {model.feedback!r}D * p)))"
     return recent.selectExpr(
         "event_id", "account_id", "event_ts_us", "seconds_since_last_txn",
-        "txn_count_prior > 0 OR coalesce(stored, false) AS had_prev_state",
+        "txn_count_prior > 0 AS had_prev_state",
         f"aggregate(margins, {start}, {step}) AS fraud_score",
     ).selectExpr("*", f"CASE WHEN fraud_score >= {threshold}D THEN 'FRAUD' ELSE 'LEGIT' END AS decision")
 

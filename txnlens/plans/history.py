@@ -6,21 +6,22 @@ from txnlens.operators import entity, pit
 from txnlens.plans.inputs import LEDGER, ledger, r6_list, rounded, with_ctes
 from txnlens.plans.registry import query
 
-# The check recomputes the features the direct way: one range self-join per row.
-PIT_SQL = LEDGER + """,
-pit AS (SELECT c.row_num, c.dest_id, c.step, c.amount AS current_amount,
-  CASE WHEN c.txn_type = 'TRANSFER' THEN 1.0 ELSE 0.0 END::DOUBLE AS transaction_type_transfer,
-  count(s.row_num) FILTER (WHERE s.step = c.step - 1) AS pit_prior_count_1h,
-  coalesce(sum(CAST(s.amount AS DECIMAL(18,2))) FILTER (WHERE s.step = c.step - 1), 0)::DOUBLE AS pit_prior_amount_1h,
-  count(s.row_num) FILTER (WHERE s.step >= c.step - 24) AS pit_prior_count_24h,
-  coalesce(sum(CAST(s.amount AS DECIMAL(18,2))) FILTER (WHERE s.step >= c.step - 24), 0)::DOUBLE AS pit_prior_amount_24h,
-  coalesce(sum(CAST(s.amount AS DECIMAL(18,2))), 0)::DOUBLE AS pit_prior_amount_168h,
-  count(DISTINCT s.account_id) FILTER (WHERE s.step >= c.step - 24) AS pit_distinct_senders_24h,
-  count(DISTINCT s.account_id) AS pit_distinct_senders_168h,
-  coalesce(c.step - max(s.step), 999) AS pit_steps_since_last_event, c.is_fraud::INTEGER AS y
-  FROM ledger c LEFT JOIN ledger s ON s.dest_id = c.dest_id AND s.step >= c.step - 168 AND s.step <= c.step - 1
-  WHERE c.txn_type IN ('CASH_OUT', 'TRANSFER') AND starts_with(c.dest_id, 'C')
-  GROUP BY c.row_num, c.dest_id, c.step, c.amount, c.txn_type, c.is_fraud)"""
+# The check pairs every scored row with each earlier payment to its recipient and looks at
+# the payment's age, instead of summing changes.
+_NEWER = {h: f"FILTER (WHERE age BETWEEN 1 AND {h})" for h in (1, 24, 168)}
+PIT_SQL = LEDGER + f""",
+paid AS (SELECT dest_id, step, account_id, amount::DECIMAL(18,2) AS money FROM ledger),
+aged AS (SELECT row_num, l.dest_id, l.step, l.amount, txn_type, is_fraud, l.step - p.step AS age, p.account_id AS sender, money
+  FROM ledger l LEFT JOIN paid p ON p.dest_id = l.dest_id AND p.step < l.step
+  WHERE txn_type IN ('TRANSFER', 'CASH_OUT') AND l.dest_id LIKE 'C%'),
+pit AS (SELECT row_num, any_value(dest_id) AS dest_id, any_value(step) AS step, any_value(amount) AS current_amount,
+    any_value(txn_type = 'TRANSFER')::INTEGER::DOUBLE AS transaction_type_transfer, any_value(is_fraud)::INTEGER AS y,
+    """ + ", ".join(
+    [f"count(*) {_NEWER[h]} AS pit_prior_count_{h}h" for h in (1, 24)]
+    + [f"ifnull(sum(money) {_NEWER[h]}, 0)::DOUBLE AS pit_prior_amount_{h}h" for h in (1, 24, 168)]
+    + [f"count(DISTINCT sender) {_NEWER[h]} AS pit_distinct_senders_{h}h" for h in (24, 168)]
+) + f""", ifnull(min(age) {_NEWER[168]}, 999) AS pit_steps_since_last_event
+  FROM aged GROUP BY row_num)"""
 
 PIT_GROUPS = {
     "pit_count": ["pit_prior_count_1h", "pit_prior_count_24h"],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from txnlens.functions.schema import (
 )
 
 DAY_US = 86_400_000_000
+HOUR_FOLDER = re.compile(r"/dt=([^/]+)/hr=([^/]+)/")
 FLAT_COLUMNS = [
     "event_id", "account_id", "event_ts_us", "scored_at_us", "fraud_score", "decision", "threshold",
     "had_prev_state", "model_name", "model_version", "transaction", "features",
@@ -89,13 +92,14 @@ def read_scored_events(spark: SparkSession, path: str) -> DataFrame:
 def recent_events(spark: SparkSession, path: str, max_hours: int, max_rows: int) -> DataFrame:
     """The newest events: only the latest ``max_hours`` hour folders are opened.
 
+    Folder names come from the file listing, so pruning happens before any file is read.
     The row bound is the feature itself; it becomes a per-task top-k, not a full sort.
     """
     events = read_scored_events(spark, path)
-    hours = spark.read.schema("dt string, hr string").json(path).distinct()
-    latest = hours.orderBy(F.desc("dt"), F.desc("hr")).limit(max_hours)
+    found = {m.groups() for m in map(HOUR_FOLDER.search, events.inputFiles()) if m}
+    latest = sorted(found, reverse=True)[:max_hours]
     return (
-        events.join(F.broadcast(latest), ["dt", "hr"], "left_semi")
+        events.where(" OR ".join(f"(dt = '{dt}' AND hr = '{hr}')" for dt, hr in latest) or "false")
         .orderBy(F.desc("scored_at_us"), F.desc("event_id"))
         .limit(max_rows)
     )
