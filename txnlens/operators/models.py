@@ -16,6 +16,7 @@ from txnlens.functions import columns as c
 from txnlens.functions.schema import FEATURE_VERSION
 from txnlens.operators.frontier import argmax, exact_frontier, fbeta, ranking_metrics
 from txnlens.operators.prefix import prior_rows, union_all
+from txnlens.sources.scratch import stored
 
 SEED = 42
 KINDS = {
@@ -47,9 +48,14 @@ def fit(kind: str, rows: DataFrame, features: list[str], **params) -> PipelineMo
 
 
 def score(model: PipelineModel, rows: DataFrame, features: list[str], out: str = "score") -> DataFrame:
-    """Positive-class probability of every row."""
+    """Positive-class probability of every row.
+
+    The scores are written once: frontiers and metrics read them several times, and the model
+    must not be evaluated again for each.
+    """
     cast = rows.selectExpr(*[f"CAST({x} AS DOUBLE) AS {x}" if x in features else x for x in rows.columns])
-    return model.transform(cast).select(*rows.columns, vector_to_array("probability")[1].alias(out))
+    scored = model.transform(cast).select(*rows.columns, vector_to_array("probability")[1].alias(out))
+    return stored(scored, "scores")
 
 
 def batch_score(model: PipelineModel, rows: DataFrame, features: list[str], threshold: float, version: str) -> DataFrame:
@@ -84,7 +90,7 @@ def isotonic(scored: DataFrame, window: str) -> DataFrame:
     """Monotone curve; equal scores are pooled first, so the fit sees distinct scores only."""
     pooled = scored.where(window).groupBy("score").agg(F.expr("avg(y) AS rate"), F.expr("CAST(count(1) AS DOUBLE) AS n"))
     curve = IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="n").fit(pooled)
-    return curve.transform(scored).select(*scored.columns, F.col("prediction").alias("calibrated"))
+    return stored(curve.transform(scored).select(*scored.columns, F.col("prediction").alias("calibrated")), "calibrated")
 
 
 # --- selection ---------------------------------------------------------------
