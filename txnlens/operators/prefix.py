@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,6 +110,17 @@ def value_edges(df: DataFrame, value: str, limit: int = SINGLE_WINDOW_VALUES) ->
     return sorted(set(df.approxQuantile(value, probs, 1.0 / (4 * parts))))
 
 
+def _range_of(value: str, edges: list[float]) -> str:
+    """Number of edges at or below ``value``, found by halving steps over the sorted edges."""
+    steps = ", ".join(str(1 << b) for b in reversed(range(len(edges).bit_length())))
+    listed = ", ".join(f"{e!r}D" for e in edges)
+    take = (
+        f"CASE WHEN at + by > {len(edges)} THEN at "
+        f"WHEN element_at(array({listed}), at + by) <= {value} THEN at + by ELSE at END"
+    )
+    return f"aggregate(array({steps}), 0, (at, by) -> {take})"
+
+
 def cumulate_desc(
     points: DataFrame,
     keys: list[str],
@@ -129,8 +139,7 @@ def cumulate_desc(
     kept = [*keys, value, *(keep or [])]
     if not edges:
         return points.selectExpr(*kept, *[f"sum({c}) {_over(keys, down, UP_TO)} AS {c}" for c in sums])
-    cut = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=value, outputCol="_chunk")
-    rows = cut.transform(points)
+    rows = points.selectExpr("*", f"{_range_of(value, edges)} AS _chunk")
     inside = [*keys, "_chunk"]
     local = [f"sum({c}) {_over(inside, down, UP_TO)} AS _here_{c}" for c in sums]
     totals = rows.groupBy(*inside).agg(*[F.expr(f"sum({c}) AS _tot_{c}") for c in sums])
