@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a session that runs inside this process alone gets a temporary folder, removed
+    at exit. Executors on other machines could not see that folder, so any other session must name a shared one.
+    The session's settings are never changed.
+    """
     folder = spark.conf.get(SETTING, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="txnlens-")
-        spark.conf.set(SETTING, folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="txnlens-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId], ignore_errors=True)
+    return _OWN[context.applicationId]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -34,4 +46,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
