@@ -107,6 +107,30 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("set_key")
 
 
+@query("op9_substring_dedup", rf"""
+WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+hits AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS cut
+  FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1 GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, w, CASE WHEN cut IS NULL THEN w ELSE
+    [x.v for x in list_zip(w, range(1, len(w) + 1)).list_transform(lambda p: {{'v': p[1], 'i': p[2]}}) if NOT list_contains(cut, x.i)] END AS k
+  FROM words LEFT JOIN hits USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed,
+  sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without passages of 35 words that start more than once."""
+    from pyspark.sql import functions as F
+
+    from txnlens.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the learnt decision list's verdict for each document."""
