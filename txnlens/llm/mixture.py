@@ -24,13 +24,17 @@ def word_count(text: Column) -> Column:
 
 def sized(docs: DataFrame) -> DataFrame:
     """``doc_id, source, size, h``: words of the text (null: 0) and a hash of the id that reruns repeat."""
-    digest = F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")), 1, BITS // 4)
     return docs.select(
         docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"),
-        word_count(text_of(docs)).alias("size"), F.conv(digest, 16, 10).cast("long").alias("h"),
+        word_count(text_of(docs)).alias("size"), id_hash(docs["doc_id"]).alias("h"),
     )
 
 
+def id_hash(doc_id: Column) -> Column:
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150) -> DataFrame:
     """``source, source_size, target``: one row per source.
 
@@ -103,8 +107,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
     share its hash: they are taken together or not at all. An empty table gives no rows; other columns are ignored.
     """
     sizes = stored(sized(docs), "mix-sizes")
-    goals = stored(targets(sizes, weights, percent), "mix-targets")
-    cut = thresholds(sizes, goals)
+    cut = thresholds(sizes, stored(targets(sizes, weights, percent), "mix-targets"))
     out = sizes.alias("d").join(cut.alias("s"), F.expr("d.source <=> s.source"))
     copies = F.col("copies") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
+    sizes = stored(sized(docs), "mix-sizes")
+    cut = thresholds(sizes, stored(targets(sizes, weights, percent), "mix-targets")).select(
+        F.col("source").alias("of"), "copies", "limit")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    rows = rows.join(cut, F.expr("CAST(doc.source AS STRING) <=> of"))
+    copies = F.col("copies") + F.when(id_hash(F.col("doc.doc_id")) < F.col("limit"), 1).otherwise(0)
+    rows = rows.withColumn("copies", copies).where("copies > 0").select(
+        "doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -146,12 +146,12 @@ def _other_pairs(postings: DataFrame, nodes: DataFrame, done: DataFrame) -> Data
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, set_key`` for each row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, text_key`` for each row of ``docs``.
 
     A null or empty text has no shingles and is linked with nothing: its component is its own id. ``component_id`` is
     the least id that is not null; a component in which every id is null has a null id, and its rows are kept. Rows
     that repeat an id and a text share a class and each give a row. An empty table gives no rows; other columns are
-    ignored. ``set_key`` tells equal shingle sets.
+    ignored. ``text_key`` is a hash of the text.
     """
     documents = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).select(
         "doc_id", F.xxhash64("text").alias("text_key"), "text")
@@ -181,7 +181,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     named = classes.join(parts_, "node", "left").select("k1", "k2", "least", F.coalesce("component", "node").alias("part"))
     ids = named.groupBy("part").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "part").select("k1", "k2", F.col("component_id"), F.lit(True).alias("known"))
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    out = rows.select("doc_id", "text_key", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
-                      F.xxhash64("k1", "k2").alias("set_key"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")

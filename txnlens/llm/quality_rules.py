@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.llm.common import WORD, chars_in, held_out, let, text_of, words_of
+from txnlens.llm.common import WORD, chars_in, held_out, let, words_of
 from txnlens.sources.scratch import stored
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -57,12 +57,16 @@ def measures(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty: all counts 0. Other columns of ``docs`` are ignored, whatever their names.
     """
-    text = text_of(docs)
-    rows = docs.select(docs["doc_id"].alias("doc_id"), text.alias("text"))
+    return measures_of(docs.select("doc_id", "text"), F.col("text"), "doc_id")
+
+
+def measures_of(rows: DataFrame, text: Column, carried: str) -> DataFrame:
+    """The counts and ratios of ``text``, beside one column that is carried along."""
+    rows = rows.select(F.col(carried), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
     t = F.col("text")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     out = rows.select(
-        "doc_id",
+        carried,
         let(words_of(t), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"))).alias("w"),
         (F.length(t) - F.length(F.regexp_replace(t, WORD, ""))).alias("word_chars"),
         chars_in(t, "#*$%&|<>").alias("n_symbols"),
@@ -70,11 +74,11 @@ def measures(docs: DataFrame) -> DataFrame:
         chars_in(t, "A-Z").alias("n_upper"), chars_in(t, "0-9").alias("n_digits"),
         chars_in(t, "!").alias("n_exclaim"), chars_in(t, "|").alias("n_bars"),
     ).selectExpr(
-        "doc_id", "w.n AS n_words", "word_chars", "n_symbols", "l.n - l.d AS n_dup_lines", "w.r AS n_repeat_words",
+        carried, "w.n AS n_words", "word_chars", "n_symbols", "l.n - l.d AS n_dup_lines", "w.r AS n_repeat_words",
         "l.n AS n_lines", "n_upper", "n_digits", "n_exclaim", "n_bars",
     )
     return out.selectExpr(
-        "doc_id", *[f"CAST({c} AS BIGINT) AS {c}" for c in COUNTS], *[f"{e} AS {n}" for n, e in RATIOS.items()],
+        carried, *[f"CAST({c} AS BIGINT) AS {c}" for c in COUNTS], *[f"{e} AS {n}" for n, e in RATIOS.items()],
     )
 
 
@@ -217,3 +221,15 @@ def apply_rules(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     rules = learn_rules(labelled_measures(table, labels), **settings)
     return (table.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rule", verdict(rules))
             .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()))
+
+
+def keep(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the base rules and the learnt list keep.
+
+    The list is learnt from the measures of these rows; the second reading of the texts applies it where they are, so
+    that no text is moved.
+    """
+    rules = learn_rules(labelled_measures(stored(measures(docs), "quality-measures"), labels), **settings)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    kept = measures_of(whole, F.col("doc.text"), "doc").where(~F.expr(BASE_FAILED)).where(verdict(rules).isNull())
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

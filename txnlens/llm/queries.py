@@ -104,7 +104,17 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the documents."""
     from txnlens.llm.near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("set_key")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("op7_best_two_fit")
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of the tokenised documents goes."""
+    import public_tokenizers
+
+    from txnlens.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query("op9_substring_dedup", rf"""
