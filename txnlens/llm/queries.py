@@ -48,6 +48,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document."""
+    from txnlens.llm.quality_classifier import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_quartile_fingerprints")
+def op2_quartile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of an edit of it, and how near they are."""
+    from txnlens.llm.fingerprints import fingerprint_neighbours
+
+    return fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query("op3_mix_sources", rf"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,

@@ -98,3 +98,39 @@ def parts(texts: list[bytes], limit: int = BATCH_BYTES) -> Iterator[tuple[int, i
         size += len(t)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+# Letters (with every byte of a longer character), capitals and digits are a class each, and so is any other byte.
+_KIND = np.arange(256, dtype=np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_KIND[97:123] = _KIND[128:] = 1
+_KIND[65:91] = 2
+_KIND[48:58] = 3
+_KIND_LOWER = _KIND[_LOWER]
+
+
+class Runs:
+    """Runs of bytes of one class in several texts, white space left out: word parts, capitals, numbers, symbols."""
+
+    def __init__(self, texts: list[bytes], lower: bool = False):
+        data = b" ".join(texts) + b" "
+        buf = np.frombuffer(data, np.uint8)
+        kind = (_KIND_LOWER if lower else _KIND)[buf]
+        self.n, self.buf = len(texts), (_LOWER[buf] if lower else buf)
+        edge = np.flatnonzero(np.diff(kind, prepend=np.uint8(0)))
+        self.start = edge[kind[edge] != 0]
+        stop = np.append(edge, len(buf))
+        self.end = stop[np.searchsorted(stop, self.start, side="right")]
+        self.kind = kind[self.start]
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.first = np.searchsorted(self.start, begins)
+        self.counts = np.diff(self.first)
+        self.doc = np.repeat(np.arange(self.n), self.counts)
+        self._values = self.buf.astype(np.uint64) + np.uint64(1)
+
+    def hashes(self, length: int | None = None, which: np.ndarray | None = None) -> np.ndarray:
+        """Hash of each run (of those in ``which``), or of its first ``length`` bytes."""
+        start, end = (self.start, self.end) if which is None else (self.start[which], self.end[which])
+        if length is not None:
+            end = np.minimum(end, start + length)
+        return mix(spans(self._values, start, end, BASES[0]) + (end - start).astype(np.uint64), 21)
