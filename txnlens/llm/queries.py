@@ -123,6 +123,43 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def _license_sql() -> str:
+    from txnlens.llm.license_scan import TEMPLATES, template_words, window_size
+
+    rows = ", ".join(f"('{name}', {template_words(t)}, {window_size(len(template_words(t)))})" for name, t in TEMPLATES.items())
+    return f"""
+WITH templates(license, tw, size) AS (VALUES {rows}),
+known AS (
+  SELECT license, size, list_distinct([array_to_string(tw[i:i + 2], ' ') for i in range(1, len(tw) - 1)]) AS t FROM templates),
+words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+shingles AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+wanted AS (SELECT license, size, len(t) AS n, unnest(t) AS s FROM known),
+hits AS (
+  SELECT doc_id, license, n, start, count(DISTINCT s) AS c FROM (
+    SELECT doc_id, license, n, size, s, p, (p // (size // 2) - back) * (size // 2) AS start
+    FROM shingles JOIN wanted USING (s), (VALUES (0), (1)) b(back))
+  WHERE start >= 0 AND p + 2 < start + size GROUP BY ALL)
+SELECT doc_id, license, max(c / n) AS containment, min(start) AS first_word, count(*) AS n_windows
+FROM hits WHERE c / n >= 0.8 GROUP BY doc_id, license"""
+
+
+@query("op5_license_scan", _license_sql())
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in the documents."""
+    from txnlens.llm.license_scan import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
+@query("op6_weak_toxicity")
+def op6_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document."""
+    from txnlens.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_best_two_fit")
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of the tokenised documents goes."""
@@ -133,6 +170,20 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op8_warc_bundles", """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM m""")
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages say when they are read back."""
+    from txnlens.llm.warc import archive_pages, read_archives
+
+    return read_archives(*archive_pages(table(spark, sf_dir, "pages"))).drop("payload")
+
+
 @query("op9_substring_dedup", rf"""
 WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
 windows AS (
