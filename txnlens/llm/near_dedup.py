@@ -6,9 +6,9 @@ a class's MinHash signature is a posting key (coordinate, value). Two classes th
 those of boilerplate, are skipped. Candidates are confirmed on their full sets.
 
 A posting list of n classes is not expanded into n^2 pairs: first every member is compared with the most typical member
-of the list, which joins up groups of near copies; then only lists that still hold several components are compared in
-blocks, signature against signature inside a task, and only pairs of different components with enough matches leave it.
-Pairs inside one component cannot change the result and are not confirmed.
+of the list, which joins up groups of near copies; then only clusters of lists that still hold several components are
+compared block by block, signatures first and full sets after, inside a task, and only confirmed links between
+components leave it. Pairs inside one component cannot change the result and are not compared.
 
 A pair with similarity 0.85 agrees on fewer than 36 of 64 coordinates with probability 4e-8; all other steps are exact
 on 64-bit shingle hashes.
@@ -32,7 +32,7 @@ SHINGLE = 5
 COORDINATES = 64
 MATCHES = 36
 ROWS = "doc_id bigint, text_key bigint, n_shingles bigint, k1 bigint, k2 bigint, signature array<bigint>"
-BLOCK = 256  # members of a posting list that one task holds on either side
+BLOCK = 512  # members of a cluster that one task holds on either side
 _SALTS = (mix(np.arange(COORDINATES, dtype=np.uint64), 7) | np.uint64(1), mix(np.arange(COORDINATES, dtype=np.uint64), 8))
 
 
@@ -111,38 +111,50 @@ def _first_pairs(postings: DataFrame) -> DataFrame:
         F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
 
 
-def _compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components inside a block pair with enough equal coordinates."""
-    for batch in batches:
-        u, v = [], []
-        for row in batch.itertuples(index=False):
-            a, b = np.asarray(row.nodes), np.asarray(row.nodes_b)
-            left = np.frombuffer(b"".join(row.signatures), np.int64).reshape(len(a), -1)
-            right = np.frombuffer(b"".join(row.signatures_b), np.int64).reshape(len(b), -1)
-            apart = np.asarray(row.parts)[:, None] != np.asarray(row.parts_b)[None, :]
-            for i in np.flatnonzero(apart.any(axis=1)):
-                enough = apart[i] & ((right == left[i]).sum(axis=1) >= MATCHES)
-                u += [min(a[i], x) for x in b[enough]]
-                v += [max(a[i], x) for x in b[enough]]
-        yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
-
-
-def _other_pairs(postings: DataFrame, nodes: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs across components that share a list, other than those done: all of them, block by block."""
-    rows = postings.select("token", "node").join(nodes, "node")
-    mixed = rows.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n"))
-    # A list of two classes was compared in full through its typical member.
-    mixed = mixed.where("a <> b AND n > 2").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.join(mixed.select("token", "blocks"), "token")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Uneven blocks only make a block larger than another; each holds about BLOCK members.
-    packed = stored(rows.groupBy("token", "block", "blocks").agg(F.collect_list(F.struct("node", "part", "packed")).alias("m")).select(
-        "token", "block", "blocks", F.col("m.node").alias("nodes"), F.col("m.part").alias("parts"), F.col("m.packed").alias("signatures")),
-        "dedup-blocks")
-    left = packed.withColumn("block_b", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).drop("blocks")
-    right = packed.select("token", F.col("block").alias("block_b"), F.col("nodes").alias("nodes_b"), F.col("parts").alias("parts_b"), F.col("signatures").alias("signatures_b"))
-    found = left.join(right, ["token", "block_b"]).mapInPandas(_compare_blocks, "u bigint, v bigint").distinct()
-    return found.join(done, ["u", "v"], "left_anti")
+def _compare(percent: int):
+    """Confirmed links between different parts among the members of one or two blocks."""
+
+    def run(members: pd.DataFrame) -> pd.DataFrame:
+        i, j = members["i"].iloc[0], members["j"].iloc[0]
+        left, right = members[members["block"] == i], members[members["block"] == j]
+        sets = [[np.asarray(x) for x in side["shingles"]] for side in (left, right)]
+        nodes, parts_ = ([side[c].to_numpy() for side in (left, right)] for c in ("node", "part"))
+        signatures = np.stack(right["signature"].to_list()) if len(right) else np.zeros((0, COORDINATES))
+        size = np.array([len(x) for x in sets[1]])
+        links = []
+        for a, (node, part, signed) in enumerate(zip(nodes[0], parts_[0], left["signature"], strict=True)):
+            other = parts_[1] != part
+            if i == j:
+                other[:a + 1] = False
+            n = len(sets[0][a])
+            other &= 100 * np.minimum(size, n) >= percent * np.maximum(size, n)
+            near = np.flatnonzero(other)
+            near = near[(signatures[near] == np.asarray(signed)).sum(axis=1) >= MATCHES] if len(near) else near
+            for b in near:
+                shared = len(np.intersect1d(sets[0][a], sets[1][b], assume_unique=True))
+                if 100 * shared >= percent * (n + size[b] - shared):
+                    links.append(sorted((int(node), int(nodes[1][b]))))
+        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+    return run
+
+
+def _other_links(stars: DataFrame, parts_: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between the parts of a cluster, where a cluster is what shares posting lists directly or in turn.
+
+    The members of a cluster are dealt to blocks of about ``BLOCK``, and every two blocks meet in one task of bounded
+    size; only confirmed links leave it.
+    """
+    nodes = components(stars).withColumnRenamed("component", "cluster").join(parts_, "node", "left").select(
+        "cluster", "node", F.coalesce("component", "node").alias("part"))
+    nodes = stored(nodes, "dedup-clusters")
+    mixed = nodes.groupBy("cluster").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n"))
+    # Of a cluster of two, the only pair was compared.
+    mixed = mixed.where("a <> b AND n > 2").select("cluster", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = nodes.join(mixed, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(signed, "node").join(sets, "node").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "node", "part", "signature", "shingles")
+    return stored(rows.groupBy("cluster", "i", "j").applyInPandas(_compare(percent), "u bigint, v bigint"), "dedup-more")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -173,9 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = _confirmed(likely.select("u", "v"), sets, percent)
     parts_ = components(links)
 
-    packed = F.unhex(F.array_join(F.transform("signature", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
-    nodes = signed.join(parts_, "node", "left").select("node", F.coalesce("component", "node").alias("part"), packed.alias("packed"))
-    more = _confirmed(_other_pairs(postings, nodes, pairs), sets, percent)
+    more = _other_links(pairs, parts_, signed, sets, percent)
     parts_ = components(links.unionByName(more))
 
     named = classes.join(parts_, "node", "left").select("k1", "k2", "least", F.coalesce("component", "node").alias("part"))
