@@ -108,8 +108,8 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
     if len(splits) < 3:
         splits.insert(1, 0.0)
-    into = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep")
-    rows = into.transform(base.withColumn("at", F.col("doc_id").cast("double"))).drop("at")
+    into = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep")  # NaN has a range of its own
+    rows = into.transform(base.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan"))))).drop("at")
     heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()  # a row per range
     heads.sort(key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0)))
     before = {heads[i]["doc_id"]: heads[i - 1]["bucket"] for i in range(len(heads))}
