@@ -8,7 +8,7 @@ counts them.
 Two things keep this small and even. Minimisers are counted first, as bare numbers with a map-side combine: a
 super-k-mer whose minimiser occurs nowhere else cannot hold a repeated window and does not travel. And a minimiser that
 occurs more than ``HOT`` times (a passage that very many documents share) does not go to one bucket: its super-k-mers
-are cut into single windows, which are dealt out evenly and counted by their own hashes with a map-side combine.
+are dealt out evenly, combined where they are equal, and counted window by window.
 
 Buckets are sorted by Spark (it spills) and read as a stream. A window's identity is a 128-bit hash of its words, all
 else is exact.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnlens.llm.common import let, text_of, words_of
@@ -29,7 +29,8 @@ from txnlens.sources.scratch import stored
 
 WINDOW = 35
 SEED = 8
-HOT = 5000
+SHARES = 64  # into which equal super-k-mers of hot minimisers are dealt
+HOT = 5000  # so many super-k-mers at most are one bucket
 
 
 def super_kmers(w: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,29 +90,21 @@ def _places(window: int, seed: int):
 
 
 def _pack(window: int):
-    """Each listed super-k-mer as a packed string; where its minimiser is hot, the hashes of its windows instead.
-
-    Hot windows get any bucket: they are counted by their own hashes later.
-    """
+    """Each listed super-k-mer as a packed string of words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = encoded(batch["text"])
             for lo, hi in parts(texts):
                 w = Words(texts[lo:hi])
-                h1, h2 = window_hashes(w, window)
                 rows = []
                 for d in range(hi - lo):
                     base = int(w.first[d])
-                    for run_ in batch["runs"].iloc[lo + d]:
-                        first, n, at = run_["first"], run_["size"], base + run_["first"]
-                        if run_["hot"]:
-                            rows += [(int(x), None, int(x), int(y), lo + d, first + i, 1) for i, (x, y) in
-                                     enumerate(zip(h1[at:at + n], h2[at:at + n], strict=True))]
-                        else:
-                            packed = b" ".join(w.slice(at, at + n + window - 2).split())
-                            rows.append((run_["minimiser"], packed, 0, 0, lo + d, first, n))
-                out = pd.DataFrame(rows, columns=["bucket", "packed", "h1", "h2", "doc", "first", "size"])
+                    for r in batch["runs"].iloc[lo + d]:
+                        first, n = r["first"], r["size"]
+                        packed = b" ".join(w.slice(base + first, base + first + n + window - 2).split())
+                        rows.append((r["minimiser"], packed, r["hot"], lo + d, first, n))
+                out = pd.DataFrame(rows, columns=["minimiser", "packed", "hot", "doc", "first", "size"])
                 docs = batch.iloc[out.pop("doc").to_numpy(int)]
                 out["doc_id"], out["text_key"] = docs["doc_id"].array, docs["text_key"].array
                 yield out
@@ -125,15 +118,24 @@ def window_hashes(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(mix(spans(w.hash, at, at + window, base), salt).view(np.int64) for base, salt in ((BASES[1], 4), (BASES[2], 5)))
 
 
+def _unpacked(group: pd.DataFrame, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in it, two hashes) of every window of packed super-k-mers."""
+    w = Words(list(group["packed"]))
+    sizes = group["size"].to_numpy()
+    row = np.repeat(np.arange(len(group)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = w.first[:-1][row] + place
+    return (row, place, *(h[at] for h in window_hashes(w, window)))
+
+
 def _count(window: int):
-    """Word ranges of the windows that occur twice or more in their bucket, from rows sorted by bucket; hot ones pass."""
+    """Word ranges of the windows that occur twice or more in their bucket, from rows sorted by bucket.
+
+    The super-k-mers of hot minimisers are not in their bucket here: they pass, with two hashes of their own content.
+    """
 
     def ranges(group: pd.DataFrame) -> pd.DataFrame:
-        w = Words(list(group["packed"]))
-        at, sizes = w.first[:-1], group["size"].to_numpy()
-        row = np.repeat(np.arange(len(group)), sizes)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        h1, h2 = (h[at[row] + place] for h in window_hashes(w, window))
+        row, place, h1, h2 = _unpacked(group, window)
         bucket = group["bucket"].to_numpy()[row]
         order = np.lexsort((h2, h1, bucket))
         equal = (np.diff(bucket[order]) == 0) & (np.diff(h1[order]) == 0) & (np.diff(h2[order]) == 0)
@@ -148,17 +150,15 @@ def _count(window: int):
         out = group.iloc[row[starts]][["doc_id", "text_key", "first"]].reset_index(drop=True)
         out["first"] += place[starts].astype(np.int32)
         out["last"] = (out["first"] + length + window - 1).astype(np.int32)
-        out["h1"] = out["h2"] = np.int64(0)
-        out["hot"] = False
-        return out
+        return out.assign(packed=None, size=np.int32(0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
-            hot = batch[batch["packed"].isna()]
-            if len(hot):
-                yield hot.assign(hot=True, last=hot["first"] + window)[["doc_id", "text_key", "first", "last", "h1", "h2", "hot"]]
-            batch = batch[batch["packed"].notna()]
+            hot = batch["hot"].to_numpy(bool)
+            if hot.any():
+                yield batch[hot].assign(last=np.int32(0))[["doc_id", "text_key", "first", "last", "packed", "size"]]
+            batch = batch[~hot]
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(held):
                 continue
@@ -172,6 +172,42 @@ def _count(window: int):
     return run
 
 
+def _windows(window: int):
+    """Every window of distinct super-k-mers, with how often the super-k-mer occurs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 2000):
+                group = batch.iloc[lo:lo + 2000]
+                row, place, h1, h2 = _unpacked(group, window)
+                yield pd.DataFrame({"k1": group["k1"].to_numpy()[row], "k2": group["k2"].to_numpy()[row], "place": place.astype(np.int32),
+                                    "h1": h1, "h2": h2, "n": group["n"].to_numpy()[row]})
+
+    return run
+
+
+def _hot_ranges(hot: DataFrame, window: int) -> DataFrame:
+    """Ranges of repeated windows in the super-k-mers of hot minimisers.
+
+    Equal super-k-mers are combined first, which leaves one of each however often a passage occurs; the windows of what
+    is left are counted by their hashes.
+    """
+    keyed = hot.select("doc_id", "text_key", "first", "size", "packed", F.xxhash64("packed").alias("k1"), F.xxhash64(F.lit(1), "packed").alias("k2"))
+    kinds = keyed.groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.first("size").alias("size"), F.count("*").alias("n"))
+    windows = stored(kinds.mapInPandas(
+        _windows(window), "k1 bigint, k2 bigint, place int, h1 bigint, h2 bigint, n bigint"), "passages-windows")
+    often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2")
+    places = windows.join(often, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
+    # A super-k-mer that meets an equal one in its salted share repeats as a whole; the few others look theirs up.
+    share = Window.partitionBy("k1", "k2", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SHARES)))
+    keyed = keyed.drop("packed").withColumn("equal", F.count("*").over(share))
+    whole = keyed.where("equal > 1").select("doc_id", "text_key", F.array(F.struct(
+        "first", (F.col("first") + F.col("size") + window - 1).alias("last"))).alias("found"))
+    return whole.unionByName(keyed.where("equal = 1").join(places, ["k1", "k2"]).select(
+        "doc_id", "text_key", F.transform("places", lambda p: F.struct(
+            (F.col("first") + p).alias("first"), (F.col("first") + p + window).alias("last"))).alias("found")))
+
+
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Overlapping and touching ranges of a document as one."""
     for batch in batches:
@@ -200,16 +236,14 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     runs = runs.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
     listed = base.join(runs, F.expr("doc_id <=> id AND text_key = key")).select("doc_id", "text_key", "text", "runs")
     packed = listed.mapInPandas(
-        _pack(window), "bucket bigint, packed binary, h1 bigint, h2 bigint, first int, size int, doc_id bigint, text_key bigint")
-    sorted_ = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = stored(sorted_.mapInPandas(
-        _count(window), "doc_id bigint, text_key bigint, first int, last int, h1 bigint, h2 bigint, hot boolean"), "passages-found")
-    hot = found.where("hot")
-    often = hot.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    every = found.where("NOT hot").select("doc_id", "text_key", "first", "last").unionByName(
-        hot.join(often, ["h1", "h2"]).select("doc_id", "text_key", "first", "last"))
+        _pack(window), "minimiser bigint, packed binary, hot boolean, first int, size int, doc_id bigint, text_key bigint")
+    packed = packed.withColumn("bucket", F.when(F.col("hot"), F.xxhash64("doc_id", "text_key", "first")).otherwise(F.col("minimiser")))
+    found = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
+        _count(window), "doc_id bigint, text_key bigint, first int, last int, packed binary, size int"), "passages-found")
+    cold = found.where("packed IS NULL").select("doc_id", "text_key", F.array(F.struct("first", "last")).alias("found"))
+    every = cold.unionByName(_hot_ranges(found.where("packed IS NOT NULL"), window))
     by_doc = every.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
-        F.collect_set(F.struct("first", "last")).alias("found"))
+        F.flatten(F.collect_list("found")).alias("found"))
     return by_doc.mapInPandas(_merged, "id bigint, key bigint, cut array<struct<first:int,last:int>>")
 
 
