@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from txnlens.functions.schema import RAW_COLUMNS
-from txnlens.operators.splits import data_identity
+from txnlens.operators.splits import content_identity, data_identity
 from txnlens.plans import inputs, tables
 from txnlens.sources import events, ops
 from txnlens.sources.ledger import MissingColumns, load_bronze, number_rows, read_ledger, to_bronze, write_ledger
@@ -129,3 +130,35 @@ def test_data_identity_ignores_order(spark):
     df = inputs.scored(spark, SF).select("row_num", "step", "y")
     assert data_identity(df).first() == data_identity(df.repartition(7).orderBy("y")).first()
     assert data_identity(df.where("row_num > 1")).first().fingerprint != data_identity(df).first().fingerprint
+
+
+def test_bad_lines_do_not_depend_on_what_is_read(spark, tmp_path):
+    names = list(RAW_COLUMNS)
+    good = "1,PAYMENT,1.0,C1,1.0,0.0,M1,0.0,0.0,0,0"
+    for part in range(3):
+        lines = [",".join(names), good, good.replace("1.0", "bad", 1), good, good.replace("0,0", "x,0"), good]
+        (tmp_path / f"part-{part}.csv").write_text("\n".join(lines) + "\n")
+    df = read_ledger(spark, str(tmp_path), mode="DROPMALFORMED")
+    rows = df.collect()
+    assert df.count() == len(rows) == df.select(names[0]).count() == len(df.select(names[3]).collect())
+    numbered = number_rows(df)
+    assert sorted(r["row_num"] for r in numbered.collect()) == list(range(1, len(rows) + 1))
+    assert read_ledger(spark, str(tmp_path), limit=4, mode="DROPMALFORMED").count() == 4
+
+
+def test_last_edit_of_an_event_counts(spark):
+    labels = spark.createDataFrame([("a", True), ("b", True)], "event_id string, is_fraud boolean")
+    edits = spark.createDataFrame([("a", False, 1), ("a", None, 2), ("b", None, 1), ("b", False, 2), ("c", True, 1), ("c", True, 1)],
+                                  "event_id string, is_fraud boolean, at int")
+    got = ops.apply_label_edits(labels, edits, order="at").collect()
+    assert sorted(map(tuple, got)) == [("b", False), ("c", True)]
+
+
+def test_cache_follows_content_and_ignores_unfinished_writes(spark, tmp_path):
+    one, two = (spark.createDataFrame([(1, x), (2, x)], "row_num int, amount double") for x in (1.0, 2.0))
+    assert content_identity(one) != content_identity(two)
+    assert content_identity(one) == content_identity(one.orderBy(F.desc("row_num")))
+    assert content_identity(one) != content_identity(one.unionByName(one).unionByName(one))
+    (tmp_path / "k-x").mkdir()
+    for frame in (one, two):  # the second finds the first one's copy
+        assert events.cached(spark, str(tmp_path), "k", "x", lambda f=frame: f).agg(F.sum("amount")).first()[0] == 2.0

@@ -147,6 +147,13 @@ def partition_fingerprint(df: DataFrame, by: str = "split", row_id: str = "row_n
     )
 
 
+def content_identity(df: DataFrame) -> str:
+    """Identity of a table's whole content whatever the order of its rows: count, sum and xor of 64-bit row hashes."""
+    row = F.xxhash64(*[F.col(c) for c in df.columns])
+    got = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(20,0)")), F.bit_xor(row)).first()
+    return "-".join(str(x or 0) for x in got)
+
+
 def data_identity(df: DataFrame, row_id: str = "row_num") -> DataFrame:
     return df.selectExpr(
         f"bit_xor({c.md5_number(row_id)}) AS fingerprint",

@@ -129,7 +129,7 @@ def feature_stats(spark, d):
     return rounded(q.feature_stats(stored(gold(spark, d), "gold")), *STATS)
 
 
-DRIFT_FEATURES = ["amount", "amount_z_vs_prior", "seconds_since_last_txn", "amount_to_balance_ratio", "hour_of_day"]
+DRIFT_FEATURES = NUMERIC_FEATURES
 DRIFT = ["base_mean", "window_mean", "mean_shift", "median_shift", "spread_ratio"]
 SPLIT_US = 1_704_067_200_000_000 + 480 * 3_600_000_000
 
@@ -163,10 +163,10 @@ def null_audit(spark, d):
     return q.null_audit(ledger(spark, d))
 
 
-@query("dup_audit", with_ctes(LEDGER, """SELECT count(*) FILTER (WHERE n > 1) AS repeated_groups, sum(n - 1)::BIGINT AS surplus_rows, sum(n)::BIGINT AS rows
-  FROM (SELECT count(*) AS n FROM ledger GROUP BY step, txn_type, account_id, dest_id)"""))
+@query("dup_audit", with_ctes(LEDGER, f"""SELECT count(*) FILTER (WHERE n > 1) AS repeated_groups, sum(n - 1)::BIGINT AS surplus_rows, sum(n)::BIGINT AS rows
+  FROM (SELECT count(*) AS n FROM ledger GROUP BY {', '.join(LEDGER_COLUMNS[1:])})"""))
 def dup_audit(spark, d):
-    return q.dup_audit(ledger(spark, d), ["step", "txn_type", "account_id", "dest_id"])
+    return q.dup_audit(ledger(spark, d), LEDGER_COLUMNS[1:])
 
 
 @query("range_audit", with_ctes(LEDGER, """SELECT min(step) AS step_min, max(step) AS step_max, """ + ", ".join(
@@ -176,7 +176,9 @@ def range_audit(spark, d):
     return q.range_audit(ledger(spark, d))
 
 
-CARD = {"step": "bigint", "txn_type": "string", "account_id": "string", "dest_id": "string", "is_fraud": "boolean"}
+CARD = {"row_num": "bigint", "step": "bigint", "txn_type": "string", "amount": "double", "account_id": "string",
+        "oldbalance_org": "double", "newbalance_orig": "double", "dest_id": "string", "oldbalance_dest": "double",
+        "newbalance_dest": "double", "is_fraud": "boolean", "is_flagged_fraud": "boolean"}
 
 
 @query("cardinality", with_ctes(LEDGER, " UNION ALL ".join(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from txnlens.functions import columns as c
 from txnlens.functions.schema import RAW_COLUMNS, SIM_EPOCH_US, TXN_COLUMNS
 from txnlens.operators.account import account_features
-from txnlens.operators.splits import data_identity
+from txnlens.operators.splits import content_identity
 from txnlens.operators.state import account_state, lookup_states, upsert_latest, with_state_json
 from txnlens.plans.inputs import (
     GOLD, LEDGER, SCORED_GOLD, SCORED_SILVER, SILVER, ledger, r6_list, rounded, scored, scored_silver,
@@ -161,10 +161,10 @@ def history_flatten(spark, d):
 )
 def frame_cache(spark, d):
     rows = silver(spark, d)
-    print_id = data_identity(rows.selectExpr("bronze_row_num AS row_num", "step", "CAST(is_fraud AS INT) AS y")).first()
+    print_id = content_identity(rows)
     folder = fresh_dir(spark, "frames")
     for _ in range(2):
-        frame = events.cached(spark, folder, "account-features", print_id["fingerprint"], lambda: account_features(rows))
+        frame = events.cached(spark, folder, "account-features", print_id, lambda: account_features(rows))
     return rounded(frame.select("event_id", "amount_z_vs_prior", "txn_rate_per_hour"), "amount_z_vs_prior", "txn_rate_per_hour")
 
 
@@ -172,13 +172,13 @@ def _halves(spark, d):
     """Stored states from the first half of the ledger, incoming ones from a later cut."""
     rows = silver(spark, d)
     stored = account_state(rows.where("step <= 360"))
-    incoming = account_state(rows.where("step BETWEEN 300 AND 480"))
+    incoming = account_state(rows.where("step >= 300"))
     cols = ["account_id", "txn_count", "amount_sum", "updated_at_us"]
     return stored.select(*cols), incoming.select(*cols)
 
 
 def _upsert_sql(better: str, tail: str = "") -> str:
-    ctes = SILVER + state_cte("cur", "WHERE step <= 360") + state_cte("inc", "WHERE step BETWEEN 300 AND 480")
+    ctes = SILVER + state_cte("cur", "WHERE step <= 360") + state_cte("inc", "WHERE step >= 300")
     take = f"(c.account_id IS NULL OR i.updated_at_us {better} c.updated_at_us)"
     cols = ", ".join(f"CASE WHEN i.account_id IS NOT NULL AND {take} THEN i.{x} ELSE c.{x} END AS {x}"
                      for x in ("txn_count", "amount_sum", "updated_at_us"))

@@ -119,12 +119,12 @@ def export_staging(silver: DataFrame, path: str) -> None:
 
 
 def cached(spark: SparkSession, folder: str, key: str, fingerprint: str, build) -> DataFrame:
-    """Build a frame once per (key, data fingerprint) and read the Parquet copy afterwards."""
+    """Build a frame once per (key, data fingerprint) and read the Parquet copy afterwards.
+
+    A copy counts once its write has been committed; what a failed write left is written over.
+    """
     path = f"{folder}/{key}-{fingerprint}"
-    try:
-        return spark.read.parquet(path)
-    except Exception as missing:  # the path does not exist yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    build().write.mode("overwrite").parquet(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

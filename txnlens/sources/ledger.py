@@ -27,16 +27,23 @@ def read_ledger(spark: SparkSession, path: str, limit: int | None = None, mode:
     """Read the ledger CSV with its fixed schema.
 
     The header is read first, so a missing column is an error that names it.  ``limit``
-    keeps the first rows of the source.  ``mode`` is Spark's CSV parse mode; ``PERMISSIVE``
-    keeps bad lines in ``_corrupt_record``, ``DROPMALFORMED`` skips them.
+    keeps the first rows of the source, of those that the mode keeps.  ``mode`` is Spark's CSV
+    parse mode; ``PERMISSIVE`` keeps bad lines in ``_corrupt_record``, ``DROPMALFORMED`` skips
+    them.  Every column of a line is parsed whatever a query reads, so which lines are bad does
+    not depend on it.
     """
     header = spark.read.option("header", True).csv(path).columns
     check_columns(header)
     fields = {f.name: f for f in RAW.fields}
     schema = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in header])
-    if mode == "PERMISSIVE":
+    skip = mode == "DROPMALFORMED"
+    if skip or mode == "PERMISSIVE":
         schema = schema.add(CORRUPT, T.StringType())
-    df = spark.read.schema(schema).option("header", True).option("mode", mode).csv(path)
+    reader = spark.read.schema(schema).option("header", True).option("columnPruning", False)
+    df = reader.option("mode", "PERMISSIVE" if skip else mode).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    if skip:
+        # The second condition always holds; it makes the scan read the whole line.
+        df = df.where(F.col(CORRUPT).isNull() & (F.length(F.concat_ws("", *[F.col(c).cast("string") for c in header])) >= 0))
     keep = [*RAW_COLUMNS, *([CORRUPT] if mode == "PERMISSIVE" else [])]
     if limit is not None:
         df = number_rows(df).where(F.col("row_num") <= limit)

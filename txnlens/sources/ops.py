@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 RUN_SCHEMA = "run_id string, layer string, started_at double, finished_at double, status string, rows_out long, detail string"
 
 
-def apply_label_edits(labels: DataFrame, edits: DataFrame) -> DataFrame:
-    """Set or clear ground truth: an edit with a NULL label removes the row."""
+def apply_label_edits(labels: DataFrame, edits: DataFrame, order: str | None = None) -> DataFrame:
+    """Set or clear ground truth: an edit with a NULL label removes the row.
+
+    Of several edits of one event the last by ``order`` counts; without an order, or at the same
+    place in it, setting goes before clearing and fraud before not.
+    """
+    last = ([F.col(order)] if order else []) + [F.col("is_fraud").isNotNull(), F.col("is_fraud")]
+    edits = edits.groupBy("event_id").agg(F.max_by(F.struct(*edits.columns), F.struct(*last)).alias("e")).select("e.*")
     kept = labels.join(edits, "event_id", "left_anti")
     return kept.unionByName(edits.where("is_fraud IS NOT NULL").select(*labels.columns))
 
@@ -44,7 +50,7 @@ def track_run(spark: SparkSession, table: str, layer: str):
     try:
         yield run
     except Exception as error:
-        status, run["detail"] = "failed", f"{type(error).__name__}: {error}"[:500]
+        status, run["detail"] = "failed", f"{type(error).__name__}: {error}"
         raise
     finally:
         row = (f"{layer}-{started:.6f}", layer, started, time.time(), status, run["rows_out"], run["detail"])
