@@ -24,7 +24,7 @@ from txnlens.sources.scratch import stored
 
 CAPACITY = 2048
 SHARD = 60_000
-REMEMBERED = 300_000  # words whose ids a task keeps
+REMEMBERED = 1_000_000  # words whose ids a worker keeps, some 200 MB
 _CODERS: dict[str, Coder] = {}
 
 
@@ -47,20 +47,34 @@ class Coder(dict):
     def reset(self) -> None:
         self.clear()
         self.new: list[bytes] = []
+        self.joined: list[tuple[int, int, int]] = []
         self.pool, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, int), np.zeros(0, int)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
+        # A comma or full stop behind an ASCII letter is a token run of its own.
+        if word[-1:] in (b",", b".") and word[-2:-1].isalpha():
+            parts_ = self[word[:-1]], self[word[-1:]]
+            self[word] = number = len(self)
+            self.joined.append((number, *parts_))
+        else:
+            self[word] = number = len(self)
+            self.new.append(word)
         return number
 
     def _learn(self) -> None:
+        known = len(self.at)
         got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)]
-        size = np.array([len(x) for x in got], int)
+        every: list = [None] * (len(self) - known)
+        for word, ids in zip(self.new, got, strict=True):
+            every[self[word] - known] = ids
+        for number, *halves in self.joined:
+            every[number - known] = [i for h in halves for i in (
+                every[h - known] if h >= known else self.pool[self.at[h]:self.at[h] + self.size[h]].tolist())]
+        size = np.array([len(x) for x in every], int)
         self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(got), np.uint32)])
-        self.new = []
+        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(every), np.uint32)])
+        self.new, self.joined = [], []
 
     def ids(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """The ids of each text followed by ``end``."""
@@ -68,7 +82,7 @@ class Coder(dict):
             self.reset()
         words = [[] if b"<|" in t else t.lower().split() for t in texts]
         number = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(words)), int)
-        if self.new:
+        if self.new or self.joined:
             self._learn()
         size = self.size[number]
         upto = np.cumsum(size)
