@@ -25,6 +25,7 @@ from txnlens.sources.scratch import stored
 CAPACITY = 2048
 SHARD = 60_000
 REMEMBERED = 1_000_000  # words whose ids a worker keeps, some 200 MB
+PUNCTUATION = b".,;:!?*#$%&|<>"  # of these, and no apostrophe, which may begin a token with letters
 _CODERS: dict[str, Coder] = {}
 
 
@@ -51,9 +52,10 @@ class Coder(dict):
         self.pool, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, int), np.zeros(0, int)
 
     def __missing__(self, word: bytes) -> int:
-        # A comma or full stop behind an ASCII letter is a token run of its own.
-        if word[-1:] in (b",", b".") and word[-2:-1].isalpha():
-            parts_ = self[word[:-1]], self[word[-1:]]
+        # Punctuation at the end, behind a letter, is a token run of its own.
+        core = word.rstrip(PUNCTUATION)
+        if core != word and (core[-1:].isalpha() or (core[-2:-1] == b"\xc3" and core[-1:] not in b"\x97\xb7")):
+            parts_ = self[core], self[word[len(core):]]
             self[word] = number = len(self)
             self.joined.append((number, *parts_))
         else:
