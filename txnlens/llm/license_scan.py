@@ -77,7 +77,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
     words = {name: template_words(t) for name, t in templates.items()}
     if not words or len(words) > MOST_TEMPLATES or min(map(len, words.values())) < SHINGLE:
         raise ValueError(f"templates must be 1 to {MOST_TEMPLATES} texts of {SHINGLE} words or more")
-    known = docs.sparkSession.createDataFrame([(n, w, window_size(len(w))) for n, w in words.items()], "license string, words array<string>, size int")
+    rows = [F.struct(F.lit(n).alias("license"), F.array(*[F.lit(x) for x in w]).alias("words"), F.lit(window_size(len(w))).alias("size"))
+            for n, w in words.items()]
+    known = docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
     known = known.select("license", "size", _shingles(F.col("words")).alias("template"))
     keys = known.select("license", "size", "template", F.posexplode(_bands(F.col("template"))).alias("band", "key"))
     some = sorted({" ".join(w[i:i + SHINGLE]) for w in words.values() for i in range(len(w) - SHINGLE + 1)})
