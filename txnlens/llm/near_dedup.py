@@ -10,7 +10,7 @@ of the list, which joins up groups of near copies; then only clusters of lists t
 compared block by block, signatures first and full sets after, inside a task, and only confirmed links between
 components leave it. Pairs inside one component cannot change the result and are not compared.
 
-A pair with similarity 0.85 agrees on fewer than 36 of 64 coordinates with probability 4e-8; all other steps are exact
+A pair with similarity 0.85 agrees on fewer than 36 of 64 coordinates with probability 8e-9; all other steps are exact
 on 64-bit shingle hashes.
 """
 
