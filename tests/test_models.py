@@ -1,9 +1,10 @@
 import pytest
 
 from txnlens.operators import frontier, models, pit
-from txnlens.plans.models import FEATURES, FEW, frame
+from txnlens.plans.models import FEATURES, frame
 
 SF = "/root/testdata/sf0.01"
+FEW = ["current_amount", "transaction_type_transfer", "pit_prior_count_24h", "pit_distinct_senders_168h"]
 
 
 @pytest.fixture(scope="module")

@@ -21,8 +21,8 @@ from txnlens.sources.scratch import stored
 SEED = 42
 KINDS = {
     "tree": lambda **p: DecisionTreeClassifier(seed=SEED, **{"maxDepth": 5, **p}),
-    "forest": lambda **p: RandomForestClassifier(seed=SEED, **{"numTrees": 10, "maxDepth": 5, **p}),
-    "gbt": lambda **p: GBTClassifier(seed=SEED, **{"maxIter": 5, "maxDepth": 3, **p}),
+    "forest": lambda **p: RandomForestClassifier(seed=SEED, **{"numTrees": 25, "maxDepth": 16, "minInstancesPerNode": 20, **p}),
+    "gbt": lambda **p: GBTClassifier(seed=SEED, **{"maxIter": 20, "maxDepth": 3, **p}),
     "logistic": lambda **p: LogisticRegression(**{"maxIter": 25, **p}),
 }
 

@@ -114,6 +114,22 @@ def fold_test_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
     return df.join(F.broadcast(folds), F.expr("step > cut AND step <= test_end"))
 
 
+def fold_scores(df: DataFrame, folds: DataFrame, weight: float = 100.0) -> DataFrame:
+    """Test rows of every fold with a score fitted on its training rows alone, which end ``embargo`` steps before the cut.
+
+    The model is the smoothed fraud rate of the type and hour of day, learnt from per-step totals; what training
+    has not seen scores 0.
+    """
+    hour = c.plain_hour()
+    rates = F.broadcast(folds).join(step_totals(df, "txn_type"), F.expr("step <= train_end")).groupBy(
+        "embargo", "cut", "txn_type", F.expr(hour).alias("hour")).agg(
+        F.expr(f"(sum(positives) + 1) / (sum(rows) + {weight!r}D) AS rate"))
+    rows = fold_test_rows(df.select("step", "txn_type", "y", "amount"), folds).withColumn("hour", F.expr(hour))
+    # Folds x types x hours: the configuration and the domain fix its size.
+    out = rows.join(F.broadcast(rates), ["embargo", "cut", "txn_type", "hour"], "left")
+    return out.selectExpr("embargo", "cut", "y", "amount", "coalesce(rate, 0D) AS score")
+
+
 def embargo_summary(ranked: DataFrame) -> DataFrame:
     """Spread of a fold metric per embargo, over folds whose test part has both classes."""
     usable = ranked.where("positives > 0 AND positives < rows")

@@ -134,9 +134,9 @@ def state_cover(states: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
-def diff_states(online: DataFrame, warehouse: DataFrame, n: int = 100) -> DataFrame:
-    """Compare anchors of ``n`` hash-chosen warehouse accounts; absence online is fine."""
+def diff_states(online: DataFrame, warehouse: DataFrame, n: int | None = None) -> DataFrame:
+    """Compare anchors of all warehouse accounts, or of ``n`` hash-chosen ones; absence online is fine."""
     compared = ["last_event_id", "last_event_ts_us", "last_amount", "txn_count"]
-    picked = warehouse.orderBy(F.expr(c.md5_number("account_id")), "account_id").limit(n)
+    picked = warehouse if n is None else warehouse.orderBy(F.expr(c.md5_number("account_id")), "account_id").limit(n)
     joined = picked.alias("w").join(online.alias("o"), "account_id")
     return joined.selectExpr("account_id", *[f"NOT (o.{x} <=> w.{x}) AS {x}_differs" for x in compared])

@@ -74,15 +74,15 @@ def dq_balance_gap(spark, d):
 
 @query(
     "dq_suite",
-    with_ctes(GOLD, f"""SELECT 'row_parity' AS "check", 'pass' AS status, count(*)::DOUBLE AS observed, 'bronze = silver = gold' AS bound FROM gold
+    with_ctes(GOLD, f"""SELECT 'row_parity' AS "check", CASE WHEN (SELECT count(*) FROM ledger) = count(*) THEN 'pass' ELSE 'fail' END AS status, count(*)::DOUBLE AS observed, 'bronze = silver = gold' AS bound FROM gold
       UNION ALL SELECT 'ts_strict', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*)::DOUBLE, '0' FROM (
         SELECT event_ts_us, lag(event_ts_us) OVER (PARTITION BY account_id ORDER BY row_num) AS p FROM silver) WHERE p >= event_ts_us
-      UNION ALL SELECT 'null_ts', 'pass', (count(*) - count(event_ts_us))::DOUBLE, '0' FROM silver
-      UNION ALL SELECT 'finite_amount', 'pass', count(*)::DOUBLE, '0' FROM silver WHERE isnan(amount) OR isinf(amount)
-      UNION ALL SELECT 'no_infinite', 'pass', count(*)::DOUBLE, '0' FROM gold WHERE {' OR '.join(f'isinf({f})' for f in NUMERIC_FEATURES)}
-      UNION ALL SELECT 'fraud_rate', 'pass', rnd(avg(is_fraud::INT), 6), '{LOW}..{HIGH}' FROM silver
-      UNION ALL SELECT 'label_types', 'pass', count(*)::DOUBLE, '0' FROM silver WHERE is_fraud AND txn_type NOT IN ('TRANSFER', 'CASH_OUT')
-      UNION ALL SELECT 'first_txn', 'pass', sum(is_first_txn), 'accounts' FROM gold
+      UNION ALL SELECT 'null_ts', CASE WHEN count(*) = count(event_ts_us) THEN 'pass' ELSE 'fail' END, (count(*) - count(event_ts_us))::DOUBLE, '0' FROM silver
+      UNION ALL SELECT 'finite_amount', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*)::DOUBLE, '0' FROM silver WHERE isnan(amount) OR isinf(amount)
+      UNION ALL SELECT 'no_infinite', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*)::DOUBLE, '0' FROM gold WHERE {' OR '.join(f'isinf({f})' for f in NUMERIC_FEATURES)}
+      UNION ALL SELECT 'fraud_rate', CASE WHEN avg(is_fraud::INT) BETWEEN {LOW} AND {HIGH} THEN 'pass' ELSE 'fail' END, rnd(avg(is_fraud::INT), 6), '{LOW}..{HIGH}' FROM silver
+      UNION ALL SELECT 'label_types', CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END, count(*)::DOUBLE, '0' FROM silver WHERE is_fraud AND txn_type NOT IN ('TRANSFER', 'CASH_OUT')
+      UNION ALL SELECT 'first_txn', CASE WHEN sum(is_first_txn) = count(DISTINCT account_id) THEN 'pass' ELSE 'fail' END, sum(is_first_txn), 'accounts' FROM gold
       UNION ALL SELECT 'balance_gap', 'pass', (count(*) FILTER (WHERE balance_gap_flag = 1))::DOUBLE, 'advisory' FROM gold"""),
 )
 def dq_suite(spark, d):

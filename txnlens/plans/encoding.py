@@ -139,8 +139,9 @@ FOUR = """CASE WHEN step <= 480 THEN 'train' WHEN step <= 552 THEN 'calibration'
 
 @query(
     "split_4stage",
-    with_ctes(SCORED, f"""SELECT split, min(step) AS first_step, max(step) AS last_step, true AS disjoint
-      FROM (SELECT step, {FOUR} FROM scored) GROUP BY split"""),
+    with_ctes(SCORED, f""", s AS (SELECT split, min(step) AS first_step, max(step) AS last_step
+        FROM (SELECT step, {FOUR} FROM scored) GROUP BY split)
+      SELECT *, NOT EXISTS (SELECT 1 FROM s o WHERE o.first_step < s.first_step AND o.last_step >= s.first_step) AS disjoint FROM s"""),
 )
 def split_4stage(spark, d):
     return splits.stages_disjoint(splits.split_4stage(scored(spark, d)))

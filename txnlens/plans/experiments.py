@@ -9,6 +9,7 @@ from txnlens.plans.evaluation import rank_ctes
 from txnlens.plans.inputs import SCORED, rounded, scored, with_ctes
 from txnlens.plans.policy import frontier_ctes
 from txnlens.plans.registry import query
+from txnlens.sources.scratch import stored
 
 LONG = SCORED + ex.UNIVERSE_SQL + """,
 ml AS (SELECT row_num, step, amount, y, universe, part, 'main' AS model, score FROM uni
@@ -201,12 +202,16 @@ def governance_sensitivity(spark, d):
 @query(
     "walk_forward_embargo",
     with_ctes(SCORED + FOLDS.format(e="(0), (24), (168)") + """,
-      ft AS (SELECT embargo, cut, y, amount, score FROM scored JOIN folds ON step > cut AND step <= test_end)"""
+      learnt AS (SELECT embargo, cut, txn_type, step % 24 AS hour, (sum(y) + 1)::DOUBLE / (count(*) + 100) AS rate
+        FROM scored JOIN folds ON step <= train_end GROUP BY ALL),
+      ft AS (SELECT f.embargo, f.cut, y, amount, coalesce(l.rate, 0) AS score FROM scored s
+        JOIN folds f ON s.step > f.cut AND s.step <= f.test_end LEFT JOIN learnt l
+        ON l.embargo = f.embargo AND l.cut = f.cut AND l.txn_type = s.txn_type AND l.hour = s.step % 24)"""
               + rank_ctes("ft", ("embargo", "cut")), """SELECT embargo, rnd(avg(average_precision), 6) AS mean, rnd(stddev_samp(average_precision), 6) AS std,
       rnd(min(average_precision), 6) AS min, rnd(max(average_precision), 6) AS max FROM fr_m WHERE positives > 0 AND positives < rows GROUP BY embargo"""),
 )
 def walk_forward_embargo(spark, d):
-    rows = scored(spark, d).select("row_num", "step", "y", "amount", "score")
     folds = splits.fold_table(spark, embargos=splits.EMBARGOS)
-    ranked = frontier.ranking_metrics(splits.fold_test_rows(rows, folds), ["embargo", "cut"])
+    scores = stored(splits.fold_scores(scored(spark, d), folds), "fold-scores")
+    ranked = frontier.ranking_metrics(scores, ["embargo", "cut"])
     return rounded(splits.embargo_summary(ranked), "mean", "std", "min", "max")

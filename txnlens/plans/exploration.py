@@ -91,13 +91,17 @@ register("type_dest_matrix", """SELECT txn_type, substr(dest_id, 1, 1) AS dest_k
   rnd(avg(y), 6) AS rate FROM scored GROUP BY 1, 2""", p.type_dest_matrix, "rate")
 
 CORR = {
-    "label": "y", "amount": "amount", "hour": c.plain_hour(), "old_org": "oldbalance_org", "new_org": "newbalance_orig",
-    "old_dest": "oldbalance_dest", "new_dest": "newbalance_dest", "error_orig": "oldbalance_org - amount - newbalance_orig",
+    "label": "y", "amount": "amount", "old_org": "oldbalance_org", "new_org": "newbalance_orig", "old_dest": "oldbalance_dest",
+    "new_dest": "newbalance_dest", "error_orig": "newbalance_orig + amount - oldbalance_org",
+    "error_dest": "oldbalance_dest + amount - newbalance_dest", "is_transfer": "CAST(txn_type = 'TRANSFER' AS INT)",
+    "orig_drained": "CAST(newbalance_orig = 0 AS INT)", "dest_both_zero": "CAST(oldbalance_dest = 0 AND newbalance_dest = 0 AS INT)",
+    "amount_to_org": "amount / (oldbalance_org + 1)", "amount_to_dest": "amount / (oldbalance_dest + 1)",
 }
+CAPABLE = "txn_type IN ('TRANSFER', 'CASH_OUT')"
 _NAMES = list(CORR)
 register("correlations", " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, rnd(corr({CORR[a]}, {CORR[b]}), 6) AS correlation FROM scored"
-    for i, a in enumerate(_NAMES) for b in _NAMES[i + 1:]), lambda df: p.correlations(df, CORR), "correlation")
+    f"SELECT '{a}' AS a, '{b}' AS b, rnd(corr({CORR[a]}, {CORR[b]}), 6) AS correlation FROM scored WHERE {CAPABLE}"
+    for i, a in enumerate(_NAMES) for b in _NAMES[i + 1:]), lambda df: p.correlations(df.where(CAPABLE), CORR), "correlation")
 
 register("entity_counts", """SELECT count(DISTINCT account_id) AS origins, count(DISTINCT dest_id) AS recipients,
   count(*) FILTER (WHERE starts_with(dest_id, 'M')) AS merchant_rows, count(*) FILTER (WHERE starts_with(dest_id, 'M') AND y = 1) AS merchant_positives

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from txnlens.functions.columns import micros
-from txnlens.operators import models, pit
+from txnlens.operators import models, pit, splits
 from txnlens.operators.frontier import ranking_metrics
 from txnlens.operators.metrics import calibration_errors
 from txnlens.plans.inputs import ledger, scored
@@ -14,7 +14,6 @@ from txnlens.sources import fixture
 from txnlens.sources.scratch import fresh_dir
 
 FEATURES = pit.PIT_FEATURES
-FEW = ["current_amount", "transaction_type_transfer", "pit_prior_count_24h", "pit_distinct_senders_168h"]
 
 
 def frame(spark, d):
@@ -41,7 +40,7 @@ for _kind in ("tree", "forest", "gbt"):
 @query("score_matrix")
 def score_matrix(spark, d):
     parts = {"to_480": "step <= 480", "to_355": "step <= 355"}
-    return models.score_matrix(frame(spark, d), FEATURES, ["tree", "logistic"], parts).select("row_num", "model", "train_key", "score")
+    return models.score_matrix(frame(spark, d), FEATURES, ["tree", "forest", "logistic"], parts).select("row_num", "model", "train_key", "score")
 
 
 WINDOW = "step > 480 AND step <= 552"
@@ -64,7 +63,8 @@ query("isotonic_calibrate")(_calibrated(models.isotonic))
 @query("tune_walk_forward")
 def tune_walk_forward(spark, d):
     grid = [{"maxDepth": 3}, {"maxDepth": 5}, {"maxDepth": 5, "minInstancesPerNode": 20}]
-    return models.tune(frame(spark, d), FEATURES, "tree", grid, [(360, 415), (480, 535)], patience=2)
+    folds = [(cut, cut + splits.WALK_WIDTH) for cut in splits.WALK_CUTS]
+    return models.tune(frame(spark, d), FEATURES, "tree", grid, folds, patience=2)
 
 
 @query("refit_and_seal")
@@ -77,16 +77,16 @@ def refit_and_seal(spark, d):
 def batch_score(spark, d):
     rows = frame(spark, d)
     path = fresh_dir(spark, "model")
-    models.save(models.fit("logistic", rows.where("step <= 480"), FEW), spark, path, "7")
+    models.save(models.fit("logistic", rows.where("step <= 480"), FEATURES), spark, path, "7")
     model, version = models.load(spark, path)
-    out = models.batch_score(model, rows, FEW, 0.5, version)
+    out = models.batch_score(model, rows, FEATURES, 0.5, version)
     return out.select("row_num", "fraud_score", "decision", "model_version", "feature_schema_version")
 
 
 @query("loo_ablation")
 def loo_ablation(spark, d):
     rows = frame(spark, d)
-    return models.ablation(rows.where("step <= 480"), rows.where("step > 480"), FEW)
+    return models.ablation(rows.where("step <= 480"), rows.where("step > 480"), FEATURES)
 
 
 @query("permutation_importance")

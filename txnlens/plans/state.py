@@ -101,16 +101,14 @@ def q_state_vs_gold_cover(spark, d):
 
 @query(
     "state_divergence",
-    with_ctes(SILVER + state_cte("w") + state_cte("o", "WHERE step <= 700"), """, picked AS (
-      SELECT * FROM w ORDER BY CAST('0x' || substr(md5(account_id), 1, 8) AS BIGINT), account_id LIMIT 100)
-    SELECT account_id, o.last_event_id IS DISTINCT FROM p.last_event_id AS last_event_id_differs,
-      o.last_event_ts_us IS DISTINCT FROM p.last_event_ts_us AS last_event_ts_us_differs,
-      o.last_amount IS DISTINCT FROM p.last_amount AS last_amount_differs,
-      o.txn_count IS DISTINCT FROM p.txn_count AS txn_count_differs
-    FROM picked p JOIN o USING (account_id)"""),
+    with_ctes(SILVER + state_cte("w") + state_cte("o", "WHERE step <= 700"), """SELECT account_id, o.last_event_id IS DISTINCT FROM w.last_event_id AS last_event_id_differs,
+      o.last_event_ts_us IS DISTINCT FROM w.last_event_ts_us AS last_event_ts_us_differs,
+      o.last_amount IS DISTINCT FROM w.last_amount AS last_amount_differs,
+      o.txn_count IS DISTINCT FROM w.txn_count AS txn_count_differs
+    FROM w JOIN o USING (account_id)"""),
 )
 def q_state_divergence(spark, d):
-    rows = silver(spark, d)
+    rows = silver_table(spark, d)
     return diff_states(account_state(rows.where("step <= 700")), account_state(rows))
 
 
