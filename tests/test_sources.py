@@ -6,7 +6,7 @@ from txnlens.operators.splits import content_identity, data_identity
 from txnlens.plans import inputs, tables
 from txnlens.sources import events, ops
 from txnlens.sources.ledger import MissingColumns, load_bronze, number_rows, read_ledger, to_bronze, write_ledger
-from txnlens.streaming.scored_ingest import stream_scored_events
+from txnlens.streaming.scored_ingest import ingest_scored_events, stream_scored_events
 
 SF = "/root/testdata/sf0.001"
 HEADER = ",".join(RAW_COLUMNS)
@@ -85,6 +85,46 @@ def test_ingest_remembers_files_and_first_write_wins(spark, tmp_path):
     assert {r.event_id: r.fraud_score for r in spark.read.parquet(out).collect()} == {"x": 0.1, "y": 0.2, "z": 0.3}
 
 
+def test_growing_files_arrive_once(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    hours = [src / "dt=2024-01-01" / f"hr={h}" for h in ("00", "01")]
+    line = '{{"event_id":"{i}","fraud_score":{s},"scored_at_us":1}}\n'
+    second = line.format(i="e2", s=0.2)
+    for hour in hours:
+        hour.mkdir(parents=True)
+    grown = hours[0] / "a.jsonl"
+    grown.write_text(line.format(i="e1", s=0.1) + second[:20])
+    (hours[1] / "a.jsonl").write_text(line.format(i="e4", s=0.4))
+
+    def found():
+        return sorted((r.event_id, r.fraud_score) for r in spark.read.parquet(out).collect())
+
+    assert ingest_scored_events(spark, str(src), out) == 2
+    assert found() == [("e1", 0.1), ("e4", 0.4)]
+    with grown.open("a") as f:
+        f.write(second[20:] + line.format(i="e3", s=0.3) + line.format(i="e1", s=0.9))
+    assert events.close_hours(spark, str(src), before=("2024-01-01", "01")) == 1
+    assert (hours[0] / "_SUCCESS").exists() and not (hours[1] / "_SUCCESS").exists()
+    assert ingest_scored_events(spark, str(src), out) == 2
+    assert found() == [("e1", 0.1), ("e2", 0.2), ("e3", 0.3), ("e4", 0.4)]
+    assert ingest_scored_events(spark, str(src), out) == 1
+    assert events.close_hours(spark, str(src)) == 1
+    assert [ingest_scored_events(spark, str(src), out) for _ in range(2)] == [1, 0]
+    assert len(found()) == 4
+
+
+def test_a_load_that_fails_before_its_hours_are_noted_is_repeated(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    hour = src / "dt=2024-01-01" / "hr=00"
+    hour.mkdir(parents=True)
+    (hour / "a.jsonl").write_text('{"event_id":"e1","fraud_score":0.5,"scored_at_us":1}\n')
+    assert ingest_scored_events(spark, str(src), out) == 1
+    (tmp_path / "out" / "batch_id=0" / "_SUCCESS").unlink()  # as a write that was not committed leaves it
+    events.close_hours(spark, str(src))
+    assert [ingest_scored_events(spark, str(src), out) for _ in range(2)] == [1, 0]
+    assert [r.event_id for r in spark.read.parquet(out).collect()] == ["e1"]
+
+
 def test_staging_has_no_labels(spark, tmp_path):
     path = str(tmp_path / "staging")
     events.export_staging(inputs.silver(spark, SF), path)

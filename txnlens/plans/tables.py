@@ -17,7 +17,7 @@ from txnlens.plans.registry import query
 from txnlens.sources import events, fixture, ops
 from txnlens.sources.ledger import read_ledger, to_bronze, write_ledger
 from txnlens.sources.scratch import fresh_dir
-from txnlens.streaming.scored_ingest import stream_scored_events
+from txnlens.streaming.scored_ingest import ingest_scored_events
 
 NOW_US = SIM_EPOCH_US + 30 * events.DAY_US
 
@@ -72,16 +72,22 @@ def identity(df):
 
 @query("ingest_scored_jsonl", with_ctes(SCORED_SILVER, EVENTS_SQL))
 def ingest_scored_jsonl(spark, d):
-    """Every event is written twice, the repeat later and with another score; plus junk lines."""
+    """Half of the events arrive first, with junk lines; then all of them in the same hours, with repeats that were
+    scored later and otherwise; a last load finds nothing new."""
     src, out = fresh_dir(spark, "scored"), fresh_dir(spark, "scored-table")
     ev = scored_events(spark, d)
     again = ev.selectExpr(*[{"scored_at_us": "scored_at_us + 1000000 AS scored_at_us",
                              "fraud_score": "1D - fraud_score AS fraud_score"}.get(x, x) for x in ev.columns])
-    events.write_scored_events(ev.unionByName(again), src)
+    events.write_scored_events(ev.where("crc32(event_id) % 2 = 0"), src)
     junk = ev.selectExpr("substring(to_json(transaction), 1, 40) AS value", f"{c.hour_dt('scored_at_us')} AS dt",
                          f"{c.hour_hr('scored_at_us')} AS hr")
     junk.write.mode("append").partitionBy("dt", "hr").text(src)
-    stream_scored_events(spark, src, fresh_dir(spark, "ckpt"), out).awaitTermination()
+    ingest_scored_events(spark, src, out)
+    events.write_scored_events(ev.unionByName(again), src)
+    ingest_scored_events(spark, src, out)
+    events.close_hours(spark, src)
+    for _ in range(2):
+        ingest_scored_events(spark, src, out)
     return identity(spark.read.parquet(out))
 
 

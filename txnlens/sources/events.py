@@ -78,12 +78,41 @@ def write_scored_events(events: DataFrame, path: str) -> None:
     """Append events as JSON lines below ``dt=/hr=``.
 
     Rows are range-partitioned by time, so an hour is written by few tasks and a busy hour
-    by several.  Spark's commit protocol leaves ``_SUCCESS`` at the root.
+    by several.  Spark's commit protocol leaves ``_SUCCESS`` at the root; hours are closed
+    one by one with ``close_hours``.
     """
     parted = with_hour_partition(events).repartitionByRange("dt", "hr", "scored_at_us", "event_id")
     parted.write.mode("append").partitionBy("dt", "hr").json(path)
 
 
+def hour_folders(spark: SparkSession, path: str) -> dict[tuple[str, str], bool]:
+    """Each hour folder ``(dt, hr)``, oldest first, and whether it carries its close marker.
+
+    Folders are listed, not the files in them: one entry per hour of the data.
+    """
+
+    def listed(pattern: str) -> set[tuple[str, str]]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")
+        found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+        return {HOUR_FOLDER.search(f"{status.getPath().toString()}/").groups() for status in found or []}
+
+    closed = listed("dt=*/hr=*/_SUCCESS")
+    return {hour: hour in closed for hour in sorted(listed("dt=*/hr=*"))}
+
+
+def close_hours(spark: SparkSession, path: str, before: tuple[str, str] | None = None) -> int:
+    """Mark finished hours with an empty ``_SUCCESS``: those before hour ``(dt, hr)``, or all.
+
+    The writer calls this once nothing more will go to those hours.  Returns how many were marked now.
+    """
+    hours = hour_folders(spark, path)
+    todo = [hour for hour, closed in hours.items() if not closed and (before is None or hour < before)]
+    for dt, hr in todo:
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt={dt}/hr={hr}/_SUCCESS")
+        marker.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(marker)
+    return len(todo)
+
+
 def read_scored_events(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType(list(SCORED_EVENT.fields)).add("dt", "string").add("hr", "string")
     return spark.read.schema(schema).json(path)
@@ -92,12 +121,11 @@ def read_scored_events(spark: SparkSession, path: str) -> DataFrame:
 def recent_events(spark: SparkSession, path: str, max_hours: int, max_rows: int) -> DataFrame:
     """The newest events: only the latest ``max_hours`` hour folders are opened.
 
-    Folder names come from the file listing, so pruning happens before any file is read.
+    Hour folders are listed first, so pruning happens before any file is read.
     The row bound is the feature itself; it becomes a per-task top-k, not a full sort.
     """
     events = read_scored_events(spark, path)
-    found = {m.groups() for m in map(HOUR_FOLDER.search, events.inputFiles()) if m}
-    latest = sorted(found, reverse=True)[:max_hours]
+    latest = list(hour_folders(spark, path))[-max_hours:] if max_hours > 0 else []
     return (
         events.where(" OR ".join(f"(dt = '{dt}' AND hr = '{hr}')" for dt, hr in latest) or "false")
         .orderBy(F.desc("scored_at_us"), F.desc("event_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.sources.events import parse_scored_events
+from txnlens.sources.events import hour_folders, parse_scored_events
 
 
 def first_writes(events: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def stream_scored_events(
 ):
     """Read new ``dt=*/hr=*`` files since the last run, then stop.
 
-    The file source's checkpoint remembers finished files, and Spark lists only files that
-    are complete, so a line is never read half-written.
+    The file source's checkpoint remembers file names: a file must be whole when it appears and
+    must not change later.  For files that grow use ``ingest_scored_events``.
     """
     reader = spark.readStream
     if max_files:
@@ -46,3 +46,38 @@ def stream_scored_events(
         .foreachBatch(_load_batch(out))
         .start()
     )
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def ingest_scored_events(spark: SparkSession, source: str, out: str) -> int:
+    """Load what is new below ``source`` into ``out/batch_id=N``; returns the number of hours read.
+
+    Files may grow.  An hour is read whole by every load until one has seen it with its close
+    marker; events already in the table are left out by their id, and a half-written line does
+    not parse, so it comes with the load that finds it finished.  ``out_hours`` lists the hours
+    that are done.  It is written after the events, so a load that fails in between is repeated
+    and adds nothing.  One load at a time.
+    """
+    done = f"{out}_hours"
+    finished = {tuple(r) for r in spark.read.parquet(done).collect()} if _exists(spark, done) else set()
+    # Markers are read before the lines: an hour that closes meanwhile is read once more.
+    todo = {hour: closed for hour, closed in hour_folders(spark, source).items() if hour not in finished}
+    if not todo:
+        return 0
+    folders = [f"{source}/dt={dt}/hr={hr}" for dt, hr in todo]
+    fresh = first_writes(parse_scored_events(spark.read.text(folders)))
+    number = 0
+    while _exists(spark, f"{out}/batch_id={number}/_SUCCESS"):
+        number += 1
+    if number:
+        earlier = spark.read.schema("event_id string, batch_id long").parquet(out)
+        fresh = fresh.join(earlier.where(f"batch_id < {number}"), "event_id", "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{out}/batch_id={number}")
+    closed = [hour for hour, marked in todo.items() if marked]
+    if closed:
+        spark.createDataFrame(closed, "dt string, hr string").coalesce(1).write.mode("append").parquet(done)
+    return len(todo)
