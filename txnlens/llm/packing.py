@@ -24,7 +24,7 @@ from txnlens.sources.scratch import stored
 
 CAPACITY = 2048
 SHARD = 60_000
-REMEMBERED = 1_000_000  # words whose ids a worker keeps, some 200 MB
+REMEMBERED = 300_000  # words whose ids a worker keeps, some 150 MB
 PUNCTUATION = b".,;:!?*#$%&|<>"  # of these, and no apostrophe, which may begin a token with letters
 _CODERS: dict[str, Coder] = {}
 
@@ -33,8 +33,9 @@ class Coder(dict):
     """Token ids of texts through the ids of their words.
 
     For tokenizers that lower-case, drop white space and never join tokens across it, a text's ids are those of its
-    words in turn; ASCII letters may be lowered first. Words seen lately are remembered by number. A text that holds
-    the beginning of a special token goes to the tokenizer whole.
+    words in turn; ASCII letters may be lowered first. Words are remembered by number; when there are too many, those
+    seen once are forgotten, and the most frequent stay. A text that holds the beginning of a special token goes to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -43,13 +44,21 @@ class Coder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
         self.new: list[bytes] = []
         self.joined: list[tuple[int, int, int]] = []
-        self.pool, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, int), np.zeros(0, int)
+        self.pool, self.at, self.size, self.used = np.zeros(0, np.uint32), *np.zeros((3, 0), int)
+
+    def _forget(self) -> None:
+        """Keep the words seen twice or more, at most half of what may be remembered; older sightings count half."""
+        often = np.argsort(-self.used, kind="stable")[:REMEMBERED // 2]
+        stay = np.sort(often[self.used[often] > 1])
+        words = np.fromiter(self, object, len(self))[stay]  # a word's number is its place in the order of entry
+        size = self.size[stay]
+        at = np.cumsum(size) - size
+        self.pool = self.pool[np.arange(size.sum()) + np.repeat(self.at[stay] - at, size)]
+        self.at, self.size, self.used = at, size, self.used[stay] // 2
+        self.clear()
+        self.update(zip(words, range(len(words))))
 
     def __missing__(self, word: bytes) -> int:
         # Punctuation at the end, behind a letter, is a token run of its own.
@@ -75,17 +84,19 @@ class Coder(dict):
         size = np.array([len(x) for x in every], int)
         self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
+        self.used = np.concatenate([self.used, np.zeros(len(size), int)])
         self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(every), np.uint32)])
         self.new, self.joined = [], []
 
     def ids(self, texts: list[bytes], end: int) -> list[np.ndarray]:
         """The ids of each text followed by ``end``."""
         if len(self) > REMEMBERED:
-            self.reset()
+            self._forget()
         words = [[] if b"<|" in t else t.lower().split() for t in texts]
         number = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(words)), int)
         if self.new or self.joined:
             self._learn()
+        self.used += np.bincount(number, minlength=len(self))
         size = self.size[number]
         upto = np.cumsum(size)
         flat = self.pool[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.at[number] - upto + size, size)]
