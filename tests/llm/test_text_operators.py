@@ -355,3 +355,15 @@ def test_words_and_grams_do_not_depend_on_their_place():
     assert textual.Words([b"A b"], lower=True).hash[0] == textual.Words([b"a"]).hash[0]
 
 
+
+
+def test_a_coder_that_forgets_words_gives_the_tokenizers_ids(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    coder = packing.Coder(TOKENIZER)
+    sizes = []
+    for i in range(60):
+        texts = [f"Often seen, again! word{i} other{i * 7}; (x{i})", "", "don't <|endoftext|> stop.", f"{i} naïve, é! often"]
+        want = [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert [x.tolist() for x in coder.ids([t.encode() for t in texts], 0)] == want
+        sizes.append(len(coder))
+    assert max(sizes) <= 60 and any(b < a for a, b in zip(sizes, sizes[1:])) and b"again!" in coder
