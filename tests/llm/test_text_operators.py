@@ -317,6 +317,42 @@ def test_licenses_with_other_case_noise_and_odd_tables(spark, odd, none):
     assert license_scan.miss_probability(5) < 1e-14 and max(map(license_scan.miss_probability, range(5, 400))) < 1e-5
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to
+do so{}. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+CONDITION = """, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software"""
+GNU_NOTICE = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License
+as published by the Free Software Foundation; {}version {} of the License. This program is distributed WITHOUT ANY WARRANTY."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that {} other
+materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"""
+ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse products. "
+ADVERTISE = "All advertising materials mentioning features or use of this software must display the following acknowledgement: this. "
+
+
+def test_licenses_by_text_and_phrase_with_versions_apart(spark):
+    texts = {
+        "Licensed under the MIT License.": "MIT", "released under MIT license": "MIT", "MIT License\n\nCopyright (c) 2020 A": "MIT",
+        MIT_TEXT.format(CONDITION): "MIT", MIT_TEXT.format(""): "MIT-0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "Apache License, Version 2.0": "Apache-2.0", "GPLv3 or later": "GPL-3.0",
+        BSD_TEXT.format("the", ""): "BSD BSD-2-Clause", BSD_TEXT.format("the", "3. " + ENDORSE): "BSD BSD-3-Clause",
+        BSD_TEXT.format("the", f"3. {ADVERTISE}4. {ENDORSE}"): "BSD BSD-4-Clause",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies.": "ISC",
+    }
+    for kind, version, name in (("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", "3", "LGPL-3.0"), ("Affero ", "3", "AGPL-3.0")):
+        texts |= {GNU_NOTICE.format(kind, w, version): name for w in ("either ", "")}
+        texts[f"This work is licensed under the GNU {kind}General Public License, version {version}."] = name
+    rows = [(100 * k + before, " ".join(f"z{i}" for i in range(before)) + " " + text) for k, text in enumerate(texts) for before in (0, 7, 30)]
+    found = {}
+    for r in license_scan.license_matches(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"].split("/")[0])
+    assert {i: found.get(i, set()) for i, _ in rows} == {100 * k + b: set(v.split()) for k, v in enumerate(texts.values()) for b in (0, 7, 30)}
+    assert max(license_scan.miss_probability(len(license_scan.template_words(t))) for t in license_scan.TEMPLATES.values()) < 1e-5
+
+
 # --- pipeline -------------------------------------------------------------------------
 def test_pipeline_equals_brute_force(spark, documents, labels):
     docs, stages = documents, dict(corpus_pipeline.STAGES)
