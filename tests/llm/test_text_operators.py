@@ -172,6 +172,16 @@ def test_near_duplicates_equal_brute_force(spark, odd, none, monkeypatch, block)
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_members_of_the_largest_part_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "_compare", lambda percent: lambda members: members.assign(u=len(members), v=0)[["u", "v"]].head(1))
+    stars = spark.createDataFrame([(0, i) for i in range(1, 41)], "u bigint, v bigint")
+    parts_ = spark.createDataFrame([(i, 0) for i in range(40)], "node bigint, component bigint")
+    signed = spark.createDataFrame([(i, [i]) for i in range(41)], "node bigint, signature array<bigint>")
+    met = near_dedup._other_links(stars, parts_, signed, signed.withColumnRenamed("signature", "shingles"), 85)
+    assert sum(r["u"] for r in met.collect()) == 40 + 21  # 861 if every two blocks meet
+
+
 # --- passages ----------------------------------------------------------------
 def brute_passages(rows, window):
     words = [WORD.findall(t or "") for _, t in rows]
