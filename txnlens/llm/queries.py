@@ -215,3 +215,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", *COUNTS, "base_failed", "kept", "rule")
+
+
+@query("op11_length_strata_search", r"""
+WITH terms AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_all FROM terms WHERE len(t) > 0),
+normal AS (SELECT r, doc_id, t, 10 + (90 * CAST(len(t) AS BIGINT) * n_docs) // n_all AS m FROM terms, whole WHERE len(t) > 0),
+postings AS (SELECT r, doc_id, m, term, count(*) AS tf FROM (SELECT r, doc_id, m, unnest(t) AS term FROM normal) GROUP BY ALL),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM postings, whole GROUP BY term, n_docs),
+scores AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN postings USING (term) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 10""")
+def op11_length_strata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    from txnlens.llm.lexical_search import search_documents
+
+    return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
