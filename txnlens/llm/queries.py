@@ -241,3 +241,40 @@ def op11_length_strata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txnlens.llm.lexical_search import search_documents
 
     return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Words one edit apart have a deletion of one of them, or the same letters but for one place, in common: both as patterns.
+@query("op13_spelling_variants", """
+WITH RECURSIVE runs AS (
+  SELECT id, run, count(*) AS c FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL),
+bits AS (SELECT run, c, bin(id || ':' || run) AS b FROM runs),
+hashes AS (
+  SELECT run, c, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+      [CAST(b[8 * (i // 8) + 8 - i % 8] AS UBIGINT) for i in range(0, length(b))]),
+    lambda s, x: CASE WHEN xor(s, x) % 2 = 1 THEN xor(s // 2, 3988292384::UBIGINT) ELSE s // 2 END)) AS h FROM bits),
+words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % 97 = 0 THEN run[:CAST(h % length(run) AS BIGINT)] || run[CAST(h % length(run) AS BIGINT) + 2:] ELSE run END AS word
+    FROM hashes) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+holes AS (SELECT word, n, i, word[:i - 1] AS a, word[i + 1:] AS z FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON h.a || h.z = w.word
+  UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON h.a || h.z = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+known AS (
+  SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form,
+    CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (
+  SELECT word, word AS at, form AS next FROM known
+  UNION ALL SELECT c.word, k.word, k.form FROM chain c JOIN known k ON c.next = k.word)
+SELECT k.word, k.form, c.at AS root, k.n, k.n_near, k.form_n FROM known k JOIN chain c ON c.word = k.word AND c.next IS NULL""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every counted word with its more frequent form and root."""
+    from txnlens.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
