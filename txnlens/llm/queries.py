@@ -278,3 +278,11 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txnlens.llm.spelling import spelling_variants
 
     return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_secret_scan")
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document holds secrets."""
+    from txnlens.llm.secret_scan import secret_digests
+
+    return secret_digests(table(spark, sf_dir, "documents"))
