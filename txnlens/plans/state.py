@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from txnlens.functions.schema import STATE_COLUMNS, TXN_COLUMNS
-from txnlens.operators import scoring
+from txnlens.operators import models, scoring
+from txnlens.operators.account import account_features
+from txnlens.operators.portable import array_model
 from txnlens.operators.state import (
     account_state, decoded, diff_states, merge_states, read_state_json, state_cover, upsert_latest, with_state_json,
 )
 from txnlens.plans.inputs import (
-    GOLD, SCORED_GOLD, SCORED_SILVER, SILVER, gold, ledger, rounded, scored_silver, scored_with_features, silver, silver_table,
+    GOLD, SCORED_GOLD, SCORED_SILVER, SILVER, gold, ledger, rounded, scored_silver, scored_silver_table, scored_with_features, silver, silver_table,
     state_cte, with_ctes,
 )
 from txnlens.plans.registry import query
 from txnlens.sources import events
-from txnlens.sources.scratch import fresh_dir
+from txnlens.sources.scratch import fresh_dir, stored
+from txnlens.sources.state_log import StateLog
 from txnlens.streaming.state_stream import backfill_state, current_states, stream_state
 
 SUMS = ("amount_sum", "amount_sqsum")
@@ -52,12 +55,12 @@ def q_advance_state_late(spark, d):
   FROM states WHERE last_txn_type NOT IN ('DEBIT', 'CASH_IN')"""))
 def q_state_json(spark, d):
     """Round trip through the stored document; corrupt and foreign-version documents vanish."""
-    stored = with_state_json(account_state(silver(spark, d))).selectExpr(
+    documents = with_state_json(account_state(silver(spark, d))).selectExpr(
         "state_key",
         "CASE WHEN state_json LIKE '%\"last_txn_type\":\"DEBIT\"%' THEN substring(state_json, 1, 25) "
         "WHEN state_json LIKE '%\"last_txn_type\":\"CASH_IN\"%' "
         "THEN replace(state_json, '\"state_version\":1', '\"state_version\":2') ELSE state_json END AS state_json")
-    back = decoded(stored).where("state IS NOT NULL").selectExpr("state_key", "state.*")
+    back = decoded(documents).where("state IS NOT NULL").selectExpr("state_key", "state.*")
     return rounded(back, *SUMS)
 
 
@@ -112,22 +115,44 @@ def q_state_divergence(spark, d):
     return diff_states(account_state(rows.where("step <= 700")), account_state(rows))
 
 
-@query(
-    "sequential_scoring",
-    with_ctes("RECURSIVE " + GOLD, """, m AS (SELECT event_id, account_id, txn_count_prior::BIGINT AS n,
+CHAIN_SQL = with_ctes("RECURSIVE " + GOLD, """, m AS (SELECT event_id, account_id, txn_count_prior::BIGINT AS n,
       -2.0 + 0.6 * coalesce(amount_ratio_vs_prior_max, 0) + 0.25 * coalesce(amount_z_vs_prior, 0)
         + 0.3 * coalesce(dest_is_new, 0) + 0.8 * drains_account + 1.2 * is_fraud_capable_type AS margin FROM gold),
     chain AS (SELECT event_id, account_id, n, 1.0::DOUBLE / (1 + exp(-margin)) AS p FROM m WHERE n = 0
       UNION ALL SELECT m.event_id, m.account_id, m.n, 1.0::DOUBLE / (1 + exp(-(m.margin + 0.9 * c.p)))
         FROM chain c JOIN m ON m.account_id = c.account_id AND m.n = c.n + 1)
     SELECT event_id, rnd(p, 6) AS fraud_score, CASE WHEN p >= 0.5 THEN 'FRAUD' ELSE 'LEGIT' END AS decision,
-      n > 0 AS had_prev_state FROM chain"""),
-)
+      n > 0 AS had_prev_state FROM chain""")
+
+
+@query("sequential_scoring", CHAIN_SQL)
 def q_sequential_scoring(spark, d):
     out = scoring.score_sequential(silver_table(spark, d), scoring.DEFAULT_MODEL, threshold=0.5)
     return rounded(out.select("event_id", "fraud_score", "decision", "had_prev_state"), "fraud_score")
 
 
+@query("sequential_scoring_requests", CHAIN_SQL)
+def q_sequential_scoring_requests(spark, d):
+    """Three batches of requests, each committed before the next; what the logged events and the states say afterwards."""
+    rows = silver_table(spark, d)
+    log, logged = StateLog(fresh_dir(spark, "served"), compact_every=2), fresh_dir(spark, "served-events")
+    for part in ("step <= 240", "step > 240 AND step <= 500", "step > 500"):
+        scoring.score_requests(rows.where(part), scoring.DEFAULT_MODEL, 0.5, log, logged, request="bronze_row_num")
+    out = events.read_scored_events(spark, logged).select("event_id", "fraud_score", "decision", "had_prev_state")
+    return rounded(out, "fraud_score")
+
+
+@query("sequential_scoring_fitted")
+def q_sequential_scoring_fitted(spark, d):
+    """A fitted tree over account features and its own previous score, folded along each account."""
+    rows = scored_silver_table(spark, d)
+    names = ["amount_ratio_vs_prior_max", "seconds_since_last_txn", "drains_account", "is_fraud_capable_type", "prev_fraud_score"]
+    train = stored(account_features(rows, score="score").selectExpr(*names, "CAST(is_fraud AS INT) AS y"), "train")
+    model = array_model(spark, models.fit("tree", train, names))
+    out = scoring.score_sequential(rows, model, threshold=0.5)
+    return out.select("event_id", "fraud_score", "decision", "had_prev_state")
+
+
 @query(
     "scored_event_build",
     with_ctes(SCORED_GOLD, """SELECT s.event_id, s.score AS fraud_score, CASE WHEN s.score >= 0.7 THEN 'FRAUD' ELSE 'LEGIT' END AS decision,
