@@ -139,7 +139,10 @@ def test_harmless_literals_are_left_alone(text):
 
 def test_scan_equals_the_contract(documents, odd):
     listed = ("assign", "access", "hex")
-    for docs in (documents, odd):
+    planted = [(1, 'token = "' + "0af3" * 10 + '" AKIA' + "Q" * 16 + " é secret:abcdef", 0), (None, 'pwd = "Zx81kQp0Lm" api-key=zzzzzzz', 1), (2, "password=12345", 2)]
+    plain = documents.sparkSession.createDataFrame(planted, "doc_id bigint, text string, kind int")
+    larger = documents.sparkSession.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    for docs in (larger, odd, plain):
         want = Counter()
         for r in docs.select("doc_id", "text").collect():
             text, spans = r["text"] or "", []
@@ -152,6 +155,7 @@ def test_scan_equals_the_contract(documents, odd):
             want[r["doc_id"], n[0], n[1], n[2], hashlib.sha256(joined.encode()).hexdigest(), joined] += 1
         got = secret_scan.secret_digests(docs).collect()
         kept = [",".join(s for s in r["spans"].split(",") if not s.startswith("lexed")) for r in got]
+        assert docs is odd or any(r["n_assign"] and r["n_hex"] for r in got)
         assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], k) for r, k in zip(got, kept)) == want
 
 

@@ -297,9 +297,13 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def secret_digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of each row: counts and a hash of the base spans, and all spans."""
     found = F.col("found")
-    counts = [F.size(F.filter(found, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    counts = [F.size(_of_kind(found, kind)).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]]
     base = F.filter(found, lambda s: s["kind"] != "lexed")
     return scan_secrets(docs).select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(found).alias("spans"))
