@@ -30,7 +30,7 @@ from txnlens.llm.common import text_of
 from txnlens.llm.textual import BASES, encoded, mix, parts, spans
 from txnlens.sources.scratch import stored
 
-SLICE_WORDS = 1 << 21  # terms of a stratum that one task indexes, unless a single document has more
+SLICE_WORDS = 1 << 20  # terms of a stratum that one task indexes, unless a single document has more
 FIRST_VISITS = 8  # slices that each item visits before its threshold is known
 ITEM_BLOCK = 2048  # items that meet a slice in one task
 INDEX = "m bigint, slice bigint, term bigint, max_tf int, tfs array<int>, counts array<int>, docs array<int>, ids array<bigint>"
