@@ -6,6 +6,8 @@ from txnlens.operators.splits import content_identity, data_identity
 from txnlens.plans import inputs, tables
 from txnlens.sources import events, ops
 from txnlens.sources.ledger import MissingColumns, load_bronze, number_rows, read_ledger, to_bronze, write_ledger
+from txnlens.sources import grown_files
+from txnlens.streaming import scored_ingest
 from txnlens.streaming.scored_ingest import ingest_scored_events, stream_scored_events
 
 SF = "/root/testdata/sf0.001"
@@ -105,24 +107,75 @@ def test_growing_files_arrive_once(spark, tmp_path):
         f.write(second[20:] + line.format(i="e3", s=0.3) + line.format(i="e1", s=0.9))
     assert events.close_hours(spark, str(src), before=("2024-01-01", "01")) == 1
     assert (hours[0] / "_SUCCESS").exists() and not (hours[1] / "_SUCCESS").exists()
-    assert ingest_scored_events(spark, str(src), out) == 2
+    assert ingest_scored_events(spark, str(src), out) == 3  # the cut line and the two after it, not what was read before
     assert found() == [("e1", 0.1), ("e2", 0.2), ("e3", 0.3), ("e4", 0.4)]
-    assert ingest_scored_events(spark, str(src), out) == 1
+    assert ingest_scored_events(spark, str(src), out) == 0
+    with (hours[1] / "b.jsonl").open("w") as f:
+        f.write(line.format(i="e5", s=0.5)[:-1])  # complete once its hour is closed
+    assert ingest_scored_events(spark, str(src), out) == 0
     assert events.close_hours(spark, str(src)) == 1
     assert [ingest_scored_events(spark, str(src), out) for _ in range(2)] == [1, 0]
-    assert len(found()) == 4
+    assert len(found()) == 5
 
 
-def test_a_load_that_fails_before_its_hours_are_noted_is_repeated(spark, tmp_path):
+def test_a_load_that_fails_is_repeated(spark, tmp_path, monkeypatch):
     src, out = tmp_path / "src", str(tmp_path / "out")
     hour = src / "dt=2024-01-01" / "hr=00"
     hour.mkdir(parents=True)
-    (hour / "a.jsonl").write_text('{"event_id":"e1","fraud_score":0.5,"scored_at_us":1}\n')
-    assert ingest_scored_events(spark, str(src), out) == 1
-    (tmp_path / "out" / "batch_id=0" / "_SUCCESS").unlink()  # as a write that was not committed leaves it
-    events.close_hours(spark, str(src))
-    assert [ingest_scored_events(spark, str(src), out) for _ in range(2)] == [1, 0]
-    assert [r.event_id for r in spark.read.parquet(out).collect()] == ["e1"]
+    line = '{{"event_id":"{i}","fraud_score":0.5,"scored_at_us":1}}\n'
+    (hour / "a.jsonl").write_text(line.format(i="e1"))
+    monkeypatch.setattr(scored_ingest, "filters_of", lambda ids: 1 / 0)  # after the events, before the batch is done
+    with pytest.raises(Exception):
+        ingest_scored_events(spark, str(src), out)
+    monkeypatch.undo()
+    with (hour / "a.jsonl").open("a") as f:
+        f.write(line.format(i="e2"))
+    assert ingest_scored_events(spark, str(src), out) == 2
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["e1", "e2"]
+
+
+@pytest.mark.parametrize("size, block", [(1, 1), (7, 3), (64, 5), (1000, 1 << 20)])
+def test_ranges_hold_every_line_once(tmp_path, monkeypatch, size, block):
+    monkeypatch.setattr(grown_files, "RANGE", size)
+    monkeypatch.setattr(grown_files, "BLOCK", block)
+    hour = tmp_path / "dt=1" / "hr=2"
+    hour.mkdir(parents=True)
+    data = b"".join(b"%d:" % k + b"x" * (k * 7 % 23) + b"\n" for k in range(40)) + b"\n\nlast"
+    (hour / "a").write_bytes(b"")
+    reader, at, got, taken = grown_files.GrownLinesReader(str(tmp_path)), reader_start(tmp_path), [], 0
+    for cut in (5, 6, 100, 101, 300, len(data) - 4, len(data)):
+        (hour / "a").write_bytes(data[:cut])
+        if cut == len(data):
+            (hour / "_SUCCESS").touch()
+        end = reader.latestOffset()
+        parts = reader.partitions(at, end)
+        taken += sum(p.end - p.begin for p in parts)
+        got += [v for p in parts for b in reader.read(p) for v in b.column("value").to_pylist()]
+        assert reader.partitions(end, reader.latestOffset()) == []
+        at = end
+    assert got == data.decode().split("\n") and taken == len(data)
+    assert at == {"through": "dt=1/hr=2", "files": {}}
+
+
+def reader_start(path):
+    return grown_files.GrownLinesReader(str(path)).initialOffset()
+
+
+def test_loads_open_only_batches_that_may_hold_their_ids(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    for k in range(4):
+        hour = src / "dt=2024-01-01" / f"hr=0{k}"
+        hour.mkdir(parents=True)
+        ids = [f"e{k}-{i}" for i in range(300)] + ([f"e1-{i}" for i in range(5)] if k == 3 else [])
+        (hour / "a.jsonl").write_text("".join(f'{{"event_id":"{i}","fraud_score":{k / 10},"scored_at_us":{k}}}\n' for i in ids))
+        assert ingest_scored_events(spark, str(src), out) == len(ids)
+    assert spark.read.parquet(out).groupBy("batch_id").count().orderBy("batch_id").collect() == [(k, 300) for k in range(4)]
+    new = spark.createDataFrame([("e1-7",), ("e3-8",), ("other",)], "event_id string")
+    assert scored_ingest.batches_to_open(spark, out, new, 4) == [1, 3]
+    assert scored_ingest.batches_to_open(spark, out, new, 3) == [1]
+    assert scored_ingest.batches_to_open(spark, out, new.where("event_id = 'other'"), 4) == []
+    (tmp_path / "out_ids" / "batch_id=2" / "_SUCCESS").unlink()  # without its filter a batch is opened
+    assert scored_ingest.batches_to_open(spark, out, new, 4) == [1, 2, 3]
 
 
 def test_staging_has_no_labels(spark, tmp_path):

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlens.sources.events import hour_folders, parse_scored_events
+from txnlens.sources.events import parse_scored_events
+from txnlens.sources.grown_files import grown_lines
+from txnlens.sources.id_filters import filters_of, suspects
+from txnlens.sources.scratch import stored
 
 
 def first_writes(events: DataFrame) -> DataFrame:
@@ -14,16 +19,40 @@ def first_writes(events: DataFrame) -> DataFrame:
     return events.groupBy("event_id").agg(first).select("row.*")
 
 
+def _numbers(spark: SparkSession, pattern: str) -> set[int]:
+    """The numbers in the last path part before any marker of what matches the pattern."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return {int(re.search(r"(\d+)(/_SUCCESS)?$", f.getPath().toString()).group(1)) for f in found or []}
+
+
+def _committed(spark: SparkSession, folder: str) -> set[int]:
+    return _numbers(spark, f"{folder}/batch_id=*/_SUCCESS")
+
+
+def batches_to_open(spark: SparkSession, out: str, fresh: DataFrame, batch_id: int) -> list[int]:
+    """Batches before ``batch_id`` whose id filters do not exclude the ids of ``fresh``, and those without a filter."""
+    earlier = {n for n in _committed(spark, out) if n < batch_id}
+    filtered = earlier & _committed(spark, f"{out}_ids")
+    if not filtered:
+        return sorted(earlier)
+    folders = [f"{out}_ids/batch_id={n}" for n in sorted(filtered)]
+    filters = spark.read.option("basePath", f"{out}_ids").schema("bucket int, bits binary, batch_id long").parquet(*folders)
+    return sorted((earlier - filtered) | suspects(fresh.select("event_id"), filters))
+
+
 def _load_batch(out: str):
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = first_writes(parse_scored_events(batch))
-        if batch_id > 0:
-            # Only the id column of earlier batches is read; the folder of this batch is
-            # left out, so a replay writes the same rows again.
-            earlier = spark.read.schema("event_id string, batch_id long").parquet(out)
-            fresh = fresh.join(earlier.where(f"batch_id < {batch_id}"), "event_id", "left_anti")
+        fresh = stored(first_writes(parse_scored_events(batch)), "fresh-events")
+        # The folder of this batch is left out, so a replay writes the same rows again.
+        opened = batches_to_open(spark, out, fresh, batch_id)
+        if opened:
+            known = spark.read.schema("event_id string").parquet(*[f"{out}/batch_id={n}" for n in opened])
+            fresh = fresh.join(known, "event_id", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        written = spark.read.schema("event_id string").parquet(f"{out}/batch_id={batch_id}")
+        filters_of(written).write.mode("overwrite").parquet(f"{out}_ids/batch_id={batch_id}")
 
     return load
 
@@ -48,36 +77,23 @@ def stream_scored_events(
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def ingest_scored_events(spark: SparkSession, source: str, out: str) -> int:
-    """Load what is new below ``source`` into ``out/batch_id=N``; returns the number of hours read.
+    """Load what is new below ``source`` into ``out/batch_id=N``; returns the number of lines read.
 
-    Files may grow.  An hour is read whole by every load until one has seen it with its close
-    marker; events already in the table are left out by their id, and a half-written line does
-    not parse, so it comes with the load that finds it finished.  ``out_hours`` lists the hours
-    that are done.  It is written after the events, so a load that fails in between is repeated
-    and adds nothing.  One load at a time.
+    Files may grow: a load reads the bytes appended since the last one, by the offsets that the stream keeps in
+    ``out_progress``, up to the last complete line. An event id lands once, the first write wins; of the batches before
+    only those are opened whose id filters (``out_ids``) do not exclude the new ids. A load that fails is repeated with
+    the same lines and writes the same rows. One load at a time.
     """
-    done = f"{out}_hours"
-    finished = {tuple(r) for r in spark.read.parquet(done).collect()} if _exists(spark, done) else set()
-    # Markers are read before the lines: an hour that closes meanwhile is read once more.
-    todo = {hour: closed for hour, closed in hour_folders(spark, source).items() if hour not in finished}
-    if not todo:
-        return 0
-    folders = [f"{source}/dt={dt}/hr={hr}" for dt, hr in todo]
-    fresh = first_writes(parse_scored_events(spark.read.text(folders)))
-    number = 0
-    while _exists(spark, f"{out}/batch_id={number}/_SUCCESS"):
-        number += 1
-    if number:
-        earlier = spark.read.schema("event_id string, batch_id long").parquet(out)
-        fresh = fresh.join(earlier.where(f"batch_id < {number}"), "event_id", "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{out}/batch_id={number}")
-    closed = [hour for hour, marked in todo.items() if marked]
-    if closed:
-        spark.createDataFrame(closed, "dt string, hr string").coalesce(1).write.mode("append").parquet(done)
-    return len(todo)
+    progress = f"{out}_progress"
+    # A run that finds a batch that failed repeats that one alone.
+    failed = _numbers(spark, f"{progress}/offsets/[0-9]*") - _numbers(spark, f"{progress}/commits/[0-9]*")
+    lines = 0
+    for _ in range(2 if failed else 1):
+        query = (
+            grown_lines(spark, source).writeStream.option("checkpointLocation", progress)
+            .trigger(availableNow=True).foreachBatch(_load_batch(out)).start()
+        )
+        query.awaitTermination()
+        lines += sum(p.numInputRows for p in query.recentProgress)
+    return lines
