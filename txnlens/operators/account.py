@@ -18,6 +18,7 @@ from txnlens.functions.schema import (
     MERCHANT_PREFIX,
     NO_PREV,
     NUMERIC_FEATURES,
+    TXN_COLUMNS,
     US_PER_HOUR,
     US_PER_SECOND,
 )
@@ -60,6 +61,17 @@ def _continue_from(rows: DataFrame, states: DataFrame, prev: list[str], score: s
     return joined.selectExpr(*[f"{combined[x]} AS {x}" if x in combined else x for x in rows.columns])
 
 
+# What the features need of the running totals and the previous row.
+DERIVED = [
+    f"(event_ts_us - prev.event_ts_us) / {US_PER_SECOND}D AS gap_s",
+    "CASE WHEN n > 0 THEN CAST(sum_a AS DOUBLE) / n END AS mean_a",
+    "CASE WHEN n > 0 THEN CAST(sum_sq AS DOUBLE) / n END AS mean_sq",
+    f"(event_ts_us - first_ts) / {US_PER_HOUR}D AS age_h",
+    "oldbalance_org - prev.newbalance_orig AS balance_gap",
+    f"coalesce(prev.txn_type, '{NO_PREV}') AS prev_type",
+]
+
+
 def with_prior(
     silver: DataFrame, score: str | None = None, hot_rows: int = HOT_ROWS, states: DataFrame | None = None
 ) -> DataFrame:
@@ -82,15 +94,7 @@ def with_prior(
     )
     if states is not None:
         rows = _continue_from(rows, states, prev, score)
-    return rows.selectExpr(
-        "*",
-        f"(event_ts_us - prev.event_ts_us) / {US_PER_SECOND}D AS gap_s",
-        "CASE WHEN n > 0 THEN CAST(sum_a AS DOUBLE) / n END AS mean_a",
-        "CASE WHEN n > 0 THEN CAST(sum_sq AS DOUBLE) / n END AS mean_sq",
-        f"(event_ts_us - first_ts) / {US_PER_HOUR}D AS age_h",
-        "oldbalance_org - prev.newbalance_orig AS balance_gap",
-        f"coalesce(prev.txn_type, '{NO_PREV}') AS prev_type",
-    )
+    return rows.selectExpr("*", *DERIVED)
 
 
 def feature_columns(score: str | None = None) -> dict[str, str]:
@@ -160,6 +164,38 @@ def account_features(
     )
 
 
+def features_as_of(
+    events: DataFrame, history: DataFrame, score: str = "fraud_score", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``event_id, account_id`` and every feature of each event, from what was known of its account when it was scored.
+
+    ``events`` has the transaction columns and ``known_us``, the moment of scoring; ``history`` has the same columns and
+    the score that each transaction received, known from its own ``known_us`` on. An event sees the history rows of its
+    account before it in the order (moment, event time, event id), whatever their event times: a late transaction counts
+    the ones that were scored before it, and the previous transaction is the newest of those. One ordered pass per account over
+    events and history together, cut for hot accounts.
+    """
+    at_rest = [*TXN_COLUMNS, "known_us"]
+    anchor = f"struct({', '.join([*PREV_COLUMNS, score])})"
+    known = {
+        "n_in": "1L", "sum_in": c.money("amount"), "sq_in": c.money_square("amount"), "max_in": "amount", "first_in": "event_ts_us",
+        "prev_in": anchor,
+    }
+    past = history.selectExpr(*at_rest, "1 AS kind", *[f"{v} AS {k}" for k, v in known.items()])
+    types = dict(past.dtypes)
+    now = events.selectExpr(*at_rest, "0 AS kind", *[f"CAST(NULL AS {types[k]}) AS {k}" for k in known])
+    # An event's own row in the history comes right after it.
+    rows = prior_rows(
+        now.unionByName(past), ["account_id"], "known_us",
+        {
+            "n_known": ("sum", "n_in"), "sum_a": ("sum", "sum_in"), "sum_sq": ("sum", "sq_in"), "max_a": ("max", "max_in"),
+            "first_ts": ("min", "first_in"), "prev": ("max", "prev_in"),
+        },
+        tie=["event_ts_us", "event_id", "kind"], hot_rows=hot_rows)
+    rows = rows.where("kind = 0").selectExpr("*", "coalesce(n_known, 0L) AS n").selectExpr("*", *DERIVED)
+    return rows.selectExpr("event_id", "account_id", *[f"{expr} AS {name}" for name, expr in feature_columns(score).items()])
+
+
 def null_counts(gold: DataFrame, features: list[str] | None = None) -> DataFrame:
     """NULLs per feature in one pass."""
     names = features or FEATURES

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.functions.schema import NUMERIC_FEATURES
+from txnlens.operators.account import features_as_of
 from txnlens.operators.prefix import HOT_ROWS, prior_rows, union_all
+from txnlens.sources.events import first_writes, parse_scored_events
+from txnlens.sources.scratch import stored
 
 
 def result(check: str, frame: DataFrame, observed: str, ok: str, bound: str) -> DataFrame:
@@ -133,6 +136,17 @@ def skew_audit(logged: DataFrame, recomputed: DataFrame, tolerance: float = 1e-9
     return long.groupBy("feature").agg(F.expr("count(1) AS compared"), F.expr(f"count_if({differ}) AS mismatches"))
 
 
+def audit_log(lines: DataFrame, hot_rows: int = HOT_ROWS, tolerance: float = 1e-9) -> DataFrame:
+    """``skew_audit`` of logged event lines, which say themselves what was scored, when, and with which score.
+
+    The log is parsed, of events that it holds more than once the first write counts, and the features of each are
+    recomputed from the events that were scored before it. The log must reach back to the accounts' first events.
+    """
+    logged = stored(first_writes(parse_scored_events(lines)), "logged")
+    scored = logged.selectExpr("transaction.*", "scored_at_us AS known_us", "fraud_score")
+    return skew_audit(logged, features_as_of(scored, scored, hot_rows=hot_rows), tolerance)
+
+
 # --- statistics --------------------------------------------------------------
 SKETCH = 10_000  # a sketch of this accuracy misses a rank by at most rows / SKETCH
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}

@@ -130,14 +130,14 @@ def score_sequential(
 
 def score_requests(
     requests: DataFrame, model: Scorer, threshold: float, log: StateLog, events: str, *, request: str = "request_no",
-    dry_run: bool = False, model_version: str = "1", hot_rows: int = HOT_ROWS,
+    scored_at: str = "event_ts_us", dry_run: bool = False, model_version: str = "1", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Score a batch of transactions from the stored account states; results come in the order of ``request``.
 
     A ``dry_run`` reads the states and writes nothing, so it gives the scores that a live batch would get. Otherwise the
     scored events are appended below ``events`` and then the new states become the log's next batch. A run that fails in
     between left the states as they were: repeated, it gives the same scores and appends the same events again, of which
-    the load of scored events keeps the first. One batch at a time.
+    the load of scored events keeps the first. ``scored_at`` is the moment that the events say. One batch at a time.
     """
     spark = requests.sparkSession
     number = log.next_batch(spark)
@@ -149,7 +149,7 @@ def score_requests(
         names = ", ".join(NUMERIC_FEATURES + CATEGORICAL_FEATURES)
         seen = _with_feedback(scored, before, hot_rows).selectExpr("event_id", f"struct({names}) AS f")
         write_scored_events(to_scored_events(
-            scored.join(seen, "event_id"), "fraud_score", threshold=threshold, model_version=model_version), events)
+            scored.join(seen, "event_id"), "fraud_score", scored_at, threshold=threshold, model_version=model_version), events)
         log.write(merge_states(before, account_state(scored, score="fraud_score")), number)
     out = scores.join(rows.select("event_id", request), "event_id").withColumn("model_version", F.lit(model_version))
     return out.select(request, *[c for c in out.columns if c != request]).orderBy(request)

@@ -6,11 +6,11 @@ from txnlens.functions.schema import NUMERIC_FEATURES
 from txnlens.operators import quality as q
 from txnlens.operators.account import account_features
 from txnlens.plans.inputs import (
-    GOLD, LEDGER, SCORED_GOLD, SILVER, gold, ledger, rounded, scored_silver_table, scored_with_features, silver, with_ctes,
+    GOLD, LEDGER, SCORED_GOLD, SILVER, as_of_cte, gold, ledger, rounded, scored_with_features, silver, with_ctes,
 )
 from txnlens.plans.registry import query
 from txnlens.sources import events
-from txnlens.sources.scratch import stored
+from txnlens.sources.scratch import fresh_dir, stored
 
 LOW, HIGH = 0.001, 0.05  # bounds that fit this ledger
 
@@ -96,22 +96,27 @@ def expected_row_count(spark, d):
     return q.expected_rows(ledger(spark, d))
 
 
-@query(
-    "skew_audit",
-    with_ctes(SCORED_GOLD, " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, count(*) AS compared, "
-        + ("count(*) FILTER (WHERE txn_type = 'DEBIT')" if f == "amount_velocity" else "0")
-        + (" - count(*) FILTER (WHERE txn_type = 'DEBIT' AND amount_velocity IS NULL)" if f == "amount_velocity" else "")
-        + " AS mismatches FROM gold" for f in NUMERIC_FEATURES)),
-)
+LATE = "CASE WHEN CAST(substring(event_id, 4) AS BIGINT) % 10 = 0 THEN event_ts_us + 10800000000 ELSE event_ts_us END"
+
+
+def _skew_sql(f: str) -> str:
+    logged = f"l.{f}" if f != "amount_velocity" else "l.amount_velocity + CASE WHEN l.txn_type = 'DEBIT' THEN 1.0::DOUBLE ELSE 0 END"
+    return f"""SELECT '{f}' AS feature, count(*) AS compared, count(*) FILTER (WHERE (({logged}) IS NULL) <> (r.{f} IS NULL)
+      OR abs(({logged}) - r.{f}) > 1e-9 * greatest(1.0, abs(r.{f}))) AS mismatches FROM gold l JOIN gold_as_of r USING (event_id)"""
+
+
+@query("skew_audit", with_ctes(SCORED_GOLD + as_of_cte(LATE), " UNION ALL ".join(map(_skew_sql, NUMERIC_FEATURES))))
 def skew_audit(spark, d):
-    """Events are logged with a wrong velocity on debit rows; only that feature may be reported."""
-    logged = events.to_scored_events(
-        scored_with_features(spark, d).selectExpr(
-            "* EXCEPT (f)",
-            "struct(f.* EXCEPT (amount_velocity), f.amount_velocity + CASE WHEN txn_type = 'DEBIT' THEN 1D ELSE 0D END AS amount_velocity) AS f"),
-    )
-    return q.skew_audit(logged, account_features(scored_silver_table(spark, d), score="score"))
+    """A log whose features are wrong where a tenth of the events came three hours late, and whose velocity is wrong on debits.
+
+    The log is written to files and read again; the audit knows nothing but its lines.
+    """
+    path = fresh_dir(spark, "log")
+    rows = scored_with_features(spark, d).selectExpr(
+        "* EXCEPT (f)",
+        "struct(f.* EXCEPT (amount_velocity), f.amount_velocity + CASE WHEN txn_type = 'DEBIT' THEN 1D ELSE 0D END AS amount_velocity) AS f")
+    events.write_scored_events(events.to_scored_events(rows, scored_at=LATE), path)
+    return q.audit_log(spark.read.text(path).select("value"))
 
 
 STATS = ["mean", "std", "p25", "p50", "p75"]

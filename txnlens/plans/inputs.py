@@ -89,7 +89,7 @@ _TS = """(
 SILVER = LEDGER + ",\nsilver AS " + _TS.format(src="ledger")
 SCORED_SILVER = SCORED + ",\nsilver AS " + _TS.format(src="scored")
 
-_GOLD = """,
+_PRIOR = """,
 prior AS (
   SELECT *, row_number() OVER w - 1 AS n,
     lag(event_ts_us) OVER w AS p_ts, lag(step) OVER w AS p_step, lag(txn_type) OVER w AS p_type,
@@ -100,11 +100,12 @@ prior AS (
     max(amount) OVER b AS max_a, min(event_ts_us) OVER b AS first_ts
   FROM silver
   WINDOW w AS (PARTITION BY account_id ORDER BY event_ts_us, event_id),
-    b AS (PARTITION BY account_id ORDER BY event_ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-prior2 AS (
+    b AS (PARTITION BY account_id ORDER BY event_ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+_FEATURES = """,
+{to}2 AS (
   SELECT *, (event_ts_us - p_ts) / 1000000.0::DOUBLE AS gap_s, (event_ts_us - first_ts) / 3600000000.0::DOUBLE AS age_h,
-    CASE WHEN n > 0 THEN sum_a / n END AS mean_a, oldbalance_org - p_new AS gap_b FROM prior),
-gold AS (
+    CASE WHEN n > 0 THEN sum_a / n END AS mean_a, oldbalance_org - p_new AS gap_b FROM {to}),
+{gold} AS (
   SELECT event_id, account_id, event_ts_us, 1 AS feature_schema_version,
     (n = 0)::INT::DOUBLE AS is_first_txn,
     gap_s AS seconds_since_last_txn,
@@ -136,10 +137,28 @@ gold AS (
     p_score AS prev_fraud_score,
     txn_type, coalesce(p_type, '__NONE__') AS prev_txn_type,
     coalesce(p_type, '__NONE__') || '->' || txn_type AS type_pair, is_fraud, is_flagged_fraud
-  FROM prior2)"""
+  FROM {to}2)"""
+# The same totals over what was scored before, in the order of scoring; the previous row is the newest of those.
+_LAST = ", ".join(f"arg_max({c}, (event_ts_us, event_id)) OVER b AS {name}" for c, name in (
+    ("event_ts_us", "p_ts"), ("step", "p_step"), ("txn_type", "p_type"), ("amount", "p_amount"), ("newbalance_orig", "p_new"),
+    ("dest_id", "p_dest"), ("score", "p_score")))
+_PRIOR_AS_OF = f""",
+known AS (
+  SELECT *, count(*) OVER b AS n, {_LAST},
+    CAST(sum(CAST(amount AS DECIMAL(18,2))) OVER b AS DOUBLE) AS sum_a,
+    CAST(sum(CAST(amount AS DECIMAL(18,2)) * CAST(amount AS DECIMAL(18,2))) OVER b AS DOUBLE) AS sum_sq,
+    max(amount) OVER b AS max_a, min(event_ts_us) OVER b AS first_ts
+  FROM (SELECT *, {{scored_at}} AS scored_at FROM silver)
+  WINDOW b AS (PARTITION BY account_id ORDER BY scored_at, event_ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+_GOLD = _PRIOR + _FEATURES.format(to="prior", gold="gold")
 GOLD = SILVER + _GOLD.format(score="CAST(NULL AS DOUBLE)")
 SCORED_GOLD = SCORED_SILVER + _GOLD.format(score="lag(score) OVER w")
 
+
+def as_of_cte(scored_at: str) -> str:
+    """``gold_as_of``: the features of every transaction from what was scored before it."""
+    return _PRIOR_AS_OF.format(scored_at=scored_at) + _FEATURES.format(to="known", gold="gold_as_of")
+
 _STATE = """(
   SELECT account_id, arg_max(event_id, (event_ts_us, event_id)) AS last_event_id,
     max(event_ts_us) AS last_event_ts_us,

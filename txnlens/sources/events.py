@@ -70,6 +70,13 @@ def parse_scored_events(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(doc.alias("e")).where("e.event_id IS NOT NULL").select("e.*")
 
 
+def first_writes(events: DataFrame) -> DataFrame:
+    """Of the events with one id, the one that was scored first."""
+    cols = ", ".join(events.columns)
+    first = F.expr(f"min_by(struct({cols}), struct(scored_at_us, fraud_score)) AS row")
+    return events.groupBy("event_id").agg(first).select("row.*")
+
+
 def with_hour_partition(df: DataFrame, ts_us: str = "scored_at_us") -> DataFrame:
     return df.selectExpr("*", f"{c.hour_dt(ts_us)} AS dt", f"{c.hour_hr(ts_us)} AS hr")
 

@@ -5,20 +5,13 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from txnlens.sources.events import parse_scored_events
+from txnlens.sources.events import first_writes, parse_scored_events
 from txnlens.sources.grown_files import grown_lines
 from txnlens.sources.id_filters import filters_of, suspects
 from txnlens.sources.scratch import stored
 
 
-def first_writes(events: DataFrame) -> DataFrame:
-    cols = ", ".join(events.columns)
-    first = F.expr(f"min_by(struct({cols}), struct(scored_at_us, fraud_score)) AS row")
-    return events.groupBy("event_id").agg(first).select("row.*")
-
-
 def _numbers(spark: SparkSession, pattern: str) -> set[int]:
     """The numbers in the last path part before any marker of what matches the pattern."""
     where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
