@@ -413,3 +413,12 @@ def test_a_coder_that_forgets_words_gives_the_tokenizers_ids(monkeypatch):
         assert [x.tolist() for x in coder.ids([t.encode() for t in texts], 0)] == want
         sizes.append(len(coder))
     assert max(sizes) <= 60 and any(b < a for a, b in zip(sizes, sizes[1:])) and b"again!" in coder
+
+
+@pytest.mark.parametrize("name, by_word", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_tokenizers_that_join_words_get_whole_texts(documents, name, by_word):
+    coder = packing.Coder(public_tokenizers.path(name))
+    assert coder.by_word == by_word
+    texts = [r["text"] for r in documents.select("text").collect()][:60] + ["a!b!! c", "É! ×! ÷. ñ", "--- ... 12,5 x2!", "İstanbul! ǅ", " \n"]
+    want = [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert [x.tolist() for x in coder.ids([t.encode() for t in texts], 0)] == want
