@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from txnlens.functions import columns as c
 from txnlens.functions.schema import ALERT_COST, CAPTURE_RATE, FP_AMOUNT_RATE
 from txnlens.operators import frontier as fr
 from txnlens.operators import metrics
-from txnlens.operators.prefix import union_all, value_edges
+from txnlens.operators.prefix import union_all
 from txnlens.operators.splits import stage
 from txnlens.sources.scratch import stored
 
@@ -93,21 +95,20 @@ def factorial_eval(scored: DataFrame) -> DataFrame:
     rows = by_model(in_universes(scored)).where("part IN ('policy', 'test')")
     # One pass over the rows; everything that follows reads the much smaller points.
     points = stored(fr.score_points(rows, [*KEYS, "part"]), "points")
-    edges = value_edges(points, "threshold")
     policy, test = (points.where(f"part = '{part}'").drop("part") for part in ("policy", "test"))
-    chosen_on = fr.frontier_of(policy, KEYS, edges)
+    chosen_on = fr.frontier_of(policy, KEYS)
     budgets = fr.fpr_budgets(chosen_on, tuple(BUDGETS.values()), KEYS)
     names = " ".join(f"WHEN budget = {b!r}D THEN '{p}'" for p, b in BUDGETS.items())
     thresholds = union_all([
         budgets.selectExpr(*KEYS, f"CASE {names} END AS policy", "threshold"),
         fr.nbv_subsample(chosen_on, keys=KEYS).selectExpr(*KEYS, "'nbv' AS policy", "threshold"),
-        fr.capacity_cut(fr.frontier_of(test, KEYS, edges), keys=KEYS).selectExpr(*KEYS, "'top1' AS policy", "threshold"),
+        fr.capacity_cut(fr.frontier_of(test, KEYS), keys=KEYS).selectExpr(*KEYS, "'top1' AS policy", "threshold"),
     ])
     cut = outcomes_at(test, thresholds, KEYS)
     alerted = metrics.with_alert(rows.where("part = 'test'"), f"{metrics.expected_value('score')} > 0")
     ev = metrics.outcome(alerted, KEYS)
     together = cut.unionByName(ev.selectExpr("*", "'ev' AS policy", "0D AS threshold"))
-    ranks = fr.ranking_of(test, KEYS, edges).select(*KEYS, "average_precision", "roc_auc")
+    ranks = fr.ranking_of(test, KEYS).select(*KEYS, "average_precision", "roc_auc")
     # One ranking row per model and universe: set by the configuration.
     return metrics.guarded_rates(together.join(F.broadcast(ranks), KEYS))
 
@@ -150,17 +151,15 @@ def daily_stability(scored: DataFrame, share: float = 0.01) -> DataFrame:
     rows = by_model(scored.selectExpr("*", f"{c.plain_day()} AS day"))
     keys = ["model", "day"]
     points = stored(fr.score_points(rows, keys), "points")
-    edges = value_edges(points, "threshold")
-    cuts = fr.capacity_cut(fr.frontier_of(points, keys, edges), share, keys)
+    cuts = fr.capacity_cut(fr.frontier_of(points, keys), share, keys)
     totals = outcomes_at(points, cuts.selectExpr(*keys, "'top' AS policy", "threshold"), keys)
-    ranks = fr.ranking_of(points, keys, edges).select(*keys, "average_precision", "roc_auc")
+    ranks = fr.ranking_of(points, keys).select(*keys, "average_precision", "roc_auc")
     return metrics.guarded_rates(totals.where("tp + fn > 0").join(ranks, keys)).drop("policy")
 
 
 # --- bootstrap ---------------------------------------------------------------
-# Cumulative probabilities of a Poisson(1) count of 0, 1, ... 7.
-POISSON_1 = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-             0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+# Cumulative probabilities of a Poisson(1) count, as far as double precision tells them from 1.
+POISSON_1 = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(17))
 
 
 def poisson_weight() -> str:

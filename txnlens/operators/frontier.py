@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from txnlens.functions import columns as c
 from txnlens.functions.schema import ALERT_COST, CAPTURE_RATE, FP_AMOUNT_RATE
-from txnlens.operators.prefix import SINGLE_WINDOW_VALUES, cumulate_desc, prior_rows, value_edges
+from txnlens.operators.prefix import SINGLE_WINDOW_VALUES, cumulate_desc, prior_rows
 from txnlens.sources.scratch import stored
 
 TOTALS = ["tp", "fp", "tp_amt", "fp_amt"]
@@ -39,10 +39,10 @@ def class_totals(points: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def frontier_of(points: DataFrame, keys: list[str], edges: list[float] | None = None) -> DataFrame:
+def frontier_of(points: DataFrame, keys: list[str], limit: int = SINGLE_WINDOW_VALUES) -> DataFrame:
     """Frontier from :func:`score_points`; ``rank`` numbers the thresholds from the top."""
     ranked = points.selectExpr(*keys, "threshold", *TOTALS, "1L AS rank")
-    running = cumulate_desc(ranked, keys, "threshold", [*TOTALS, "rank"], edges)
+    running = cumulate_desc(ranked, keys, "threshold", [*TOTALS, "rank"], limit)
     joined = _join_totals(running, class_totals(points, keys), keys)
     captured, alerted = "CAST(tp_amt AS DOUBLE)", "CAST(fp_amt AS DOUBLE)"
     return joined.selectExpr(
@@ -69,11 +69,11 @@ def exact_frontier(
 ) -> DataFrame:
     """``scored`` has ``y`` (0/1), ``amount`` and a score; one frontier per value of ``keys``."""
     keys = keys or []
-    return frontier_of(score_points(scored, keys, score), keys, value_edges(scored, score, limit))
+    return frontier_of(stored(score_points(scored, keys, score), "points"), keys, limit)
 
 
 # --- ranking metrics ---------------------------------------------------------
-def ranking_of(points: DataFrame, keys: list[str], edges: list[float] | None = None) -> DataFrame:
+def ranking_of(points: DataFrame, keys: list[str], limit: int = SINGLE_WINDOW_VALUES) -> DataFrame:
     """Average precision and ROC area per key, from running counts over distinct scores.
 
     Each point adds its own positives and negatives to the sums, so no neighbour lookup is
@@ -81,7 +81,7 @@ def ranking_of(points: DataFrame, keys: list[str], edges: list[float] | None = N
     neg * (tp - pos/2).  With one class missing the area is 0.5.
     """
     own = points.selectExpr(*keys, "threshold", "tp AS pos", "fp AS neg", "tp", "fp")
-    running = cumulate_desc(own, keys, "threshold", ["tp", "fp"], edges, keep=["pos", "neg"])
+    running = cumulate_desc(own, keys, "threshold", ["tp", "fp"], limit, keep=["pos", "neg"])
     folded = running.groupBy(*keys).agg(
         F.expr("sum(pos) AS positives"),
         F.expr("sum(neg) AS negatives"),
@@ -104,7 +104,7 @@ def ranking_metrics(
     counted = scored.groupBy(*keys, F.col(score).alias("threshold")).agg(
         F.expr("count_if(y = 1) AS tp"), F.expr("count_if(y = 0) AS fp")
     )
-    return ranking_of(counted, keys, value_edges(scored, score, limit))
+    return ranking_of(stored(counted, "points"), keys, limit)
 
 
 # --- grid --------------------------------------------------------------------

@@ -1,20 +1,23 @@
 """Ordered "everything before this row" computations that survive hot keys.
 
 A plain window partitioned by a key sends all rows of that key to one task.  Here the key is
-split: keys with more than ``hot_rows`` rows are cut along the ordering column into chunks,
-the window runs inside ``(key, chunk)``, and each chunk is lifted by the combined result of
-the chunks before it.  Keys below the limit keep the single-window plan.
+split: keys with more than ``hot_rows`` rows are cut into consecutive ranges of about equal
+depth, the window runs inside ``(key, range)``, and each range is lifted by the combined result
+of the ranges before it.  Keys below the limit keep the single-window plan.  Ranges follow the
+rows themselves (Spark samples them), so bursts and ties of values make no deep range.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnlens.sources.scratch import stored
+
 HOT_ROWS = 5_000_000  # rows of one key that one task is allowed to order
-CHUNK_OVERSAMPLING = 8  # cut finer than needed, for keys whose rows are bursty in time
+RECUTS = 6  # times that ranges are cut twice as fine when a sample has left one too deep
 
 
 def _over(keys: list[str], order: list[str], frame: str = "") -> str:
@@ -34,21 +37,36 @@ def _combine(kind: str, before: str, here: str) -> str:
     return f"{'least' if kind == 'min' else 'greatest'}({before}, {here})"
 
 
-def _chunked(df: DataFrame, keys: list[str], pos: str, hot_rows: int, inputs: list[str]) -> DataFrame:
-    """Add ``_chunk``, NULL for keys that need no splitting; chunks follow ``pos``.
+def in_ranges(rows: DataFrame, order: list[str | Column], depth: int) -> DataFrame:
+    """The rows, stored, with ``_chunk``: consecutive ranges along ``order`` of at most ``2 * depth`` rows each.
+
+    ``_chunk`` grows along the order. Spark's range partitioning finds the cuts by sampling; the depths are counted
+    afterwards, and where one is too deep all is cut finer. Rows that are equal in all of ``order`` stay together.
+    """
+    pieces = -(-rows.count() // depth)
+    for _ in range(RECUTS):
+        cut = stored(rows.repartitionByRange(max(1, pieces), *order).withColumn("_chunk", F.spark_partition_id().cast("long")), "ranges")
+        deepest = cut.groupBy("_chunk").count().agg(F.max("count")).first()[0] or 0
+        if deepest <= 2 * depth:
+            break
+        pieces *= 2
+    return cut
+
+
+def _chunked(df: DataFrame, keys: list[str], order: list[str], hot_rows: int, inputs: list[str]) -> tuple[DataFrame, bool]:
+    """Add ``_chunk``, NULL for keys that need no splitting, and say whether any key does.
 
     The hot list holds at most ``rows / hot_rows`` keys, so broadcasting it is safe.
     """
-    parts = f"({CHUNK_OVERSAMPLING} * ceil(_n / {hot_rows}))"
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.expr("count(1) AS _n"), F.expr(f"min({pos}) AS _lo"), F.expr(f"max({pos}) AS _hi"))
-        .where(f"_n > {hot_rows}")
-        .selectExpr(*keys, "_lo", f"CAST(ceil((_hi - _lo + 1) / {parts}) AS BIGINT) AS _width")
-    )
-    return df.join(F.broadcast(hot), keys, "left").selectExpr(
-        *df.columns, f"({pos} - _lo) div _width AS _chunk", *inputs
-    )
+    rows = df.selectExpr(*df.columns, *inputs)
+    hot = df.groupBy(*keys).agg(F.expr("count(1) AS _n")).where(f"_n > {hot_rows}").select(*keys)
+    found = hot.collect()
+    if not found:
+        return rows.withColumn("_chunk", F.lit(None).cast("long")), False
+    listed = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
+    same = reduce(lambda x, y: x & y, [rows[k].eqNullSafe(listed[k]) for k in keys])
+    cold = rows.join(listed, same, "left_anti").withColumn("_chunk", F.lit(None).cast("long"))
+    return cold.unionByName(in_ranges(rows.join(listed, same, "left_semi"), [*keys, *order], hot_rows)), True
 
 
 def prior_rows(
@@ -62,13 +80,13 @@ def prior_rows(
 ) -> DataFrame:
     """Add one column per aggregate over the rows of the same key strictly before this one.
 
-    ``df`` is read up to three times (finding hot keys, the windows, chunk totals), so it
+    ``df`` is read several times (finding hot keys, the windows, range totals), so it
     should be a table or cheap to compute.  ``pos`` is the leading integer ordering column and
     ``tie`` the columns that break its ties.  ``aggs`` maps an output name to ``(count|sum|min|max, expression)``.  With ``prev``
     a struct column ``prev`` holds those columns of the immediately preceding row.
     """
     order = [pos, *(tie or [])]
-    rows = _chunked(df, keys, pos, hot_rows, [f"{expr} AS _in_{name}" for name, (_, expr) in aggs.items()])
+    rows, split = _chunked(df, keys, order, hot_rows, [f"{expr} AS _in_{name}" for name, (_, expr) in aggs.items()])
 
     inside = [*keys, "_chunk"]
     local = [f"{kind}(_in_{n}) {_over(inside, order, BEFORE)} AS _here_{n}" for n, (kind, _) in aggs.items()]
@@ -86,68 +104,48 @@ def prior_rows(
         totals.append(f"max_by({row}, struct({', '.join(order)})) AS _tot_prev")
         carried.append(f"lag(_tot_prev) {_over(keys, ['_chunk'])} AS _carry_prev")
         out.append("coalesce(_here_prev, _carry_prev) AS prev")
+    if not split:
+        whole = [x.replace(", _chunk ORDER BY", " ORDER BY") for x in local]
+        plain = [f"_here_{n} AS {n}" for n in aggs] + (["_here_prev AS prev"] if prev else [])
+        return rows.selectExpr(*df.columns, *whole).selectExpr(*df.columns, *plain)
 
     chunks = rows.where("_chunk IS NOT NULL").groupBy(*inside).agg(*[F.expr(t) for t in totals])
+    # One row per range of a hot key: at most rows / hot_rows of them.
     carry = chunks.selectExpr(*inside, *carried)
-    joined = rows.selectExpr(*df.columns, "_chunk", *local).join(carry, inside, "left")
+    here = rows.selectExpr(*df.columns, "_chunk", *local)
+    joined = here.join(carry.select(*[F.col(k).alias(f"_k_{k}") for k in inside], *[c for c in carry.columns if c not in inside]),
+                       reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in inside]), "left")
     return joined.selectExpr(*df.columns, *out)
 
 
-# Distinct ordering values of one key up to which a single window is used.
+# Distinct ordering values up to which a single window per key is used.
 SINGLE_WINDOW_VALUES = 1_000_000
 
 
-def value_edges(df: DataFrame, value: str, limit: int = SINGLE_WINDOW_VALUES) -> list[float]:
-    """Equal-depth cut points for ``value``; empty when one window can hold every value.
-
-    The points are read once and used as literals, so a retried task cuts the same way.
-    """
-    n = df.agg(F.approx_count_distinct(value)).first()[0]
-    parts = CHUNK_OVERSAMPLING * (1 + n // limit) if n > limit else 0
-    if not parts:
-        return []
-    probs = [i / parts for i in range(1, parts)]
-    return sorted(set(df.approxQuantile(value, probs, 1.0 / (4 * parts))))
-
-
-def _range_of(value: str, edges: list[float]) -> str:
-    """Number of edges at or below ``value``, found by halving steps over the sorted edges."""
-    steps = ", ".join(str(1 << b) for b in reversed(range(len(edges).bit_length())))
-    listed = ", ".join(f"{e!r}D" for e in edges)
-    take = (
-        f"CASE WHEN at + by > {len(edges)} THEN at "
-        f"WHEN element_at(array({listed}), at + by) <= {value} THEN at + by ELSE at END"
-    )
-    return f"aggregate(array({steps}), 0, (at, by) -> {take})"
-
-
 def cumulate_desc(
-    points: DataFrame,
-    keys: list[str],
-    value: str,
-    sums: list[str],
-    edges: list[float] | None = None,
+    points: DataFrame, keys: list[str], value: str, sums: list[str], limit: int = SINGLE_WINDOW_VALUES,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Replace each column in ``sums`` by its running total over ``value`` descending.
 
-    ``points`` has one row per (keys, value); columns in ``keep`` pass through.  With
-    ``edges`` the order is cut into value ranges: windows run per range and the totals of the
-    higher ranges are added.
+    ``points`` has one row per (keys, value) and should be stored: it is counted first; columns in ``keep`` pass
+    through.  Beyond ``limit`` points the order is cut into ranges of points, not of the rows behind them: windows run
+    inside a range and the totals of the higher ranges of the key are added.
     """
     down = [f"{value} DESC"]
     kept = [*keys, value, *(keep or [])]
-    if not edges:
+    if points.count() <= limit:
         return points.selectExpr(*kept, *[f"sum({c}) {_over(keys, down, UP_TO)} AS {c}" for c in sums])
-    rows = points.selectExpr("*", f"{_range_of(value, edges)} AS _chunk")
+    rows = in_ranges(points, [*keys, F.desc(value)], limit)
     inside = [*keys, "_chunk"]
     local = [f"sum({c}) {_over(inside, down, UP_TO)} AS _here_{c}" for c in sums]
     totals = rows.groupBy(*inside).agg(*[F.expr(f"sum({c}) AS _tot_{c}") for c in sums])
-    # One row per (key, value range): bounded by the number of edges.
+    # One row per (key, range): at most points / limit and the number of keys.
     carry = totals.selectExpr(
-        *inside, *[f"sum(_tot_{c}) {_over(keys, ['_chunk DESC'], BEFORE)} AS _carry_{c}" for c in sums]
-    )
-    joined = rows.selectExpr(*kept, "_chunk", *local).join(carry, inside, "left")
+        *[f"{k} AS _k_{k}" for k in inside],
+        *[f"sum(_tot_{c}) {_over(keys, ['_chunk'], BEFORE)} AS _carry_{c}" for c in sums])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in inside])
+    joined = rows.selectExpr(*kept, "_chunk", *local).join(carry, same, "left")
     return joined.selectExpr(*kept, *[f"_here_{c} + coalesce(_carry_{c}, 0) AS {c}" for c in sums])
 
 
@@ -164,7 +162,7 @@ def recent_values(
     ``n`` values before it, so arrays never exceed ``n`` entries per chunk looked at.
     """
     order = [pos, *tie]
-    rows = _chunked(df, keys, pos, hot_rows, [f"{value} AS _v"])
+    rows, _ = _chunked(df, keys, order, hot_rows, [f"{value} AS _v"])
     inside = [*keys, "_chunk"]
     frame = f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
     backwards = [f"{o} DESC" for o in order]
@@ -184,15 +182,14 @@ def recent_values(
     return joined.selectExpr(*df.columns, f"CASE WHEN _earlier IS NULL THEN _here ELSE {lifted} END AS {out}")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], limit: int = SINGLE_WINDOW_VALUES) -> DataFrame:
     """Exact interpolated quantiles per key, one column per entry of ``probs``.
 
     Equal values are counted first and ranks come from running counts, so no task holds all
     values of a group (as the ``percentile`` aggregate would).
     """
-    points = df.where(f"{value} IS NOT NULL").groupBy(*keys, value).agg(F.expr("count(1) AS _rows"))
-    edges = value_edges(df, value)
-    ranked = cumulate_desc(points, keys, value, ["_rows"], edges)
+    points = stored(df.where(f"{value} IS NOT NULL").groupBy(*keys, value).agg(F.expr("count(1) AS _rows")), "points")
+    ranked = cumulate_desc(points, keys, value, ["_rows"], limit)
     sizes = points.groupBy(*keys).agg(F.expr("sum(_rows) AS _n"))
     # ``_rows`` now counts the values >= this one; ascending rank r is reached by the
     # smallest value that has at most n - 1 - r values strictly above the group's rest.

@@ -126,7 +126,7 @@ def daily_stability(spark, d):
     return rounded(ex.daily_stability(scored(spark, d)), "threshold", *FIELDS)
 
 
-POISSON = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {i}" for i, p in enumerate(ex.POISSON_1)) + " ELSE 8 END"
+POISSON = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {i}" for i, p in enumerate(ex.POISSON_1)) + f" ELSE {len(ex.POISSON_1)} END"
 CUTS = SCORED + """,
 n AS (SELECT CAST(ceil(0.01::DOUBLE * count(*)) AS BIGINT) AS k FROM scored),
 ra AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS r FROM scored),
