@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from txnlens.operators import frontier, models, pit
@@ -78,3 +80,53 @@ def test_score_matrix_is_long(rows):
 
 def test_frame_has_the_declared_features(rows):
     assert set(pit.PIT_FEATURES) <= set(rows.columns)
+
+
+def pooled(values):
+    """Least squares rising fit by pooling adjacent violators."""
+    out = []
+    for score, pos, n in values:
+        out.append([[score], pos, n])
+        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
+            last = out.pop()
+            out[-1] = [out[-1][0] + last[0], out[-1][1] + last[1], out[-1][2] + last[2]]
+    return {s: p / n for scores, p, n in out for s in scores}
+
+
+@pytest.mark.parametrize("kind", ["noise", "rising", "falling"])
+@pytest.mark.parametrize("limit", [3, 25, 10_000])
+def test_isotonic_in_ranges_equals_one_pass(spark, kind, limit):
+    rng = random.Random(8)
+    rate = {"noise": lambda k: rng.random(), "rising": lambda k: k / 150, "falling": lambda k: 1 - k / 150}[kind]
+    points = [(k / 7, float(round(20 * rate(k))), 20.0) for k in range(150)]
+    blocks = models.isotonic_blocks(spark.createDataFrame(points, "score double, pos double, n double"), limit).collect()
+    want = pooled(points)
+    got = {s: b.pos / b.n for s, *_ in points for b in blocks if b.lo <= s <= b.hi}
+    assert got == want and len(blocks) == len(set(want.values()))
+
+
+def test_isotonic_curve_between_and_beyond_its_knots(spark):
+    rows = [(float(s), y, "fit") for s, y in ((1, 0), (2, 1), (2, 0), (4, 0), (4, 1), (6, 1))] + [(s, 0, "ask") for s in (0.0, 1.5, 3.0, 5.0, 9.0)]
+    frame_ = spark.createDataFrame(rows, "score double, y int, part string")
+    for limit in (2, 100):
+        got = {r.score: r.calibrated for r in models.isotonic(frame_, "part = 'fit'", limit).collect()}
+        assert got == {0.0: 0.0, 1.0: 0.0, 1.5: 0.25, 2.0: 0.5, 3.0: 0.5, 4.0: 0.5, 5.0: 0.75, 6.0: 1.0, 9.0: 1.0}
+
+
+def test_two_rankings_agree_as_counted(spark):
+    a = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "feature string, importance_rank int")
+    b = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2), ("d", 4)], "feature string, importance_rank int")
+    r = models.rank_agreement(a, b).first()
+    assert (r.features, r.same_order, r.opposite_order) == (4, 5, 1)
+    assert r.spearman == pytest.approx(0.8) and r.kendall == pytest.approx(4 / 6)
+    tied = spark.createDataFrame([(x, 1) for x in "abcd"], "feature string, importance_rank int")
+    assert models.rank_agreement(a, tied).first().kendall is None
+
+
+def test_importance_by_two_methods(spark):
+    base = spark.range(1500).selectExpr(
+        "id AS row_num", "CAST(id % 10 = 0 AS INT) AS y", "1D AS amount", "CAST(id % 10 = 0 AS DOUBLE) AS signal", "CAST(id * 37 % 101 AS DOUBLE) AS noise")
+    model = models.fit("tree", base, ["signal", "noise"])
+    got = {r.feature: r for r in models.compare_importance(model, base, ["signal", "noise"], repeats=1).collect()}
+    assert (got["signal"].permutation_rank, got["signal"].impurity_rank) == (1, 1) and got["signal"].impurity > 0.9
+    assert {r.features for r in got.values()} == {2}

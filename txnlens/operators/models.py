@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier,
+)
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnlens.functions import columns as c
 from txnlens.functions.schema import FEATURE_VERSION
 from txnlens.operators.frontier import argmax, exact_frontier, fbeta, ranking_metrics
-from txnlens.operators.prefix import prior_rows, union_all
+from txnlens.operators.portable import array_model
+from txnlens.operators.prefix import in_ranges, prior_rows, union_all
 from txnlens.sources.scratch import stored
 
 SEED = 42
@@ -47,14 +50,22 @@ def fit(kind: str, rows: DataFrame, features: list[str], **params) -> PipelineMo
     return Pipeline(stages=stages).fit(balanced(doubles))
 
 
-def score(model: PipelineModel, rows: DataFrame, features: list[str], out: str = "score") -> DataFrame:
-    """Positive-class probability of every row.
+def score(model: PipelineModel, rows: DataFrame, features: list[str], out: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """Positive-class probability of every row, beside the columns in ``keep`` (all).
 
     The scores are written once: frontiers and metrics read them several times, and the model
-    must not be evaluated again for each.
+    must not be evaluated again for each.  A logistic model is scored by its coefficients: the
+    fitted object holds its training summary, which must not travel to the executors.
     """
-    cast = rows.selectExpr(*[f"CAST({x} AS DOUBLE) AS {x}" if x in features else x for x in rows.columns])
-    scored = model.transform(cast).select(*rows.columns, vector_to_array("probability")[1].alias(out))
+    kept = rows.columns if keep is None else keep
+    if isinstance(model.stages[-1], LogisticRegressionModel):
+        line = array_model(rows.sparkSession, model)
+        terms = [f"{w!r}D * coalesce(nanvl(CAST({f} AS DOUBLE), NULL), {m!r}D)"
+                 for f, w, m in zip(line.features, line.weights.tolist(), line.fill.tolist(), strict=True)]
+        scored = rows.selectExpr(*kept, f"1D / (1D + exp(-({' + '.join([f'{line.intercept!r}D', *terms])}))) AS {out}")
+    else:
+        cast = rows.selectExpr(*[f"CAST({x} AS DOUBLE) AS {x}" if x in features else x for x in rows.columns])
+        scored = model.transform(cast).select(*kept, vector_to_array("probability")[1].alias(out))
     return stored(scored, "scores")
 
 
@@ -72,25 +83,113 @@ def score_matrix(rows: DataFrame, features: list[str], kinds: list[str], partiti
     for key, where in partitions.items():
         train = rows.where(where)
         for kind in kinds:
-            scored = score(fit(kind, train, features), rows, features)
+            scored = score(fit(kind, train, features), rows, features, keep=["row_num", "y", "amount", "step"])
             parts.append(scored.selectExpr("row_num", f"'{kind}' AS model", f"'{key}' AS train_key", "score", "y", "amount", "step"))
     return union_all(parts)
 
 
 # --- calibration -------------------------------------------------------------
-def platt(scored: DataFrame, window: str) -> DataFrame:
-    """Logistic curve on the raw score, fitted on ``window`` rows; other rows are scored too."""
-    prep = VectorAssembler(inputCols=["score"], outputCol="s")
-    curve = LogisticRegression(featuresCol="s", labelCol="y", maxIter=50).fit(prep.transform(scored.where(window)))
-    slope, shift = float(curve.coefficients[0]), float(curve.intercept)
+def platt(scored: DataFrame, window: str, steps: int = 25) -> DataFrame:
+    """Logistic curve on the raw score, fitted on ``window`` rows; other rows are scored too.
+
+    Newton's method over one point per distinct score: each step is one aggregate of five sums, and the two
+    coefficients are all that comes to the driver.  It stops when they no longer move; scores that part the classes
+    have no finite fit, then the last step counts.
+    """
+    points = stored(scored.where(window).groupBy("score").agg(
+        F.expr("sum(y) AS pos"), F.expr("CAST(count(1) AS DOUBLE) AS n")), "points")
+    slope = shift = 0.0
+    for _ in range(steps):
+        p = f"(1D / (1D + exp(-({slope!r}D * score + {shift!r}D))))"
+        w = f"(n * {p} * (1D - {p}))"
+        g = points.selectExpr(
+            f"sum((pos - n * {p}) * score) AS gs", f"sum(pos - n * {p}) AS gi", f"sum({w} * score * score) AS ss",
+            f"sum({w} * score) AS si", f"sum({w}) AS ii").first()
+        det = (g["ss"] or 0.0) * (g["ii"] or 0.0) - (g["si"] or 0.0) ** 2
+        if not det > 0:
+            break
+        moves = (g["gs"] * g["ii"] - g["gi"] * g["si"]) / det, (g["gi"] * g["ss"] - g["gs"] * g["si"]) / det
+        slope, shift = slope + moves[0], shift + moves[1]
+        if max(map(abs, moves)) <= 1e-10 * max(1.0, abs(slope), abs(shift)):
+            break
     return scored.selectExpr("*", f"1D / (1D + exp(-({slope!r}D * score + {shift!r}D))) AS calibrated")
 
 
-def isotonic(scored: DataFrame, window: str) -> DataFrame:
-    """Monotone curve; equal scores are pooled first, so the fit sees distinct scores only."""
-    pooled = scored.where(window).groupBy("score").agg(F.expr("avg(y) AS rate"), F.expr("CAST(count(1) AS DOUBLE) AS n"))
-    curve = IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="n").fit(pooled)
-    return stored(curve.transform(scored).select(*scored.columns, F.col("prediction").alias("calibrated")), "calibrated")
+POOLED = 1_000_000  # blocks that one task pools
+
+
+def _pool(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Pool adjacent violators: neighbouring blocks whose rates do not rise become one."""
+    out: list[list[float]] = []
+    for lo, hi, pos, n in blocks.sort_values("lo")[["lo", "hi", "pos", "n"]].itertuples(index=False):
+        out.append([lo, hi, pos, n])
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            last = out.pop()
+            out[-1] = [out[-1][0], last[1], out[-1][2] + last[2], out[-1][3] + last[3]]
+    return pd.DataFrame(out, columns=["lo", "hi", "pos", "n"]).assign(_chunk=blocks["_chunk"].iloc[0])
+
+
+BLOCKS = "lo double, hi double, pos double, n double, _chunk long"
+
+
+def _falls(cut: DataFrame) -> bool:
+    """Whether any block's rate does not rise above the one before it, inside a range or from one to the next."""
+    one = "struct(pos, n)"
+    inner = cut.selectExpr(f"{one} AS now", f"lag({one}) OVER (PARTITION BY _chunk ORDER BY lo) AS before")
+    ends = cut.groupBy("_chunk").agg(F.expr(f"min_by({one}, lo) AS first"), F.expr(f"max_by({one}, lo) AS last"))
+    # One row per range.
+    outer = ends.selectExpr("first AS now", "lag(last) OVER (ORDER BY _chunk) AS before")
+    return not inner.unionByName(outer).where("before.pos * now.n >= now.pos * before.n").isEmpty()
+
+
+def isotonic_blocks(points: DataFrame, limit: int = POOLED) -> DataFrame:
+    """``lo, hi, pos, n``: the score blocks of the best rising step function, from ``score, pos, n`` per distinct score.
+
+    Ranges of at most ``2 * limit`` blocks are pooled each in one task, and then the upper half of each range with the
+    lower half of the next.  Pooling in any order leads to the same blocks, so this is repeated, over ranges cut anew,
+    until every block rises above the one before it.
+    """
+    blocks = points.selectExpr("score AS lo", "score AS hi", "CAST(pos AS DOUBLE) AS pos", "CAST(n AS DOUBLE) AS n")
+    while True:
+        cut = in_ranges(blocks, ["lo"], limit)
+        if not _falls(cut):
+            return cut.drop("_chunk")
+        once = stored(cut.groupBy("_chunk").applyInPandas(_pool, BLOCKS), "blocks")
+        middle = once.groupBy("_chunk").agg(F.expr("percentile_approx(lo, 0.5) AS _mid"))  # one row per range
+        moved = once.join(middle, "_chunk").withColumn("_chunk", F.expr("_chunk + CASE WHEN lo >= _mid THEN 1 ELSE 0 END"))
+        blocks = stored(moved.groupBy("_chunk").applyInPandas(_pool, BLOCKS).drop("_chunk"), "blocks")
+
+
+def isotonic(scored: DataFrame, window: str, limit: int = POOLED) -> DataFrame:
+    """Monotone curve through the blocks of equal rate; between two blocks it rises in a straight line.
+
+    Scores beyond the fitted ones take the first or last rate.
+    """
+    points = scored.where(window).groupBy("score").agg(F.expr("sum(y) AS pos"), F.expr("count(1) AS n"))
+    blocks = isotonic_blocks(stored(points, "points"), limit)
+    # A step function between knots: each score meets the knots around it in one ordered pass.
+    knots = blocks.selectExpr("lo AS score", "pos / n AS rate").unionByName(blocks.selectExpr("hi AS score", "pos / n AS rate")).distinct()
+    asked = scored.select("score").distinct().join(knots, "score", "left")
+    curve = _between_knots(stored(asked.unionByName(knots, allowMissingColumns=True).distinct(), "knots"), limit)
+    return stored(scored.join(curve, "score", "left"), "calibrated")
+
+
+def _between_knots(marks: DataFrame, limit: int) -> DataFrame:
+    """``score, calibrated`` for every score of ``marks`` (``score, rate``, the rate NULL but at knots)."""
+    cut = in_ranges(marks, ["score"], limit)
+    knot = "CASE WHEN rate IS NOT NULL THEN struct(score, rate) END"
+    ends = cut.groupBy("_chunk").agg(F.expr(f"max({knot}) AS _last"), F.expr(f"min({knot}) AS _first"))
+    # One row per range.
+    carried = ends.selectExpr(
+        "_chunk", "max(_last) OVER (ORDER BY _chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _below",
+        "min(_first) OVER (ORDER BY _chunk ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS _above")
+    here = cut.selectExpr(
+        "*", f"max({knot}) OVER (PARTITION BY _chunk ORDER BY score) AS _lo",
+        f"min({knot}) OVER (PARTITION BY _chunk ORDER BY score ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS _hi")
+    both = here.join(carried, "_chunk").selectExpr("score", "rate", "coalesce(_lo, _below) AS a", "coalesce(_hi, _above) AS b")
+    return both.selectExpr(
+        "score", """CASE WHEN rate IS NOT NULL THEN rate WHEN a IS NULL THEN b.rate WHEN b IS NULL THEN a.rate
+          ELSE a.rate + (b.rate - a.rate) * (score - a.score) / (b.score - a.score) END AS calibrated""").distinct()
 
 
 # --- selection ---------------------------------------------------------------
@@ -102,7 +201,7 @@ def tune(rows: DataFrame, features: list[str], kind: str, grid: list[dict], fold
         parts = []
         for cut, end in folds:
             model = fit(kind, rows.where(f"step <= {cut}"), features, **params)
-            parts.append(score(model, rows.where(f"step > {cut} AND step <= {end}"), features).selectExpr(
+            parts.append(score(model, rows.where(f"step > {cut} AND step <= {end}"), features, keep=["y", "amount"]).selectExpr(
                 f"{cut} AS cut", "y", "amount", "score"))
         ap = ranking_metrics(union_all(parts), ["cut"]).agg(F.avg("average_precision")).first()[0]
         out.append((json.dumps(params, sort_keys=True), float(ap)))
@@ -125,7 +224,7 @@ def refit_and_seal(rows: DataFrame, features: list[str], kind: str, train_max: i
 def ablation(train: DataFrame, test: DataFrame, features: list[str], kind: str = "tree") -> DataFrame:
     """Loss of average precision when one feature is left out; features that help are kept."""
     def ap(names: list[str], label: str) -> DataFrame:
-        return score(fit(kind, train, names), test, names).selectExpr(f"'{label}' AS feature", "y", "amount", "score")
+        return score(fit(kind, train, names), test, names, keep=["y", "amount"]).selectExpr(f"'{label}' AS feature", "y", "amount", "score")
 
     runs = [ap(features, "__all__")] + [ap([f for f in features if f != x], x) for x in features]
     ranked = ranking_metrics(union_all(runs), ["feature"])
@@ -154,7 +253,7 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: list
         variants.append(f"named_struct('feature', '{name}', 'v', named_struct({cols}))")
     shuffled = paired.selectExpr("rep", "y", "amount", f"inline(array({', '.join(variants)}))").selectExpr(
         "rep", "feature", "y", "amount", "v.*")
-    ranked = ranking_metrics(score(model, shuffled, features), ["rep", "feature"])
+    ranked = ranking_metrics(score(model, shuffled, features, keep=["rep", "feature", "y", "amount"]), ["rep", "feature"])
     plain = ranked.where("feature = '__none__'").selectExpr("rep", "average_precision AS base")
     drops = ranked.where("feature <> '__none__'").join(plain, "rep").groupBy("feature").agg(
         F.expr("avg(base - average_precision) AS importance"), F.expr("stddev_samp(base - average_precision) AS spread"))
@@ -162,6 +261,39 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: list
     return drops.selectExpr("*", "rank() OVER (ORDER BY importance DESC) AS importance_rank")
 
 
+def impurity_importance(model: PipelineModel, spark: SparkSession, features: list[str]) -> DataFrame:
+    """The share of the impurity gain that each feature has in a fitted tree, forest or boosted trees."""
+    gains = model.stages[-1].featureImportances.toArray().tolist()
+    frame = spark.createDataFrame(list(zip(features, gains, strict=True)), "feature string, importance double")
+    return frame.selectExpr("*", "rank() OVER (ORDER BY importance DESC) AS importance_rank")  # one row per feature
+
+
+def rank_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How two rankings (``feature, importance_rank``) of the same features agree: Spearman's rho and Kendall's tau-b.
+
+    Ties share their mean rank in rho; tau-b counts pairs of features in the same and in opposite order.  Both are NULL
+    where a ranking ties all features.  Tables have one row per feature.
+    """
+    both = a.select("feature", F.col("importance_rank").alias("ra")).join(
+        b.select("feature", F.col("importance_rank").alias("rb")), "feature")
+    mean = "{r} + (count(1) OVER (PARTITION BY {r}) - 1) / 2D AS m{r}"
+    rho = both.selectExpr("*", mean.format(r="ra"), mean.format(r="rb")).agg(F.expr("count(1) AS features"), F.expr("corr(mra, mrb) AS spearman"))
+    x, y = both.alias("x"), both.alias("y")
+    pairs = x.join(y, F.expr("x.feature < y.feature")).selectExpr("sign(x.ra - y.ra) AS sa", "sign(x.rb - y.rb) AS sb")
+    tau = pairs.agg(F.expr("count_if(sa * sb > 0) AS same_order"), F.expr("count_if(sa * sb < 0) AS opposite_order"), F.expr(
+        "sum(sa * sb) / nullif(sqrt(sum(sa * sa) * sum(sb * sb)), 0) AS kendall"))
+    return rho.crossJoin(F.broadcast(tau))  # one row each
+
+
+def compare_importance(model: PipelineModel, rows: DataFrame, features: list[str], repeats: int = 5) -> DataFrame:
+    """Per feature its permutation and impurity importance with ranks, and on each row how the two rankings agree."""
+    moved = stored(permutation_importance(model, rows, features, repeats), "importance")
+    gain = impurity_importance(model, rows.sparkSession, features)
+    named = gain.selectExpr("feature", "importance AS impurity", "importance_rank AS impurity_rank")
+    both = moved.selectExpr("feature", "importance AS permutation", "importance_rank AS permutation_rank").join(named, "feature")
+    return both.crossJoin(F.broadcast(rank_agreement(moved, gain)))  # one row
+
+
 # --- saved models ------------------------------------------------------------
 def save(model: PipelineModel, spark: SparkSession, path: str, version: str) -> None:
     """Write the model and, beside it, the feature version it was trained for."""
