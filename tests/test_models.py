@@ -93,12 +93,11 @@ def pooled(values):
     return {s: p / n for scores, p, n in out for s in scores}
 
 
-@pytest.mark.parametrize("kind", ["noise", "rising", "falling"])
-@pytest.mark.parametrize("limit", [3, 25, 10_000])
+@pytest.mark.parametrize("kind, limit", [("noise", 8), ("rising", 8), ("falling", 8), ("noise", 10_000)])
 def test_isotonic_in_ranges_equals_one_pass(spark, kind, limit):
     rng = random.Random(8)
-    rate = {"noise": lambda k: rng.random(), "rising": lambda k: k / 150, "falling": lambda k: 1 - k / 150}[kind]
-    points = [(k / 7, float(round(20 * rate(k))), 20.0) for k in range(150)]
+    rate = {"noise": lambda k: rng.random(), "rising": lambda k: k / 60, "falling": lambda k: 1 - k / 60}[kind]
+    points = [(k / 7, float(round(20 * rate(k))), 20.0) for k in range(60)]
     blocks = models.isotonic_blocks(spark.createDataFrame(points, "score double, pos double, n double"), limit).collect()
     want = pooled(points)
     got = {s: b.pos / b.n for s, *_ in points for b in blocks if b.lo <= s <= b.hi}

@@ -147,16 +147,20 @@ def isotonic_blocks(points: DataFrame, limit: int = POOLED) -> DataFrame:
 
     Ranges of at most ``2 * limit`` blocks are pooled each in one task, and then the upper half of each range with the
     lower half of the next.  Pooling in any order leads to the same blocks, so this is repeated, over ranges cut anew,
-    until every block rises above the one before it.
+    until every block rises above the one before it.  Ranges of a single block could keep two blocks apart for ever:
+    a round that pools nothing is followed by one with ranges twice as long.
     """
     blocks = points.selectExpr("score AS lo", "score AS hi", "CAST(pos AS DOUBLE) AS pos", "CAST(n AS DOUBLE) AS n")
+    before = None
     while True:
         cut = in_ranges(blocks, ["lo"], limit)
         if not _falls(cut):
             return cut.drop("_chunk")
+        size = cut.count()
+        limit, before = 2 * limit if size == before else limit, size
         once = stored(cut.groupBy("_chunk").applyInPandas(_pool, BLOCKS), "blocks")
         middle = once.groupBy("_chunk").agg(F.expr("percentile_approx(lo, 0.5) AS _mid"))  # one row per range
-        moved = once.join(middle, "_chunk").withColumn("_chunk", F.expr("_chunk + CASE WHEN lo >= _mid THEN 1 ELSE 0 END"))
+        moved = once.join(middle, "_chunk").withColumn("_chunk", F.expr("_chunk + CASE WHEN lo > _mid THEN 1 ELSE 0 END"))
         blocks = stored(moved.groupBy("_chunk").applyInPandas(_pool, BLOCKS).drop("_chunk"), "blocks")
 
 
@@ -277,7 +281,7 @@ def rank_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select("feature", F.col("importance_rank").alias("ra")).join(
         b.select("feature", F.col("importance_rank").alias("rb")), "feature")
     mean = "{r} + (count(1) OVER (PARTITION BY {r}) - 1) / 2D AS m{r}"
-    rho = both.selectExpr("*", mean.format(r="ra"), mean.format(r="rb")).agg(F.expr("count(1) AS features"), F.expr("corr(mra, mrb) AS spearman"))
+    rho = both.selectExpr("*", mean.format(r="ra"), mean.format(r="rb")).agg(F.expr("count(1) AS features"), F.expr("covar_pop(mra, mrb) / nullif(stddev_pop(mra) * stddev_pop(mrb), 0D) AS spearman"))
     x, y = both.alias("x"), both.alias("y")
     pairs = x.join(y, F.expr("x.feature < y.feature")).selectExpr("sign(x.ra - y.ra) AS sa", "sign(x.rb - y.rb) AS sb")
     tau = pairs.agg(F.expr("count_if(sa * sb > 0) AS same_order"), F.expr("count_if(sa * sb < 0) AS opposite_order"), F.expr(
