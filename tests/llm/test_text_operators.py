@@ -422,3 +422,19 @@ def test_tokenizers_that_join_words_get_whole_texts(documents, name, by_word):
     texts = [r["text"] for r in documents.select("text").collect()][:60] + ["a!b!! c", "É! ×! ÷. ñ", "--- ... 12,5 x2!", "İstanbul! ǅ", " \n"]
     want = [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
     assert [x.tolist() for x in coder.ids([t.encode() for t in texts], 0)] == want
+
+
+def test_bounds_hold_for_repeated_rows(spark, none):
+    """One text per labelled id, a range once however often its row repeats, and no third copy of wordless rows."""
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id bigint, quality int")
+    docs = spark.range(5000).selectExpr("1L AS doc_id", "concat('text ', id) AS text").unionByName(
+        spark.createDataFrame([(2, "other")], "doc_id bigint, text string"))
+    got = quality_classifier.labelled_sample(docs, labels, "quality", 10).collect()
+    assert sorted((r["doc_id"], r["y"]) for r in got) == [(1, 1), (2, 0)]
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = spark.createDataFrame([(7, text)] * 200, "doc_id bigint, text string").repartition(4)
+    for r in substring_dedup.repeated_ranges(rows).collect():
+        assert [(c["first"], c["last"]) for c in r["cut"]] == [(0, 400)]
+    wordless = [(i, None if i % 2 else " ", "empty") for i in range(20)] + [(100, "one two", "full")] + [(200 + i, "word " * 50, "big") for i in range(4)]
+    mixed = mixture.mixed_documents(spark.createDataFrame(wordless, "doc_id bigint, text string, source string"))
+    assert max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2

@@ -97,7 +97,9 @@ def thresholds(sizes: DataFrame, goals: DataFrame) -> DataFrame:
             state = state.drop("upto")
     # ``low`` is now the hash of the documents at the boundary: taking them or not, whichever is nearer.
     take = F.expr("CASE WHEN upto IS NULL THEN 0 WHEN upto - need < need - under THEN 1 ELSE 0 END")
-    return state.select("source", "source_size", "target", "copies", (F.col("low") + take).alias("limit"))
+    # A source that whole copies fill takes nothing more, wordless documents included.
+    limit = F.when(F.col("target") <= F.col("copies") * F.col("source_size"), 0).otherwise(F.col("low") + take)
+    return state.select("source", "source_size", "target", "copies", limit.alias("limit"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150) -> DataFrame:

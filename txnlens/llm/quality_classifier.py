@@ -147,19 +147,23 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """``text, y`` of at most ``max_rows`` labelled documents that are not held out, the same ones on every run."""
+    """``doc_id, text, y`` of at most ``max_rows`` labelled documents that are not held out, the same ones on every run.
+
+    Labels that repeat count once. Of several texts with one id, the one of least hash counts.
+    """
     chosen = labels.select(labels["doc_id"].alias("id"), labels[label].cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
-    chosen = chosen.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
-    return docs.select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text")).join(
-        F.broadcast(chosen), F.expr("doc_id = id")).select("doc_id", "text", "y")  # at most max_rows pairs of numbers
+    chosen = chosen.where(~held_out(F.col("id"))).distinct().orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
+    rows = docs.select(docs["doc_id"].alias("doc_id"), text_of(docs).alias("text")).join(
+        F.broadcast(chosen), F.expr("doc_id = id"))  # at most max_rows pairs of numbers
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, cut: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``.
 
     Null and empty texts have zero vectors and the score that the network gives those. Without labelled rows of both
-    classes every score is the same. Rows that repeat score alike; an empty table gives no rows; other columns and null
-    ids do no harm (a null id is not held out).
+    classes every score is the same. Rows that repeat score alike, and an id is learnt from once; an empty table gives no
+    rows; other columns are ignored; a null id is not held out.
     """
     vectors = word_vectors(docs)
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm.common import let, text_of, words_of
@@ -29,7 +29,6 @@ from txnlens.sources.scratch import stored
 
 WINDOW = 35
 SEED = 8
-SHARES = 64  # into which equal super-k-mers of hot minimisers are dealt
 HOT = 5000  # so many super-k-mers at most are one bucket
 
 
@@ -197,15 +196,12 @@ def _hot_ranges(hot: DataFrame, window: int) -> DataFrame:
     windows = stored(kinds.mapInPandas(
         _windows(window), "k1 bigint, k2 bigint, place int, h1 bigint, h2 bigint, n bigint"), "passages-windows")
     often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2")
-    places = windows.join(often, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
-    # A super-k-mer that meets an equal one in its salted share repeats as a whole; the few others look theirs up.
-    share = Window.partitionBy("k1", "k2", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SHARES)))
-    keyed = keyed.drop("packed").withColumn("equal", F.count("*").over(share))
-    whole = keyed.where("equal > 1").select("doc_id", "text_key", F.array(F.struct(
-        "first", (F.col("first") + F.col("size") + window - 1).alias("last"))).alias("found"))
-    return whole.unionByName(keyed.where("equal = 1").join(places, ["k1", "k2"]).select(
-        "doc_id", "text_key", F.transform("places", lambda p: F.struct(
-            (F.col("first") + p).alias("first"), (F.col("first") + p + window).alias("last"))).alias("found")))
+    known = windows.join(often, ["h1", "h2"]).groupBy("k1", "k2").agg(F.max("n").alias("n"), F.collect_list("place").alias("places"))
+    # A super-k-mer that has equals repeats as a whole. A passage that occurs very often is one row against many, which
+    # adaptive execution splits.
+    whole = F.array(F.struct("first", (F.col("first") + F.col("size") + window - 1).alias("last")))
+    some = F.transform("places", lambda p: F.struct((F.col("first") + p).alias("first"), (F.col("first") + p + window).alias("last")))
+    return keyed.drop("packed").join(known, ["k1", "k2"]).select("doc_id", "text_key", F.when(F.col("n") > 1, whole).otherwise(some).alias("found"))
 
 
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,10 +236,11 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     packed = packed.withColumn("bucket", F.when(F.col("hot"), F.xxhash64("doc_id", "text_key", "first")).otherwise(F.col("minimiser")))
     found = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
         _count(window), "doc_id bigint, text_key bigint, first int, last int, packed binary, size int"), "passages-found")
-    cold = found.where("packed IS NULL").select("doc_id", "text_key", F.array(F.struct("first", "last")).alias("found"))
-    every = cold.unionByName(_hot_ranges(found.where("packed IS NOT NULL"), window))
-    by_doc = every.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
-        F.flatten(F.collect_list("found")).alias("found"))
+    cold = found.where("packed IS NULL").select("doc_id", "text_key", F.struct("first", "last").alias("range"))
+    hot = _hot_ranges(found.where("packed IS NOT NULL"), window).select("doc_id", "text_key", F.explode("found").alias("range"))
+    # Rows that repeat an id and a text give the same ranges, which count once: no list outgrows its text.
+    by_doc = cold.unionByName(hot).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
+        F.collect_set("range").alias("found"))
     return by_doc.mapInPandas(_merged, "id bigint, key bigint, cut array<struct<first:int,last:int>>")
 
 
