@@ -39,12 +39,12 @@ def test_suite_reports_a_failure(spark):
     assert got["row_parity"] == got["first_txn"] == got["ts_strict"] == got["no_infinite"] == "pass"
 
 
-@pytest.mark.parametrize("sketch", [50, 10_000])
-def test_feature_stats_are_exact(spark, sketch):
+@pytest.mark.parametrize("sketch, inside", [(50, 100_000), (50, 20), (10_000, 100_000), (10_000, 0)])
+def test_feature_stats_are_exact(spark, sketch, inside):
     rng = np.random.default_rng(4)
     vals = np.round(np.concatenate([rng.exponential(50, 3000), np.full(1500, 7.0)]), 3)
     df = spark.createDataFrame([(float(v), None if i % 5 else float(i)) for i, v in enumerate(vals)], "a double, b double")
-    got = {r.feature: r for r in q.feature_stats(df, ["a", "b"], sketch=sketch).collect()}
+    got = {r.feature: r for r in q.feature_stats(df, ["a", "b"], sketch=sketch, inside=inside).collect()}
     b = np.arange(0, len(vals), 5)
     for name, v in (("a", vals), ("b", b)):
         assert got[name].n == len(v)
@@ -52,6 +52,19 @@ def test_feature_stats_are_exact(spark, sketch):
         assert got[name]["std"] == pytest.approx(np.std(v, ddof=1))
 
 
+def test_brackets_close_in_level_by_level(spark, monkeypatch):
+    """With a coarse sketch and few values allowed inside, brackets are sketched again and stay around their ranks."""
+    levels = []
+    narrow = q._narrow
+    monkeypatch.setattr(q, "_narrow", lambda gold, brackets, sketch: (levels.append(max(b.inside for b in brackets)), narrow(gold, brackets, sketch)))
+    df = spark.range(60_000).selectExpr("CAST(id * 7919 % 60013 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b")
+    got = {r.feature: r for r in q.feature_stats(df, ["a", "b"], sketch=100, inside=30).collect()}
+    a = np.arange(60_000) * 7919 % 60013
+    assert [got["a"][p] for p in ("p25", "p50", "p75")] == list(np.percentile(a, [25, 50, 75]))
+    assert [got["b"][p] for p in ("p25", "p50", "p75")] == [0.0, 1.0, 2.0]
+    assert len(levels) >= 2 and levels == sorted(levels, reverse=True) and levels[-1] < levels[0] / 10
+
+
 def test_feature_stats_of_an_empty_feature(spark):
     df = spark.createDataFrame([(None,)], "a double")
     r = q.feature_stats(df, ["a"]).first()

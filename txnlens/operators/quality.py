@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,72 +150,112 @@ def audit_log(lines: DataFrame, hot_rows: int = HOT_ROWS, tolerance: float = 1e-
 
 # --- statistics --------------------------------------------------------------
 SKETCH = 10_000  # a sketch of this accuracy misses a rank by at most rows / SKETCH
+INSIDE = 100_000  # values between which the last step looks for a rank
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-BRACKETS = "feature string, q string, rank double, lo double, hi double"
 
 
-def feature_stats(gold: DataFrame, features: list[str] | None = None, sketch: int = SKETCH) -> DataFrame:
+@dataclass
+class _Bracket:
+    """Where the value at a rank (counted from 0, maybe between two) of a feature lies: from ``lo`` to ``hi``."""
+
+    feature: str
+    name: str
+    n: int
+    rank: float
+    lo: float
+    hi: float
+    below: int = 0  # values under lo
+    upto: int = 0  # values up to hi
+
+    def settle(self, below: int, upto: int) -> None:
+        """Take the counts; a side that the rank lies beyond is opened."""
+        self.below, self.upto = below, upto
+        if below > math.floor(self.rank):
+            self.lo, self.below = -math.inf, 0
+        if upto <= math.ceil(self.rank):
+            self.hi, self.upto = math.inf, self.n
+
+    @property
+    def inside(self) -> int:
+        return 0 if self.lo == self.hi else self.upto - self.below
+
+    def within(self) -> str:
+        return f"{self.feature} BETWEEN {_double(self.lo)} AND {_double(self.hi)}"
+
+
+def _double(x: float) -> str:
+    return f"CAST('{x}' AS DOUBLE)" if math.isinf(x) else f"{x!r}D"
+
+
+def _count_sides(gold: DataFrame, brackets: list[_Bracket]) -> None:
+    """One pass over the table that counts what lies under and up to every bracket."""
+    counts = gold.agg(*[F.expr(f"count_if({b.feature} {op} {_double(x)})") for b in brackets for op, x in (("<", b.lo), ("<=", b.hi))]).first()
+    for i, b in enumerate(brackets):
+        b.settle(counts[2 * i], counts[2 * i + 1])
+
+
+def _narrow(gold: DataFrame, brackets: list[_Bracket], sketch: int) -> None:
+    """One pass that sketches the values inside each bracket and closes in on the rank."""
+    near = 2.0 / sketch
+    asked = []
+    for b in brackets:
+        at = (b.rank - b.below) / max(1, b.inside - 1)
+        asked.append(F.expr(f"percentile_approx({b.feature}, array({max(0.0, at - near)!r}D, {min(1.0, at + near)!r}D), {sketch}) "
+                            f"FILTER (WHERE {b.within()})"))
+    cuts = gold.agg(*asked).first()
+    for b, cut in zip(brackets, cuts, strict=True):
+        b.lo, b.hi = cut
+
+
+def feature_stats(
+    gold: DataFrame, features: list[str] | None = None, sketch: int = SKETCH, inside: int = INSIDE
+) -> DataFrame:
     """Mean, std and exact quartiles of every numeric feature.
 
-    Three passes, none of which shuffles the table: sketches bracket each quartile; one pass
-    counts what lies outside each bracket; one keeps only the values inside the brackets (a
-    few per ten thousand rows), among which the exact rank is picked.  Brackets are read
-    once, a few per feature, so all passes see the same ones.
+    Every pass is one aggregate over the table for all features, which shuffles one row per task.  Sketches bracket each
+    quartile, a pass counts what lies outside, and brackets that still hold more than ``inside`` values are sketched
+    again among those, so each level leaves about one in ``sketch / 4``.  At the end only rows inside brackets are looked
+    at, and the exact rank is picked among at most ``inside`` distinct values.  A value that fills its bracket needs no
+    more.  Brackets are a few numbers per feature.
     """
     spark = gold.sparkSession
     names = features or NUMERIC_FEATURES
-    narrow, wide = 2.0 / sketch, max(0.01, 4.0 / sketch)
-    at = ", ".join(f"{p + s!r}D" for p in QUARTILES.values() for s in (-wide, -narrow, narrow, wide))
-    pairs = ", ".join(f"named_struct('feature', '{f}', 'v', {f})" for f in names)
-    long = gold.selectExpr(f"inline(array({pairs}))")
-    first = long.groupBy("feature").agg(
-        F.expr("count(v) AS n"), F.expr("avg(v) AS mean"), F.expr("stddev_samp(v) AS std"),
-        F.expr(f"percentile_approx(v, array({at}), {sketch}) AS cuts"),
-    ).collect()  # one row per feature
+    near = max(2.0 / sketch, 2.0 / max(1, gold.count()))
+    at = ", ".join(f"{x!r}D" for p in QUARTILES.values() for x in (max(0.0, p - near), min(1.0, p + near)))
+    first = gold.agg(*[F.expr(e) for f in names for e in (
+        f"count({f})", f"avg({f})", f"stddev_samp({f})", f"percentile_approx({f}, array({at}), {sketch})")]).first()
     brackets = []
-    for r in first:
-        for i, (name, p) in enumerate(QUARTILES.items() if r["n"] else ()):
-            outer_lo, inner_lo, inner_hi, outer_hi = r["cuts"][4 * i: 4 * i + 4]
-            if r["n"] >= 20 * sketch:
-                lo, hi = inner_lo, inner_hi
-            elif r["n"] * wide >= 10:  # a narrow bracket would be less than a few rows
-                lo, hi = outer_lo, outer_hi
-            else:
-                lo, hi = -math.inf, math.inf
-            brackets.append((r["feature"], name, p * (r["n"] - 1), lo, hi))
-    base = spark.createDataFrame(
-        [(r["feature"], r["n"], r["mean"], r["std"]) for r in first], "feature string, n long, mean double, std double"
-    )
-    values = long.where("v IS NOT NULL")
-    return base.join(F.broadcast(_ranked_values(values, brackets)), "feature", "left")  # one row per feature
-
-
-def _ranked_values(values: DataFrame, brackets: list[tuple]) -> DataFrame:
-    """Exact values at the wanted ranks; each bracket is checked and widened if it misses."""
-    spark = values.sparkSession
-    sides = values.join(F.broadcast(spark.createDataFrame(brackets, BRACKETS)), "feature").groupBy("feature", "q").agg(
-        F.expr("count_if(v < lo) AS below"), F.expr("count_if(v > hi) AS above"), F.expr("count(1) AS n")
-    ).collect()  # one row per bracket
-    outside = {(r["feature"], r["q"]): r for r in sides}
-    checked = []
-    for f, name, rank, lo, hi in brackets:
-        r = outside[f, name]
-        below = r["below"]
-        if below > math.floor(rank):
-            lo, below = -math.inf, 0
-        if r["n"] - r["above"] <= math.ceil(rank):
-            hi = math.inf
-        checked.append((f, name, rank, lo, hi, below))
-    wanted = F.broadcast(spark.createDataFrame(checked, BRACKETS + ", below long"))
-    inside = values.join(wanted, "feature").where("v BETWEEN lo AND hi")
-    counts = inside.groupBy("feature", "q", "rank", "below", "v").agg(F.expr("count(1) AS n"))
-    running = counts.selectExpr("*", "below + sum(n) OVER (PARTITION BY feature, q ORDER BY v) AS upto")
-    placed = running.groupBy("feature", "q", "rank").agg(
+    for i, f in enumerate(names):
+        n, cuts = first[4 * i], first[4 * i + 3]
+        for k, (name, p) in enumerate(QUARTILES.items() if n else ()):
+            brackets.append(_Bracket(f, name, n, p * (n - 1), cuts[2 * k], cuts[2 * k + 1]))
+    if brackets:
+        _count_sides(gold, brackets)
+    while wide := [b for b in brackets if b.inside > inside]:
+        before = sum(b.inside for b in wide)
+        _narrow(gold, wide, sketch)
+        _count_sides(gold, wide)
+        if sum(b.inside for b in wide) >= before:  # a few values that repeat often: the last step counts them first
+            break
+    found = {(b.feature, b.name): b.lo for b in brackets if not b.inside} | _ranked_values(gold, [b for b in brackets if b.inside])
+    rows = [(f, *first[4 * i:4 * i + 3], *[found.get((f, q)) for q in QUARTILES]) for i, f in enumerate(names)]
+    return spark.createDataFrame(rows, "feature string, n long, mean double, std double, p25 double, p50 double, p75 double")
+
+
+def _ranked_values(gold: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, str], float]:
+    """The interpolated value at the rank of each bracket, from the rows inside."""
+    if not brackets:
+        return {}
+    hits = ", ".join(f"CASE WHEN {b.within()} THEN named_struct('i', {i}, 'v', CAST({b.feature} AS DOUBLE)) END" for i, b in enumerate(brackets))
+    inside = gold.selectExpr(f"inline(array_compact(array({hits})))")
+    ranks = F.broadcast(gold.sparkSession.createDataFrame(
+        [(i, b.rank, b.below) for i, b in enumerate(brackets)], "i int, rank double, below long"))  # a few per feature
+    counts = inside.groupBy("i", "v").agg(F.expr("count(1) AS n")).join(ranks, "i")
+    running = counts.selectExpr("*", "below + sum(n) OVER (PARTITION BY i ORDER BY v) AS upto")
+    placed = running.groupBy("i", "rank").agg(
         F.expr("min(v) FILTER (WHERE upto > floor(rank)) AS lo"), F.expr("min(v) FILTER (WHERE upto > ceil(rank)) AS hi")
-    )
-    return placed.groupBy("feature").agg(
-        *[F.expr(f"max(lo + (hi - lo) * (rank - floor(rank))) FILTER (WHERE q = '{name}') AS {name}") for name in QUARTILES]
-    )
+    ).selectExpr("i", "lo + (hi - lo) * (rank - floor(rank)) AS v")
+    return {(brackets[r["i"]].feature, brackets[r["i"]].name): r["v"] for r in placed.collect()}
 
 
 def drift(baseline: DataFrame, window: DataFrame) -> DataFrame:
