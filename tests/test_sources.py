@@ -201,12 +201,12 @@ def test_cache_is_keyed_by_data(spark, tmp_path):
 def test_runs_are_recorded_and_failures_raised(spark, tmp_path):
     table = str(tmp_path / "runs")
     with ops.track_run(spark, table, "ok") as run:
-        run["rows_out"] = 5
+        ops.move_counted(spark.range(12), str(tmp_path / "moved"), lambda rows: rows.where("id % 12 < 5"), run)
     with pytest.raises(KeyError):
         with ops.track_run(spark, table, "bad"):
             raise KeyError("x")
-    got = {r.layer: (r.status, r.rows_out) for r in spark.read.parquet(table).collect()}
-    assert got == {"ok": ("success", 5), "bad": ("failed", None)}
+    got = {r.layer: (r.status, r.rows_in, r.rows_out) for r in spark.read.parquet(table).collect()}
+    assert got == {"ok": ("success", 12, 5), "bad": ("failed", None, None)}
 
 
 def test_labels(spark):

@@ -9,7 +9,7 @@ from txnlens.operators.account import account_features
 from txnlens.operators.portable import array_model
 from txnlens.operators.scoring import DEFAULT_MODEL, LogisticModel, score_requests, score_sequential
 from txnlens.operators.state import (
-    account_state, decoded, lookup_states, merge_states, read_state_json, upsert_latest, with_state_json,
+    account_state, decoded, lookup_states, lookup_totals, merge_states, read_state_json, upsert_latest, with_state_json,
 )
 from txnlens.sources.events import read_scored_events
 from txnlens.sources.state_log import StateLog
@@ -64,7 +64,10 @@ def test_json_round_trip_and_junk(spark):
     df = spark.createDataFrame(junk, "account_id string, state_json string")
     assert [r.account_id for r in decoded(df).where("state is not null").collect()] == ["A"]
     keys = spark.createDataFrame([(k,) for k in "ABZ"], "account_id string")
-    assert {r.account_id: r.hit for r in lookup_states(keys, df).collect()} == {"A": True, "B": False, "Z": False}
+    looked_up = lookup_states(keys, df)
+    assert {r.account_id: r.hit for r in looked_up.collect()} == {"A": True, "B": False, "Z": False}
+    totals = lookup_totals(looked_up).first()
+    assert (totals.requests, totals.hits, totals.misses, totals.unreadable) == (3, 1, 2, 1)
 
 
 @pytest.mark.parametrize("ties,want", [("keep", "old"), ("take", "new")])

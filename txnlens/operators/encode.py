@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.functions import columns as c
-from txnlens.operators.prefix import quantiles
+from txnlens.operators.prefix import prior_rows, quantiles
+from txnlens.sources.scratch import stored
 
 TRAIN = "split = 'train'"
 SMOOTHING = 10.0
@@ -24,14 +25,14 @@ def zscore_by_group(
     """``(value - mean) / (std + pad)`` by training group.
 
     A group of one row has std 1; groups never trained use the overall training figures.
-    The group columns must have small fixed domains.
+    The table of groups is joined by key: the planner broadcasts it where it is small.
     """
     fit = rows.where(train)
     stats = fit.groupBy(*group).agg(
         F.expr(f"avg({value}) AS _m"), F.expr(f"coalesce(stddev_samp({value}), 1D) AS _s")
     )
     overall = fit.selectExpr(f"avg({value}) AS _gm", f"stddev_samp({value}) AS _gs")
-    joined = rows.join(F.broadcast(stats), group, "left").crossJoin(F.broadcast(overall))
+    joined = rows.join(stats, group, "left").crossJoin(F.broadcast(overall))
     return joined.selectExpr(
         *rows.columns, f"({value} - coalesce(_m, _gm)) / (coalesce(_s, _gs) + {pad}D) AS {out}"
     )
@@ -113,10 +114,11 @@ def amount_ratio_global(rows: DataFrame, train: str = TRAIN) -> DataFrame:
 
 
 def type_code(rows: DataFrame, column: str = "txn_type", out: str = "type_code") -> DataFrame:
-    """Category to integer by sorted label; the label table has one row per category."""
-    labels = rows.select(column).distinct()
-    codes = labels.selectExpr(column, f"CAST(row_number() OVER (ORDER BY {column}) - 1 AS INT) AS {out}")
-    return rows.join(F.broadcast(codes), column, "left").select(*rows.columns, out)
+    """Category to integer by sorted label; any number of labels, numbered by ranges where there are many."""
+    labels = rows.select(column).where(F.col(column).isNotNull()).distinct().selectExpr("0 AS _all", column)
+    codes = prior_rows(stored(labels, "labels"), ["_all"], column, {"_before": ("count", "1")})
+    codes = codes.selectExpr(column, f"CAST(_before AS INT) AS {out}")
+    return rows.join(codes, column, "left").select(*rows.columns, out)
 
 
 def frequency_encode(rows: DataFrame, key: str, out: str, train: str = "true") -> DataFrame:

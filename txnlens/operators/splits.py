@@ -46,7 +46,7 @@ def _take_share(df: DataFrame, strata: list[str], row_id: str, seed: str, share:
     """
     hashed = df.selectExpr("*", f"{c.md5_number(repr(seed), row_id)} AS _h")
     ranked = prior_rows(hashed, strata, "_h", {"_rank": ("count", "1")}, tie=[row_id])
-    sizes = F.broadcast(df.groupBy(*strata).agg(F.expr("count(1) AS _n")))
+    sizes = df.groupBy(*strata).agg(F.expr("count(1) AS _n"))
     return ranked.join(sizes, strata).selectExpr(*df.columns, f"_rank < floor({share!r}D * _n) AS {out}")
 
 

@@ -118,9 +118,20 @@ def upsert_latest(
 
 
 def lookup_states(keys: DataFrame, stored: DataFrame) -> DataFrame:
-    """Previous state for each requested account; anything unreadable is a cold start."""
-    readable = decoded(stored).select("account_id", "state")
-    return keys.join(readable, "account_id", "left").selectExpr("*", "state IS NOT NULL AS hit")
+    """Previous state for each requested account; anything unreadable is a cold start.
+
+    ``hit`` says whether there is a state, ``found`` whether anything was stored.
+    """
+    readable = decoded(stored).selectExpr("account_id", "state", "true AS _found")
+    return keys.join(readable, "account_id", "left").selectExpr(
+        *keys.columns, "state", "state IS NOT NULL AS hit", "coalesce(_found, false) AS found")
+
+
+def lookup_totals(looked_up: DataFrame) -> DataFrame:
+    """Requests, hits and misses of a lookup, by whether the account's stored document was missing or unreadable."""
+    return looked_up.selectExpr(
+        "count(1) AS requests", "count_if(hit) AS hits", "count_if(NOT hit) AS misses",
+        "count_if(NOT hit AND found) AS unreadable", "count_if(hit) / greatest(count(1), 1) AS hit_rate")
 
 
 def state_cover(states: DataFrame, gold: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def q_account_state(spark, d):
 @query("merge_states", WHOLE_STATE)
 def q_merge_states(spark, d):
     """Three overlapping-in-accounts parts merged pairwise give the state of the whole."""
-    rows = silver(spark, d)
+    rows = silver_table(spark, d)
     parts = [account_state(rows.where(f"txn_type IN ({t})")) for t in
              ("'TRANSFER', 'DEBIT'", "'CASH_OUT'", "'PAYMENT', 'CASH_IN'")]
     return rounded(merge_states(parts[2], merge_states(parts[0], parts[1])), *SUMS)
@@ -46,7 +46,7 @@ def q_merge_states(spark, d):
 @query("advance_state_late", WHOLE_STATE)
 def q_advance_state_late(spark, d):
     """Late half folded in after the newer half: totals change, the anchor does not go back."""
-    rows = silver(spark, d)
+    rows = silver_table(spark, d)
     newer, late = account_state(rows.where("step > 360")), account_state(rows.where("step <= 360"))
     return rounded(merge_states(newer, late), *SUMS)
 
@@ -74,7 +74,7 @@ def _staged(spark, d):
 def q_stream_state(spark, d):
     """Two runs of the stream over a growing folder: the restart adds only the new files."""
     path, ckpt, out = fresh_dir(spark, "ctx"), fresh_dir(spark, "ckpt"), fresh_dir(spark, "states")
-    rows = silver(spark, d).select(*TXN_COLUMNS)
+    rows = silver_table(spark, d).select(*TXN_COLUMNS)
     for part in ("step > 300", "step <= 300"):
         rows.where(part).write.mode("append").json(path)
         stream_state(spark, path, ckpt, out).awaitTermination()
@@ -91,8 +91,9 @@ def q_backfill_state(spark, d):
 def q_state_repair_rule(spark, d):
     """A repair from older data neither removes accounts nor overwrites fresher states."""
     cols = ["account_id", "txn_count", "updated_at_us"]
-    fresh = account_state(silver(spark, d)).select(*cols)
-    old = account_state(silver(spark, d).where("step <= 240")).select(*cols)
+    rows = silver_table(spark, d)
+    fresh = account_state(rows).select(*cols)
+    old = account_state(rows.where("step <= 240")).select(*cols)
     return upsert_latest(fresh, old, ties="keep")
 
 

@@ -8,10 +8,10 @@ from txnlens.functions import columns as c
 from txnlens.functions.schema import RAW_COLUMNS, SIM_EPOCH_US, TXN_COLUMNS
 from txnlens.operators.account import account_features
 from txnlens.operators.splits import content_identity
-from txnlens.operators.state import account_state, lookup_states, upsert_latest, with_state_json
+from txnlens.operators.state import account_state, lookup_states, lookup_totals, upsert_latest, with_state_json
 from txnlens.plans.inputs import (
     GOLD, LEDGER, SCORED_GOLD, SCORED_SILVER, SILVER, ledger, r6_list, rounded, scored, scored_silver,
-    scored_with_features, silver, state_cte, with_ctes,
+    scored_with_features, silver, silver_table, state_cte, with_ctes,
 )
 from txnlens.plans.registry import query
 from txnlens.sources import events, fixture, ops
@@ -166,7 +166,7 @@ def history_flatten(spark, d):
     with_ctes(GOLD, f"SELECT event_id, {r6_list('amount_z_vs_prior', 'txn_rate_per_hour')} FROM gold"),
 )
 def frame_cache(spark, d):
-    rows = silver(spark, d)
+    rows = silver_table(spark, d)
     print_id = content_identity(rows)
     folder = fresh_dir(spark, "frames")
     for _ in range(2):
@@ -176,7 +176,7 @@ def frame_cache(spark, d):
 
 def _halves(spark, d):
     """Stored states from the first half of the ledger, incoming ones from a later cut."""
-    rows = silver(spark, d)
+    rows = silver_table(spark, d)
     stored = account_state(rows.where("step <= 360"))
     incoming = account_state(rows.where("step >= 300"))
     cols = ["account_id", "txn_count", "amount_sum", "updated_at_us"]
@@ -213,7 +213,11 @@ def keyed_upsert_cas(spark, d):
 )
 def state_lookup(spark, d):
     """Recipients looked up as accounts; some stored documents are corrupt or of another version."""
-    rows = silver(spark, d)
+    return _looked_up(spark, d).selectExpr("account_id", "hit", "state.txn_count AS txn_count")
+
+
+def _looked_up(spark, d):
+    rows = silver_table(spark, d)
     states = account_state(rows)
     spoiled = with_state_json(states).join(states.select("account_id", "last_txn_type"), "account_id").selectExpr(
         "account_id",
@@ -221,8 +225,20 @@ def state_lookup(spark, d):
         "WHEN 'CASH_IN' THEN replace(state_json, '\"state_version\":1', '\"state_version\":99') "
         "ELSE state_json END AS state_json",
     )
-    keys = rows.selectExpr("dest_id AS account_id").distinct()
-    return lookup_states(keys, spoiled).selectExpr("account_id", "hit", "state.txn_count AS txn_count")
+    return lookup_states(rows.selectExpr("dest_id AS account_id").distinct(), spoiled)
+
+
+@query(
+    "state_lookup_totals",
+    with_ctes(SILVER + state_cte(), """, keys AS (SELECT DISTINCT dest_id AS account_id FROM silver),
+      seen AS (SELECT s.account_id IS NOT NULL AS found, coalesce(s.last_txn_type IN ('PAYMENT', 'TRANSFER', 'CASH_OUT'), false) AS hit
+        FROM keys k LEFT JOIN states s USING (account_id))
+      SELECT count(*) AS requests, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses,
+        count(*) FILTER (WHERE NOT hit AND found) AS unreadable,
+        rnd(count(*) FILTER (WHERE hit) / greatest(count(*), 1)::DOUBLE, 6) AS hit_rate FROM seen"""),
+)
+def state_lookup_totals(spark, d):
+    return rounded(lookup_totals(_looked_up(spark, d)), "hit_rate")
 
 
 LABEL_CTE = """labs AS (SELECT 'ps-' || lpad(CAST(doc_id + 1 AS VARCHAR), 10, '0') AS event_id, toxic = 1 AS is_fraud, quality FROM labels)"""
@@ -262,18 +278,19 @@ def labels_import_parse(spark, d):
     return ops.parse_label_csv(text, known)
 
 
-@query("run_audit", with_ctes(LEDGER, """SELECT 'bronze' AS layer, 'success' AS status, count(*) AS rows_out, '' AS detail FROM ledger
-  UNION ALL SELECT 'gold', 'failed', CAST(NULL AS BIGINT), 'ValueError: bad column set'"""))
+@query("run_audit", with_ctes(LEDGER, """SELECT 'bronze' AS layer, 'success' AS status, count(*) AS rows_in,
+    count(*) FILTER (WHERE txn_type <> 'DEBIT') AS rows_out, '' AS detail FROM ledger
+  UNION ALL SELECT 'gold', 'failed', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'ValueError: bad column set'"""))
 def run_audit(spark, d):
     table, out = fresh_dir(spark, "runs"), fresh_dir(spark, "bronze")
     with ops.track_run(spark, table, "bronze") as run:
-        run["rows_out"] = ops.write_counted(ledger(spark, d), out)
+        ops.move_counted(ledger(spark, d), out, lambda rows: rows.where("txn_type <> 'DEBIT'"), run)
     try:
         with ops.track_run(spark, table, "gold"):
             raise ValueError("bad column set")
     except ValueError:
         pass
-    return spark.read.parquet(table).select("layer", "status", "rows_out", "detail")
+    return spark.read.parquet(table).select("layer", "status", "rows_in", "rows_out", "detail")
 
 
 @query(

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-RUN_SCHEMA = "run_id string, layer string, started_at double, finished_at double, status string, rows_out long, detail string"
+RUN_SCHEMA = "run_id string, layer string, started_at double, finished_at double, status string, rows_in long, rows_out long, detail string"
 
 
 def apply_label_edits(labels: DataFrame, edits: DataFrame, order: str | None = None) -> DataFrame:
@@ -41,10 +42,20 @@ def write_counted(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
+def move_counted(source: DataFrame, path: str, transform: Callable[[DataFrame], DataFrame], run: dict) -> None:
+    """Write ``transform(source)`` and note in ``run`` the rows that went in and came out, counted in the same pass.
+
+    A source that the transform reads several times is counted each time.
+    """
+    taken = Observation("taken")
+    run["rows_out"] = write_counted(transform(source.observe(taken, F.expr("count(1) AS n"))), path)
+    run["rows_in"] = taken.get["n"]
+
+
 @contextmanager
 def track_run(spark: SparkSession, table: str, layer: str):
     """Append one audit row per job run; a failure is recorded and raised again."""
-    run = {"rows_out": None, "detail": ""}
+    run = {"rows_in": None, "rows_out": None, "detail": ""}
     started = time.time()
     status = "success"
     try:
@@ -53,7 +64,7 @@ def track_run(spark: SparkSession, table: str, layer: str):
         status, run["detail"] = "failed", f"{type(error).__name__}: {error}"
         raise
     finally:
-        row = (f"{layer}-{started:.6f}", layer, started, time.time(), status, run["rows_out"], run["detail"])
+        row = (f"{layer}-{started:.6f}", layer, started, time.time(), status, run["rows_in"], run["rows_out"], run["detail"])
         spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(table)
 
 
