@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from txnlens.operators import frontier, models, pit
 from txnlens.plans.models import FEATURES, frame
@@ -129,3 +131,13 @@ def test_importance_by_two_methods(spark):
     got = {r.feature: r for r in models.compare_importance(model, base, ["signal", "noise"], repeats=1).collect()}
     assert (got["signal"].permutation_rank, got["signal"].impurity_rank) == (1, 1) and got["signal"].impurity > 0.9
     assert {r.features for r in got.values()} == {2}
+
+
+@pytest.mark.parametrize("kind", ["forest", "logistic", "gbt"])
+def test_models_score_in_a_session_that_has_observed(spark, kind):
+    """Observations make the session unfit to travel; a fitted model must not drag it along."""
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.expr("count(1) AS n")).collect()
+    rows = spark.range(300).selectExpr("CAST(id % 3 = 0 AS INT) AS y", "CAST(id % 3 AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS b")
+    fitted = models.fit(kind, rows, ["a", "b"], **({"maxDepth": 2} if kind != "logistic" else {}))
+    assert seen.get["n"] == 3 and models.score(fitted, rows, ["a", "b"]).where("(y = 1) = (score > 0.5)").count() >= 200

@@ -19,7 +19,7 @@ from txnlens.functions.schema import FEATURE_VERSION
 from txnlens.operators.frontier import argmax, exact_frontier, fbeta, ranking_metrics
 from txnlens.operators.portable import array_model
 from txnlens.operators.prefix import in_ranges, prior_rows, union_all
-from txnlens.sources.scratch import stored
+from txnlens.sources.scratch import fresh_dir, stored
 
 SEED = 42
 KINDS = {
@@ -47,15 +47,27 @@ def fit(kind: str, rows: DataFrame, features: list[str], **params) -> PipelineMo
         estimator,
     ]
     doubles = rows.selectExpr("y", *[f"CAST({f} AS DOUBLE) AS {f}" for f in features])
-    return Pipeline(stages=stages).fit(balanced(doubles))
+    fitted = Pipeline(stages=stages).fit(balanced(doubles))
+    return PipelineModel([*fitted.stages[:-1], _without_summary(fitted.stages[-1], rows.sparkSession)])
+
+
+def _without_summary(stage, spark: SparkSession):
+    """The model as a saved copy has it.
+
+    A training summary holds the session, which cannot travel to the executors once an ``Observation`` was used in it.
+    """
+    if not getattr(stage, "hasSummary", False):
+        return stage
+    path = fresh_dir(spark, "fitted")
+    stage.write().save(path)
+    return type(stage).load(path)
 
 
 def score(model: PipelineModel, rows: DataFrame, features: list[str], out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Positive-class probability of every row, beside the columns in ``keep`` (all).
 
     The scores are written once: frontiers and metrics read them several times, and the model
-    must not be evaluated again for each.  A logistic model is scored by its coefficients: the
-    fitted object holds its training summary, which must not travel to the executors.
+    must not be evaluated again for each.  A logistic model is scored by its coefficients.
     """
     kept = rows.columns if keep is None else keep
     if isinstance(model.stages[-1], LogisticRegressionModel):
