@@ -141,3 +141,14 @@ def test_models_score_in_a_session_that_has_observed(spark, kind):
     rows = spark.range(300).selectExpr("CAST(id % 3 = 0 AS INT) AS y", "CAST(id % 3 AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS b")
     fitted = models.fit(kind, rows, ["a", "b"], **({"maxDepth": 2} if kind != "logistic" else {}))
     assert seen.get["n"] == 3 and models.score(fitted, rows, ["a", "b"]).where("(y = 1) = (score > 0.5)").count() >= 200
+
+
+def test_folds_learn_from_their_past_alone(spark):
+    """The label follows ``a`` up to step 60 and its opposite later; an embargo decides whether training has seen the change."""
+    rows = spark.range(2000).selectExpr("id AS row_num", "id div 20 AS step", "CAST(id % 2 AS DOUBLE) AS a", "1D AS amount").selectExpr(
+        "*", "CAST(CASE WHEN step <= 60 THEN a = 1 ELSE a = 0 END AS INT) AS y")
+    folds = spark.createDataFrame([(0, 50, 50, 60), (0, 90, 90, 99), (40, 90, 50, 99), (0, 5, -1, 10), (0, 200, 200, 210)],
+                                  "embargo int, cut int, train_end int, test_end int")
+    got = {(r.embargo, r.cut): r for r in models.walk_forward_models(rows, ["a"], folds, "tree", maxDepth=2).collect()}
+    assert sorted(got) == [(0, 50), (0, 90), (40, 90)]
+    assert got[0, 50].roc_auc == 1.0 and got[40, 90].roc_auc == 0.0 and got[0, 50].rows == 200

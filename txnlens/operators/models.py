@@ -227,6 +227,26 @@ def tune(rows: DataFrame, features: list[str], kind: str, grid: list[dict], fold
     return rows.sparkSession.createDataFrame(out, "params string, mean_average_precision double")
 
 
+def walk_forward_models(rows: DataFrame, features: list[str], folds: DataFrame, kind: str = "forest", **params) -> DataFrame:
+    """Average precision per fold of a model fitted on the fold's training rows alone.
+
+    ``folds`` has ``embargo, cut, train_end, test_end``, a few rows; training ends ``embargo`` steps before the cut. Folds
+    without training rows of both classes or whose test part lacks a class are left out. The loop is over folds; rows
+    stay in Spark.
+    """
+    classes = rows.groupBy("step").agg(F.expr("count_if(y = 1) AS pos"), F.expr("count_if(y = 0) AS neg"))
+    sized = F.broadcast(folds).join(classes, F.expr("step <= test_end")).groupBy(*folds.columns).agg(*[
+        F.expr(f"coalesce(sum({n}) FILTER (WHERE {w}), 0) > 0 AS {p}_{n}")
+        for p, w in (("train", "step <= train_end"), ("test", "step > cut")) for n in ("pos", "neg")])
+    parts = []
+    for f in sized.where("train_pos AND train_neg AND test_pos AND test_neg").orderBy("embargo", "cut").collect():
+        model = fit(kind, rows.where(f"step <= {f['train_end']}"), features, **params)
+        scored = score(model, rows.where(f"step > {f['cut']} AND step <= {f['test_end']}"), features, keep=["y", "amount"])
+        parts.append(scored.selectExpr(f"{f['embargo']} AS embargo", f"{f['cut']} AS cut", "y", "amount", "score"))
+    return ranking_metrics(union_all(parts), ["embargo", "cut"]) if parts else rows.sparkSession.createDataFrame(
+        [], "embargo int, cut int, rows long, positives long, average_precision double, roc_auc double")
+
+
 def refit_and_seal(rows: DataFrame, features: list[str], kind: str, train_max: int, val_max: int, beta: float = 1.75, **params) -> DataFrame:
     """Choose the threshold on validation rows, refit on train + validation, score the test once."""
     first = fit(kind, rows.where(f"step <= {train_max}"), features, **params)

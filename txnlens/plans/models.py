@@ -11,7 +11,7 @@ from txnlens.operators.metrics import calibration_errors
 from txnlens.plans.inputs import LEDGER, SCORED, ledger, rounded, scored, with_ctes
 from txnlens.plans.registry import query
 from txnlens.sources import fixture
-from txnlens.sources.scratch import fresh_dir
+from txnlens.sources.scratch import fresh_dir, stored
 
 FEATURES = pit.PIT_FEATURES
 
@@ -101,6 +101,14 @@ def tune_walk_forward(spark, d):
     return models.tune(frame(spark, d), FEATURES, "tree", grid, folds, patience=2)
 
 
+@query("walk_forward_models")
+def walk_forward_models(spark, d):
+    """Spread of a forest's average precision over walk-forward folds, per embargo."""
+    folds = splits.fold_table(spark, embargos=splits.EMBARGOS)
+    ranked = models.walk_forward_models(frame(spark, d), FEATURES, folds, "forest", numTrees=10, maxDepth=6)
+    return splits.embargo_summary(stored(ranked, "folds"))
+
+
 @query("refit_and_seal")
 def refit_and_seal(spark, d):
     out = models.refit_and_seal(frame(spark, d), FEATURES, "tree", 480, 600)
