@@ -163,6 +163,9 @@ def test_scan_of_long_lines_chains_and_nothing(spark, none):
     assert secret_scan.secret_digests(none).count() == 0
     chain = 'x0 = "q7W9"\n' + "".join(f"x{i + 1} = x{i} + x{i}\n" for i in range(200)) + 'pwd = x200 + "e2R4t6"'
     assert [t for k, t in found(chain) if k == "lexed"] == ["q7W9", "e2R4t6"]
+    assert found('pwd = f(g("aB3dE6gH"), h(k("no"), ("or")))') == [("lexed", "aB3dE6gH")]
+    for odd in ("a=f(" * 50_000, "pwd=f(" * 20_000 + ")" * 20_000, "k = k + 'x'\n" * 3000 + "pwd = 1", '"' * 99_999 + " pwd", "pwd = [" * 9_000):
+        secret_scan.spans_of(odd)
     queries.ship(spark)
     text = "é" * 500_000 + ' pwd = "Zx81kQp0Lm" ' + "word " * 200_000
     row = secret_scan.scan_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()

@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,7 @@ _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[48:58] = _HEX_BYTE[97:103] = True
 
 
+@lru_cache(maxsize=4096)
 def name_weight(name: str) -> float:
     """How sensitive a target name is, from 0 to 1."""
     split = re.sub(r"([a-z0-9])([A-Z])|([A-Z])([A-Z][a-z])", r"\1\3_\2\4", name).lower()
@@ -93,7 +95,7 @@ def literal_strength(value: str, quoted: bool) -> float:
 
 
 class _Bindings:
-    """Bindings of names to literals, in the order of the text.
+    """Bindings of names to literals, in the order of the text; ``found`` has those of sensitive names.
 
     A value is a list of parts ``(start, end, quoted)``, each a stretch of the text. ``known`` has what each name was
     last bound to.
@@ -103,6 +105,13 @@ class _Bindings:
         self.text, self.known = text, {}
         self.tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEX.finditer(text)]
         self.found: list[tuple[str, list[tuple[int, int, bool]]]] = []
+        self.close: dict[int, int] = {}  # the closing bracket of each opening one
+        opened: list[int] = []
+        for i, (_, token, *_) in enumerate(self.tokens):
+            if token in ("(", "["):
+                opened.append(i)
+            elif token in (")", "]") and opened:
+                self.close[opened.pop()] = i
 
     def _at(self, i: int) -> tuple[str, str, int, int]:
         return self.tokens[i] if 0 <= i < len(self.tokens) else ("end", "", len(self.text), len(self.text))
@@ -126,19 +135,29 @@ class _Bindings:
         return [p for p in [*out, (at, end, True)] if p[1] > p[0]]
 
     def _call(self, i: int, name: str) -> tuple[list[tuple[int, int, bool]], int]:
-        """The string arguments of a call whose bracket is token ``i``, and the token after it."""
-        depth, out, args = 0, [], 0
-        while True:
-            kind, text, *_ = token = self._at(i)
-            if kind == "end" or text == ";":
-                return out, i
-            depth += (text in ("(", "[")) - (text in (")", "]"))
-            args += depth == 1 and text == ","
-            if kind == "string" and (args or re.split(r"\W", name)[-1].lower() not in LOOKUPS):
+        """The string arguments of a call whose bracket is token ``i``, and the token after it.
+
+        Arguments of calls inside count, what those nest in turn does not: a text of brackets is read once or twice.
+        """
+        end = self.close.get(i)
+        if end is None:
+            return [], i + 1
+        out, args, inner, at = [], 0, 0, i + 1
+        lookup = re.split(r"\W", name)[-1].lower() in LOOKUPS
+        while at < end:
+            kind, text, *_ = token = self._at(at)
+            if text in ("(", "["):
+                if inner and at in self.close:
+                    at = self.close[at]
+                elif at in self.close:
+                    inner = self.close[at]
+            elif at == inner:
+                inner = 0
+            args += not inner and text == ","
+            if kind == "string" and (args or not lookup):
                 out += self._string(token)
-            i += 1
-            if depth == 0:
-                return out, i
+            at += 1
+        return out, end + 1
 
     def _value(self, i: int) -> list[tuple[int, int, bool]]:
         """The parts of the expression that begins with token ``i``."""
@@ -189,9 +208,13 @@ class _Bindings:
     def _bind(self, name: str, value: list[tuple[int, int, bool]]) -> None:
         if value:
             value = list(dict.fromkeys(value))  # a constant that a value holds twice counts once
-            self.found.append((name, value))
+            self._report(name, value)
             self.known[name.strip("${}")] = value
 
+    def _report(self, name: str, value: list[tuple[int, int, bool]]) -> None:
+        if name_weight(name) >= THRESHOLD:
+            self.found.append((name, value))
+
     def read(self) -> list[tuple[str, list[tuple[int, int, bool]]]]:
         record = None  # the literal of the last "name": a following "value" belongs to it
         for i, (kind, text, start, end) in enumerate(self.tokens):
@@ -217,8 +240,9 @@ class _Bindings:
             elif kind == "name" and after[1] == "(" and self._at(i + 2)[0] in ("string", "name") and self._at(i + 3)[1] == ")":
                 value = self._value(i + 2)
                 if value:
-                    self.found.append((text, value))
-        self.found += [(m.group(1), [(*m.span(2), False)]) for m in _ELEMENT.finditer(self.text)]
+                    self._report(text, value)
+        for m in _ELEMENT.finditer(self.text):
+            self._report(m.group(1), [(*m.span(2), False)])
         self.found += [("password", [(*m.span(1), True)]) for m in _LOGIN.finditer(self.text)]
         return self.found
 
@@ -227,11 +251,8 @@ def lexed_spans(text: str) -> dict[tuple[int, int], tuple[str, float]]:
     """The literals bound to sensitive names: for each stretch of the text the name and the greatest score."""
     best: dict[tuple[int, int], tuple[str, float]] = {}
     for name, value in _Bindings(text).read():
-        weight = name_weight(name)
-        if weight < THRESHOLD:
-            continue
         whole = "".join(text[a:b] for a, b, _ in value)
-        score = weight * literal_strength(whole, all(q for *_, q in value))
+        score = name_weight(name) * literal_strength(whole, all(q for *_, q in value))
         if score >= THRESHOLD:
             for a, b, _ in value:
                 if score > best.get((a, b), ("", 0.0))[1]:
