@@ -52,6 +52,17 @@ def test_feature_stats_are_exact(spark, sketch, inside):
         assert got[name]["std"] == pytest.approx(np.std(v, ddof=1))
 
 
+def test_sampled_sketches_only_propose(spark, monkeypatch):
+    """Brackets from samples of 300 rows, some far off, still end at the exact quartiles."""
+    monkeypatch.setattr(q, "SAMPLE", 300)
+    df = spark.range(30_000).selectExpr(
+        "CAST(id * 7919 % 30011 AS DOUBLE) AS a", "CASE WHEN id = 5 THEN 3D END AS rare", "CAST(id div 29999 AS DOUBLE) AS flag")
+    got = {r.feature: r for r in q.feature_stats(df, ["a", "rare", "flag"], inside=500).collect()}
+    a = np.arange(30_000) * 7919 % 30011
+    assert [got["a"][p] for p in ("p25", "p50", "p75")] == list(np.percentile(a, [25, 50, 75]))
+    assert (got["rare"].n, got["rare"].p50) == (1, 3.0) and got["flag"].p75 == 0.0
+
+
 def test_brackets_close_in_level_by_level(spark, monkeypatch):
     """With a coarse sketch and few values allowed inside, brackets are sketched again and stay around their ranks."""
     levels = []

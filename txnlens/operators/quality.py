@@ -151,6 +151,8 @@ def audit_log(lines: DataFrame, hot_rows: int = HOT_ROWS, tolerance: float = 1e-
 # --- statistics --------------------------------------------------------------
 SKETCH = 10_000  # a sketch of this accuracy misses a rank by at most rows / SKETCH
 INSIDE = 100_000  # values between which the last step looks for a rank
+SAMPLE = 200_000  # rows that a sketch is made of; it only proposes brackets, which are then counted over all rows
+SAMPLED = 0.01  # how far from its rank a quantile of such a sample may lie: over four standard deviations
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
@@ -194,17 +196,23 @@ def _count_sides(gold: DataFrame, brackets: list[_Bracket]) -> None:
         b.settle(counts[2 * i], counts[2 * i + 1])
 
 
+def _sampled(gold: DataFrame, rows: int, wanted: int) -> DataFrame:
+    """About ``wanted`` of ``rows`` rows, in few partitions: what is merged at the end does not grow with the table."""
+    return gold if rows <= wanted else gold.sample(wanted / rows, seed=7).repartition(32)
+
+
 def _narrow(gold: DataFrame, brackets: list[_Bracket], sketch: int) -> None:
-    """One pass that sketches the values inside each bracket and closes in on the rank."""
-    near = 2.0 / sketch
+    """One pass that sketches values inside each bracket and closes in on the rank."""
+    fewest = min(b.inside for b in brackets)
+    near = max(2.0 / sketch, SAMPLED if fewest > SAMPLE else 0.0)
     asked = []
     for b in brackets:
         at = (b.rank - b.below) / max(1, b.inside - 1)
         asked.append(F.expr(f"percentile_approx({b.feature}, array({max(0.0, at - near)!r}D, {min(1.0, at + near)!r}D), {sketch}) "
                             f"FILTER (WHERE {b.within()})"))
-    cuts = gold.agg(*asked).first()
+    cuts = _sampled(gold, fewest, SAMPLE).agg(*asked).first()
     for b, cut in zip(brackets, cuts, strict=True):
-        b.lo, b.hi = cut
+        b.lo, b.hi = cut or (b.lo, b.hi)
 
 
 def feature_stats(
@@ -212,21 +220,22 @@ def feature_stats(
 ) -> DataFrame:
     """Mean, std and exact quartiles of every numeric feature.
 
-    Every pass is one aggregate over the table for all features, which shuffles one row per task.  Sketches bracket each
-    quartile, a pass counts what lies outside, and brackets that still hold more than ``inside`` values are sketched
-    again among those, so each level leaves about one in ``sketch / 4``.  At the end only rows inside brackets are looked
+    Every pass is one aggregate over the table for all features, which shuffles one row per task.  Sketches, of a sample
+    where the table is large, bracket each quartile, a pass over all rows counts what lies outside, and brackets that
+    still hold more than ``inside`` values are sketched again among those, until they hold fewer.  At the end only rows inside brackets are looked
     at, and the exact rank is picked among at most ``inside`` distinct values.  A value that fills its bracket needs no
     more.  Brackets are a few numbers per feature.
     """
     spark = gold.sparkSession
     names = features or NUMERIC_FEATURES
-    near = max(2.0 / sketch, 2.0 / max(1, gold.count()))
+    rows = gold.count()
+    near = max(2.0 / sketch, SAMPLED if rows > SAMPLE else 2.0 / max(1, rows))
     at = ", ".join(f"{x!r}D" for p in QUARTILES.values() for x in (max(0.0, p - near), min(1.0, p + near)))
-    first = gold.agg(*[F.expr(e) for f in names for e in (
-        f"count({f})", f"avg({f})", f"stddev_samp({f})", f"percentile_approx({f}, array({at}), {sketch})")]).first()
+    first = gold.agg(*[F.expr(e) for f in names for e in (f"count({f})", f"avg({f})", f"stddev_samp({f})")]).first()
+    proposed = _sampled(gold, rows, SAMPLE).agg(*[F.expr(f"percentile_approx({f}, array({at}), {sketch})") for f in names]).first()
     brackets = []
     for i, f in enumerate(names):
-        n, cuts = first[4 * i], first[4 * i + 3]
+        n, cuts = first[3 * i], proposed[i] or [-math.inf, math.inf] * len(QUARTILES)  # a sample may miss a rare value
         for k, (name, p) in enumerate(QUARTILES.items() if n else ()):
             brackets.append(_Bracket(f, name, n, p * (n - 1), cuts[2 * k], cuts[2 * k + 1]))
     if brackets:
@@ -238,8 +247,8 @@ def feature_stats(
         if sum(b.inside for b in wide) >= before:  # a few values that repeat often: the last step counts them first
             break
     found = {(b.feature, b.name): b.lo for b in brackets if not b.inside} | _ranked_values(gold, [b for b in brackets if b.inside])
-    rows = [(f, *first[4 * i:4 * i + 3], *[found.get((f, q)) for q in QUARTILES]) for i, f in enumerate(names)]
-    return spark.createDataFrame(rows, "feature string, n long, mean double, std double, p25 double, p50 double, p75 double")
+    out = [(f, *first[3 * i:3 * i + 3], *[found.get((f, q)) for q in QUARTILES]) for i, f in enumerate(names)]
+    return spark.createDataFrame(out, "feature string, n long, mean double, std double, p25 double, p50 double, p75 double")
 
 
 def _ranked_values(gold: DataFrame, brackets: list[_Bracket]) -> dict[tuple[str, str], float]:
