@@ -1,3 +1,5 @@
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +257,37 @@ def test_cache_follows_content_and_ignores_unfinished_writes(spark, tmp_path):
     (tmp_path / "k-x").mkdir()
     for frame in (one, two):  # the second finds the first one's copy
         assert events.cached(spark, str(tmp_path), "k", "x", lambda f=frame: f).agg(F.sum("amount")).first()[0] == 2.0
+
+
+def test_logged_events_are_packed_and_load_once(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    rows = spark.range(400).selectExpr("concat('e', id) AS event_id", "id * 60000000 AS scored_at_us", "0.5D AS fraud_score")
+    events.write_scored_events(rows.where("scored_at_us % 120000000 = 0"), str(src))
+    files = list(src.glob("dt=*/hr=*/part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert ingest_scored_events(spark, str(src), out) == 200
+    events.write_scored_events(rows, str(src))
+    assert ingest_scored_events(spark, str(src), out) == 400
+    events.close_hours(spark, str(src))
+    assert ingest_scored_events(spark, str(src), out) == 0
+    back = spark.read.parquet(out)
+    assert back.count() == back.select("event_id").distinct().count() == 400
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_packed_files_grow_by_members(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(grown_files, "BLOCK", block)
+    hour = tmp_path / "dt=1" / "hr=2"
+    hour.mkdir(parents=True)
+    first, second = (b"".join(b"%d:%d\n" % (m, k) * 9 for k in range(50)) for m in (1, 2))
+    reader, at, got = grown_files.GrownLinesReader(str(tmp_path)), reader_start(tmp_path), []
+    for members in ([first], [first, second + b"last"], [first, second + b"last"]):
+        (hour / "a.gz").write_bytes(b"".join(map(gzip.compress, members)))
+        end = reader.latestOffset()
+        for part in reader.partitions(at, end):
+            got += [x for b in reader.read(part) for x in b.column(0).to_pylist()]
+        at = end
+    assert got == (first + second).decode().splitlines() + ["last"]
+    (hour / "b.gz").write_bytes(gzip.compress(first)[:-9])
+    with pytest.raises(ValueError, match="ends inside"):
+        [list(reader.read(p)) for p in reader.partitions(at, reader.latestOffset())]

@@ -16,7 +16,7 @@ from txnlens.plans.inputs import (
 from txnlens.plans.registry import query
 from txnlens.sources import events, fixture, ops
 from txnlens.sources.ledger import read_ledger, to_bronze, write_ledger
-from txnlens.sources.scratch import fresh_dir
+from txnlens.sources.scratch import fresh_dir, stored
 from txnlens.streaming.scored_ingest import ingest_scored_events
 
 NOW_US = SIM_EPOCH_US + 30 * events.DAY_US
@@ -75,7 +75,7 @@ def ingest_scored_jsonl(spark, d):
     """Half of the events arrive first, with junk lines; then all of them in the same hours, with repeats that were
     scored later and otherwise; a last load finds nothing new."""
     src, out = fresh_dir(spark, "scored"), fresh_dir(spark, "scored-table")
-    ev = scored_events(spark, d)
+    ev = stored(scored_events(spark, d), "events")
     again = ev.selectExpr(*[{"scored_at_us": "scored_at_us + 1000000 AS scored_at_us",
                              "fraud_score": "1D - fraud_score AS fraud_score"}.get(x, x) for x in ev.columns])
     events.write_scored_events(ev.where("crc32(event_id) % 2 = 0"), src)

@@ -85,11 +85,11 @@ def write_scored_events(events: DataFrame, path: str) -> None:
     """Append events as JSON lines below ``dt=/hr=``.
 
     Rows are range-partitioned by time, so an hour is written by few tasks and a busy hour
-    by several.  Spark's commit protocol leaves ``_SUCCESS`` at the root; hours are closed
-    one by one with ``close_hours``.
+    by several.  Files are gzipped, as lines mostly repeat the names of their fields.  Spark's
+    commit protocol leaves ``_SUCCESS`` at the root; hours are closed one by one with ``close_hours``.
     """
     parted = with_hour_partition(events).repartitionByRange("dt", "hr", "scored_at_us", "event_id")
-    parted.write.mode("append").partitionBy("dt", "hr").json(path)
+    parted.write.mode("append").partitionBy("dt", "hr").option("compression", "gzip").json(path)
 
 
 def hour_folders(spark: SparkSession, path: str) -> dict[tuple[str, str], bool]:

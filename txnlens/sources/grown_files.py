@@ -7,11 +7,13 @@ open hour bytes up to the last line end count; a half-written line waits for the
 shrinks gives nothing until it has grown past what was taken.
 
 Folders are listed and files are opened with Arrow's file systems (local or mounted folders, S3, GCS, HDFS), in tasks by
-ranges of ``RANGE`` bytes: a line belongs to the range in which it begins.
+ranges of ``RANGE`` bytes: a line belongs to the range in which it begins. Gzipped files (``.gz``) are whole when they
+appear, or grow by whole gzip members: what is new in one is one range, unpacked as a stream.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 RANGE = 64 << 20
 BLOCK = 1 << 20
 MARKER = "_SUCCESS"
+PACKED = ".gz"
 
 
 @dataclass
@@ -82,6 +85,37 @@ def lines_of(files: fs.FileSystem, part: ByteRange) -> Iterator[list[bytes]]:
             yield [rest]
 
 
+def unpacked(f: pa.NativeFile, part: ByteRange) -> Iterator[bytes]:
+    """The content of the gzip members in a range, at most ``BLOCK`` bytes at a time."""
+    at, member, begun = part.begin, zlib.decompressobj(31), False
+    while at < part.stop:
+        block = f.read_at(min(BLOCK, part.stop - at), at)
+        if not block:
+            break
+        at += len(block)
+        while block:
+            yield member.decompress(block, BLOCK)
+            block, begun = member.unconsumed_tail, True
+            if member.eof:
+                block, member, begun = member.unused_data, zlib.decompressobj(31), False
+    if begun:
+        yield member.flush()
+        if not member.eof:
+            raise ValueError(f"{part.file} ends inside a gzip member")
+
+
+def packed_lines_of(files: fs.FileSystem, part: ByteRange) -> Iterator[list[bytes]]:
+    """The lines of a range of gzip members, some at a time."""
+    with files.open_input_file(part.file) as f:
+        rest = b""
+        for block in unpacked(f, part):
+            *lines, rest = (rest + block).split(b"\n")
+            if lines:
+                yield lines
+        if rest:
+            yield [rest]
+
+
 class GrownLinesReader(DataSourceStreamReader):
     def __init__(self, path: str):
         self.files, self.root = fs.FileSystem.from_uri(path)
@@ -110,7 +144,8 @@ class GrownLinesReader(DataSourceStreamReader):
                 through = hour
                 continue
             for f in self._data(found):
-                files[f"{hour}/{f.base_name}"] = last_line_end(self.files, f.path, f.size)
+                whole = f.base_name.endswith(PACKED)
+                files[f"{hour}/{f.base_name}"] = f.size if whole else last_line_end(self.files, f.path, f.size)
         return {"through": through, "files": files}
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
@@ -122,12 +157,14 @@ class GrownLinesReader(DataSourceStreamReader):
         out = []
         for name, stop in sorted(upto.items()):
             begin = start["files"].get(name, 0)
-            for at in range(begin, stop, RANGE):
-                out.append(ByteRange(f"{self.root.rstrip('/')}/{name}", at, min(at + RANGE, stop), stop, at == begin))
+            step = max(1, stop - begin) if name.endswith(PACKED) else RANGE
+            for at in range(begin, stop, step):
+                out.append(ByteRange(f"{self.root.rstrip('/')}/{name}", at, min(at + step, stop), stop, at == begin))
         return out
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        for lines in lines_of(self.files, partition):
+        found = packed_lines_of if partition.file.endswith(PACKED) else lines_of
+        for lines in found(self.files, partition):
             text = [line.decode("utf-8", "replace") for line in lines]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["value"])
 
