@@ -1,9 +1,10 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from txnlens.functions.schema import COLD_START_NULL, GOLD_COLUMNS
-from txnlens.operators.account import account_features, check_schema, cold_start_violations, column_role
+from txnlens.functions.schema import COLD_START_NULL, FEATURES, GOLD_COLUMNS
+from txnlens.operators.account import account_features, check_schema, cold_start_violations, column_role, with_features
 
 from helpers import close, expected_features, frame, txn
 
@@ -86,3 +87,19 @@ def test_whole_ledger_equals_fold(spark):
     for event_id, values in want.items():
         for name, value in values.items():
             assert close(got[event_id][name], value, rel=1e-7), (name, event_id)
+
+
+def test_features_stand_beside_their_rows_without_a_join(spark):
+    rows = frame(spark, [txn(k, "AB"[k % 2], k, 10 * k, typ="CASH_OUT") for k in range(1, 9)]).withColumn("score", F.expr("step / 10D"))
+
+    def joined(df):
+        return df.select("event_id", "amount").join(
+            account_features(df, "score").selectExpr("event_id", f"struct({', '.join(FEATURES)}) AS f"), "event_id")
+
+    made = with_features(rows, ["event_id", "amount"], "score")
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    by_id = [{r.event_id: r for r in df.collect()} for df in (made, joined(rows))]
+    assert made.dtypes == joined(rows).dtypes and by_id[0] == by_id[1] and len(by_id[0]) == 8
+    odd = rows.unionByName(rows.limit(2)).unionByName(rows.limit(1).withColumn("event_id", F.lit(None).cast("string")))
+    got = with_features(odd, ["event_id", "amount"], "score").collect()
+    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in joined(odd).collect()) and len(got) == 6 + 2 * 4

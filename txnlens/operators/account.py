@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from txnlens.functions import columns as c
 from txnlens.functions.schema import (
@@ -164,6 +165,23 @@ def account_features(
     )
 
 
+def with_features(silver: DataFrame, columns: list[str], score: str | None = None, hot_rows: int = HOT_ROWS,
+                  states: DataFrame | None = None) -> DataFrame:
+    """``columns`` of ``silver`` and a struct ``f`` of the features, as a join of ``account_features`` by event id gives them.
+
+    The features are made beside the columns, so nothing is joined. Only where an id repeats, which one count of ids
+    tells, do its rows meet by a join. Rows without an id are left out.
+    """
+    rows = silver.where("event_id IS NOT NULL")
+    twice = rows.groupBy("event_id").agg(F.expr("count(1) AS _n")).where("_n > 1")
+    if twice.isEmpty():
+        made = ", ".join(f"{expr} AS {name}" for name, expr in feature_columns(score).items())
+        return with_prior(silver, score, hot_rows, states).where("event_id IS NOT NULL").selectExpr(
+            *columns, f"struct({made}) AS f")
+    feats = account_features(silver, score, hot_rows, states).selectExpr("event_id", f"struct({', '.join(FEATURES)}) AS f")
+    return silver.select(*columns).join(feats, "event_id")
+
+
 def features_as_of(
     events: DataFrame, history: DataFrame, score: str = "fraud_score", hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from txnlens.functions.columns import r6
-from txnlens.functions.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES, TXN_COLUMNS
-from txnlens.operators.account import account_features
+from txnlens.functions.schema import TXN_COLUMNS
+from txnlens.operators.account import account_features, with_features
 from txnlens.operators.medallion import event_id, to_silver, with_event_ts
 from txnlens.sources import fixture
 from txnlens.sources.scratch import stored
@@ -44,11 +44,7 @@ def scored_silver_table(spark: SparkSession, d: str) -> DataFrame:
 def scored_with_features(spark: SparkSession, d: str) -> DataFrame:
     """Transactions with their score and a struct ``f`` of the features seen at scoring."""
     rows = scored_silver_table(spark, d)
-    names = NUMERIC_FEATURES + CATEGORICAL_FEATURES
-    feats = account_features(rows, score="score").selectExpr(
-        "event_id", f"struct({', '.join(names)}) AS f"
-    )
-    return rows.select(*TXN_COLUMNS, "score", "y").join(feats, "event_id")
+    return with_features(rows, [*TXN_COLUMNS, "score", "y"], score="score")
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
