@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnlens.functions.schema import CATEGORICAL_FEATURES, LABEL_COLUMNS, NUMERIC_FEATURES, TXN_COLUMNS
-from txnlens.operators.account import account_features
+from txnlens.functions.schema import LABEL_COLUMNS, TXN_COLUMNS
+from txnlens.operators.account import account_features, with_features
 from txnlens.operators.portable import LinearModel
 from txnlens.operators.prefix import HOT_ROWS
 from txnlens.operators.state import account_state, merge_states
@@ -146,18 +146,17 @@ def score_requests(
     scores = stored(score_sequential(rows, model, threshold, hot_rows, before), "scores")
     if not dry_run:
         scored = stored(rows.join(scores.select("event_id", "fraud_score"), "event_id"), "scored")
-        names = ", ".join(NUMERIC_FEATURES + CATEGORICAL_FEATURES)
-        seen = _with_feedback(scored, before, hot_rows).selectExpr("event_id", f"struct({names}) AS f")
+        seen = _with_feedback(scored, before, hot_rows)
         write_scored_events(to_scored_events(
-            scored.join(seen, "event_id"), "fraud_score", scored_at, threshold=threshold, model_version=model_version), events)
+            seen, "fraud_score", scored_at, threshold=threshold, model_version=model_version), events)
         log.write(merge_states(before, account_state(scored, score="fraud_score")), number)
     out = scores.join(rows.select("event_id", request), "event_id").withColumn("model_version", F.lit(model_version))
     return out.select(request, *[c for c in out.columns if c != request]).orderBy(request)
 
 
 def _with_feedback(scored: DataFrame, before: DataFrame, hot_rows: int) -> DataFrame:
-    """All features of scored rows, the previous score included."""
-    return account_features(scored, score="fraud_score", states=before, hot_rows=hot_rows)
+    """Scored rows with a struct ``f`` of all features, the previous score included."""
+    return with_features(scored, scored.columns, score="fraud_score", states=before, hot_rows=hot_rows)
 
 
 def replay_result(txn: DataFrame, scores: DataFrame) -> DataFrame:
