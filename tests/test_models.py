@@ -152,3 +152,11 @@ def test_folds_learn_from_their_past_alone(spark):
     got = {(r.embargo, r.cut): r for r in models.walk_forward_models(rows, ["a"], folds, "tree", maxDepth=2).collect()}
     assert sorted(got) == [(0, 50), (0, 90), (40, 90)]
     assert got[0, 50].roc_auc == 1.0 and got[40, 90].roc_auc == 0.0 and got[0, 50].rows == 200
+
+
+def test_large_tables_are_spread_over_files_for_fits(spark):
+    rows = spark.range(1000).coalesce(1)
+    cut = models.spread(rows, 100)
+    assert len(cut.inputFiles()) == 10 and cut.agg(F.sum("id"), F.count("id")).first()[:] == (499500, 1000)
+    assert max(r["count"] for r in cut.groupBy(F.input_file_name()).count().collect()) <= 150
+    assert models.spread(rows, 1000) is rows

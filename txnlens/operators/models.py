@@ -22,6 +22,7 @@ from txnlens.operators.prefix import in_ranges, prior_rows, union_all
 from txnlens.sources.scratch import fresh_dir, stored
 
 SEED = 42
+SPREAD_ROWS = 100_000  # rows of one file that models are fitted from
 KINDS = {
     "tree": lambda **p: DecisionTreeClassifier(seed=SEED, **{"maxDepth": 5, **p}),
     "forest": lambda **p: RandomForestClassifier(seed=SEED, **{"numTrees": 25, "maxDepth": 16, "minInstancesPerNode": 20, **p}),
@@ -227,13 +228,25 @@ def tune(rows: DataFrame, features: list[str], kind: str, grid: list[dict], fold
     return rows.sparkSession.createDataFrame(out, "params string, mean_average_precision double")
 
 
+def spread(rows: DataFrame, depth: int | None = None) -> DataFrame:
+    """The rows in files of about ``depth`` rows; a table of at most that many is left as it is.
+
+    Features compress so well that a table of millions of rows may be one row group, which one task reads in every pass of
+    every fit.
+    """
+    depth = depth or SPREAD_ROWS
+    pieces = -(-rows.count() // depth)
+    return rows if pieces <= 1 else stored(rows.repartition(pieces), "spread")
+
+
 def walk_forward_models(rows: DataFrame, features: list[str], folds: DataFrame, kind: str = "forest", **params) -> DataFrame:
     """Average precision per fold of a model fitted on the fold's training rows alone.
 
     ``folds`` has ``embargo, cut, train_end, test_end``, a few rows; training ends ``embargo`` steps before the cut. Folds
     without training rows of both classes or whose test part lacks a class are left out. The loop is over folds; rows
-    stay in Spark.
+    stay in Spark, spread evenly over files once for all fits.
     """
+    rows = spread(rows.select(*dict.fromkeys(["step", "y", "amount", *features])))
     classes = rows.groupBy("step").agg(F.expr("count_if(y = 1) AS pos"), F.expr("count_if(y = 0) AS neg"))
     sized = F.broadcast(folds).join(classes, F.expr("step <= test_end")).groupBy(*folds.columns).agg(*[
         F.expr(f"coalesce(sum({n}) FILTER (WHERE {w}), 0) > 0 AS {p}_{n}")
