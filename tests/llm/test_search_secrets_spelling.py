@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from txnlens.llm import lexical_search, queries, secret_scan, spelling
 
@@ -232,3 +233,11 @@ def test_squared_distances_stay_exact_for_long_words():
     for length in (2047, 2048, 50_000):
         left, right = spelling._Side(["a" * length, "b" * length]), spelling._Side(["a" * (length - 1) + "b", "a" * length])
         assert [(int(i), int(j)) for p, q in spelling.near_pairs(left, right, False) for i, j in zip(p, q)] == [(0, 0)]
+
+
+def test_terms_are_counted_as_they_are_hashed(spark):
+    texts = ["", " ", "a", "a b", "-a-", "\x00a\x7fb\u0080c", "x_y^z9", "caf\u00e9 \U0001f600!\u4e2d", "a\n\n b\r", "[[]]", "0" * 50, "\u00a0"]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select(
+        "id", lexical_search.term_count(F.col("text")).alias("n"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.n for r in got.orderBy("id").collect()] == [len(lexical_search.term_hashes([t.encode()])[0]) for t in texts]

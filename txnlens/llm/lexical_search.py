@@ -36,6 +36,7 @@ ITEM_BLOCK = 2048  # items that meet a slice in one task
 INDEX = "m bigint, slice bigint, term bigint, max_tf int, tfs array<int>, counts array<int>, docs array<int>, ids array<bigint>"
 FOUND = "item bigint, m bigint, slice bigint, place int, score bigint"
 RESULT = "item_id bigint, rank int, doc_id bigint, score bigint"
+NO_TERM = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between terms
 # What terms are made of: digits, letters and every byte of a character beyond ASCII.
 _TERM = np.zeros(256, bool)
 _TERM[48:58] = _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
@@ -63,12 +64,9 @@ def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(docs)
 
 
-def _term_counts(text: pd.Series) -> pd.Series:
-    """Number of terms in each text."""
-    texts, out = encoded(text), []
-    for lo, hi in parts(texts):
-        out.append(np.bincount(_edges(texts[lo:hi])[3], minlength=hi - lo))
-    return pd.Series(np.concatenate(out) if out else [], dtype="int64")
+def term_count(text: Column) -> Column:
+    """Number of terms in a text, row by row: no batch of texts is held to size them."""
+    return F.size(F.array_remove(F.split(text, NO_TERM), "")).cast("long")
 
 
 def _lists(starts: np.ndarray, total: int, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -112,7 +110,7 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """
     spark = docs.sparkSession
     sized = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    sized = sized.withColumn("n", F.pandas_udf(_term_counts, "bigint")("text")).where("n > 0")
+    sized = sized.withColumn("n", term_count(F.col("text"))).where("n > 0")
     lengths = stored(sized.groupBy("n").agg(F.count("*").alias("docs")), "search-lengths")
     total = lengths.agg(F.sum("docs"), F.sum(F.col("n") * F.col("docs"))).first()
     if not total[0]:
