@@ -29,6 +29,7 @@ from txnlens.sources.scratch import stored
 
 WINDOW = 35
 SEED = 8
+PART_BYTES = 1 << 18  # of texts hashed at once: over a dozen arrays of eight bytes per byte or word of them stand beside each other
 HOT = 5000  # so many super-k-mers at most are one bucket
 
 
@@ -64,7 +65,7 @@ def _minimisers(window: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = encoded(batch["text"])
-            for lo, hi in parts(texts):
+            for lo, hi in parts(texts, PART_BYTES):
                 low, _, _ = super_kmers(Words(texts[lo:hi]), window, seed)
                 values, counts = np.unique(low, return_counts=True)
                 yield pd.DataFrame({"minimiser": values.view(np.int64), "n": counts})
@@ -77,7 +78,7 @@ def _places(window: int, seed: int):
         for batch in batches:
             texts = encoded(batch["text"])
             ids, keys = batch["doc_id"].astype("Int64"), batch["text_key"].to_numpy()
-            for lo, hi in parts(texts):
+            for lo, hi in parts(texts, PART_BYTES):
                 w = Words(texts[lo:hi])
                 low, first, size = super_kmers(w, window, seed)
                 doc = w.doc[first] if len(first) else np.zeros(0, int)
@@ -94,7 +95,7 @@ def _pack(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = encoded(batch["text"])
-            for lo, hi in parts(texts):
+            for lo, hi in parts(texts, PART_BYTES):
                 w = Words(texts[lo:hi])
                 rows = []
                 for d in range(hi - lo):
@@ -176,8 +177,8 @@ def _windows(window: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                group = batch.iloc[lo:lo + 2000]
+            for lo in range(0, len(batch), 500):
+                group = batch.iloc[lo:lo + 500]
                 row, place, h1, h2 = _unpacked(group, window)
                 yield pd.DataFrame({"k1": group["k1"].to_numpy()[row], "k2": group["k2"].to_numpy()[row], "place": place.astype(np.int32),
                                     "h1": h1, "h2": h2, "n": group["n"].to_numpy()[row]})
