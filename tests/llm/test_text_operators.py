@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +207,43 @@ def test_passages_equal_brute_force(spark, odd, none, monkeypatch, hot):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("share", [2, 20])
+def test_hot_super_kmers_that_meet_an_equal_one_are_passed_once(spark, monkeypatch, share):
+    monkeypatch.setattr(substring_dedup, "HOT", 5)
+    monkeypatch.setattr(substring_dedup, "SHARE", share)
+    passed, hot_ranges = [], substring_dedup._hot_ranges
+    monkeypatch.setattr(substring_dedup, "_hot_ranges", lambda hot, window: passed.append(hot) or hot_ranges(hot, window))
+    base = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([f"a{i}", *base[:40 - i % 7 * (i < 20)], f"b{i}"])) for i in range(200)]
+    rows += [(300 + i, " ".join(base[5:30] + [f"c{i % 3}"] + base)) for i in range(30)] + [(None, " ".join(base))] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = substring_dedup.remove_repeats(docs, 10, 3).select("doc.doc_id", "n_words", "n_removed", "kept")
+    assert Counter(map(tuple, got.collect())) == brute_passages(rows, 10)
+    n = [r["n"] for r in passed[0].select("n").collect()]
+    assert sum(n) > 1000 and len(n) < (0.8 if share == 2 else 0.3) * sum(n)
+
+
+def test_passage_steps_hold_a_part_of_a_batch_as_objects():
+    """Of 10,000 texts of 3,400 bytes with 20 ranges each, no step holds all texts or a Python object per range."""
+    n, k = 10_000, 20
+    text = " ".join(f"word{i:04}" for i in range(378)).encode()
+    first = np.tile(np.arange(k, dtype=np.int32) * 17, n)
+    offsets = np.arange(n + 1, dtype=np.int32) * k
+    ids, keys = pa.array(np.arange(n)), pa.array(np.arange(n) * 7)
+    found = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([first, first + np.int32(45)], ["first", "last"]))
+    runs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(
+        [first.astype(np.int64), first, np.full(n * k, 11, np.int32), np.zeros(n * k, np.int64)], ["minimiser", "first", "size", "shares"]))
+    texts = pa.RecordBatch.from_pydict({"doc_id": ids, "text_key": keys, "text": pa.array([text] * n, pa.binary()), "runs": runs})
+    ranges = pa.RecordBatch.from_pydict({"id": ids, "key": keys, "found": found})
+    for step, batch, rows in ((substring_dedup._minimisers(35, 8), texts, None), (substring_dedup._places(35, 8), texts, None),
+                              (substring_dedup._pack(35), texts, n * k), (substring_dedup._merged, ranges, n)):
+        tracemalloc.start()
+        made = sum(len(b) for b in step(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 34e6 and made == (rows or made) > 0
+
+
 # --- packing -------------------------------------------------------------------
 def test_pieces_are_the_tokenizers(documents, odd):
     from tokenizers import Tokenizer

@@ -8,7 +8,8 @@ counts them.
 Two things keep this small and even. Minimisers are counted first, as bare numbers with a map-side combine: a
 super-k-mer whose minimiser occurs nowhere else cannot hold a repeated window and does not travel. And a minimiser that
 occurs more than ``HOT`` times (a passage that very many documents share) does not go to one bucket: its super-k-mers
-are dealt out evenly, combined where they are equal, and counted window by window.
+are dealt into shares. Those that meet an equal one in their share repeat as a whole; then one of each kind is counted
+window by window, and those that met no equal one look theirs up.
 
 Buckets are sorted by Spark (it spills) and read as a stream. A window's identity is a 128-bit hash of its words, all
 else is exact.
@@ -20,17 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnlens.llm.common import let, text_of, words_of
-from txnlens.llm.textual import BASES, Words, encoded, mix, parts, spans
+from txnlens.llm.textual import BASES, Words, mix, parts, pieces, spans
 from txnlens.sources.scratch import stored
 
 WINDOW = 35
 SEED = 8
 PART_BYTES = 1 << 18  # of texts hashed at once: over a dozen arrays of eight bytes per byte or word of them stand beside each other
 HOT = 5000  # so many super-k-mers at most are one bucket
+SHARE = 100  # so many super-k-mers of a hot minimiser, about, are one share
+FOUND = ["doc_id", "text_key", "first", "last", "packed", "size", "n"]
 
 
 def super_kmers(w: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,29 +66,25 @@ def super_kmers(w: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _minimisers(window: int, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = encoded(batch["text"])
-            for lo, hi in parts(texts, PART_BYTES):
-                low, _, _ = super_kmers(Words(texts[lo:hi]), window, seed)
-                values, counts = np.unique(low, return_counts=True)
-                yield pd.DataFrame({"minimiser": values.view(np.int64), "n": counts})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in pieces(batches, PART_BYTES):
+            low, _, _ = super_kmers(Words(texts), window, seed)
+            values, counts = np.unique(low, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"minimiser": values.view(np.int64), "n": counts.astype(np.int64)})
 
     return run
 
 
 def _places(window: int, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = encoded(batch["text"])
-            ids, keys = batch["doc_id"].astype("Int64"), batch["text_key"].to_numpy()
-            for lo, hi in parts(texts, PART_BYTES):
-                w = Words(texts[lo:hi])
-                low, first, size = super_kmers(w, window, seed)
-                doc = w.doc[first] if len(first) else np.zeros(0, int)
-                yield pd.DataFrame({
-                    "minimiser": low.view(np.int64), "doc_id": ids.array[lo + doc], "text_key": keys[lo + doc],
-                    "first": (first - w.first[doc]).astype(np.int32), "size": size.astype(np.int32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in pieces(batches, PART_BYTES):
+            w = Words(texts)
+            low, first, size = super_kmers(w, window, seed)
+            doc = w.doc[first] if len(first) else np.zeros(0, int)
+            yield pa.RecordBatch.from_pydict({
+                "minimiser": low.view(np.int64), "doc_id": piece.column("doc_id").take(pa.array(doc)),
+                "text_key": piece.column("text_key").take(pa.array(doc)),
+                "first": (first - w.first[doc]).astype(np.int32), "size": size.astype(np.int32)})
 
     return run
 
@@ -92,22 +92,17 @@ def _places(window: int, seed: int):
 def _pack(window: int):
     """Each listed super-k-mer as a packed string of words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = encoded(batch["text"])
-            for lo, hi in parts(texts, PART_BYTES):
-                w = Words(texts[lo:hi])
-                rows = []
-                for d in range(hi - lo):
-                    base = int(w.first[d])
-                    for r in batch["runs"].iloc[lo + d]:
-                        first, n = r["first"], r["size"]
-                        packed = b" ".join(w.slice(base + first, base + first + n + window - 2).split())
-                        rows.append((r["minimiser"], packed, r["hot"], lo + d, first, n))
-                out = pd.DataFrame(rows, columns=["minimiser", "packed", "hot", "doc", "first", "size"])
-                docs = batch.iloc[out.pop("doc").to_numpy(int)]
-                out["doc_id"], out["text_key"] = docs["doc_id"].array, docs["text_key"].array
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in pieces(batches, PART_BYTES):
+            w = Words(texts)
+            runs = piece.column("runs")
+            doc = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy())
+            minimiser, first, size, shares = runs.flatten().flatten()
+            begin = w.first[doc] + first.to_numpy()
+            packed = [b" ".join(w.slice(i, j).split()) for i, j in zip(begin, begin + size.to_numpy() + window - 2)]
+            yield pa.RecordBatch.from_pydict({
+                "minimiser": minimiser, "packed": pa.array(packed, pa.binary()), "shares": shares, "first": first, "size": size,
+                "doc_id": piece.column("doc_id").take(pa.array(doc)), "text_key": piece.column("text_key").take(pa.array(doc))})
 
     return run
 
@@ -120,18 +115,32 @@ def window_hashes(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _unpacked(group: pd.DataFrame, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, place in it, two hashes) of every window of packed super-k-mers."""
-    w = Words(list(group["packed"]))
-    sizes = group["size"].to_numpy()
+    packed, sizes = list(group["packed"]), group["size"].to_numpy()
+    ends = np.append(0, np.cumsum(sizes))
     row = np.repeat(np.arange(len(group)), sizes)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = w.first[:-1][row] + place
-    return (row, place, *(h[at] for h in window_hashes(w, window)))
+    place = np.arange(len(row)) - ends[row]
+    hashes = []
+    for lo, hi in parts(packed, PART_BYTES):
+        w = Words(packed[lo:hi])
+        some = slice(ends[lo], ends[hi])
+        at = w.first[:-1][row[some] - lo] + place[some]
+        hashes.append([h[at] for h in window_hashes(w, window)])
+    return row, place, *np.concatenate(hashes, axis=1)
+
+
+def _equal_hot(hot: pd.DataFrame, window: int) -> Iterator[pd.DataFrame]:
+    """Super-k-mers of hot minimisers, ``n`` equal ones as one row, and the ranges of those that have equals here."""
+    kind = pd.factorize(hot["packed"])[0]
+    n = np.bincount(kind)
+    yield hot.assign(last=np.int32(0), n=n[kind])[FOUND][~hot["packed"].duplicated()]
+    equal = hot[n[kind] > 1]
+    yield equal.assign(last=(equal["first"] + equal["size"] + window - 1).astype(np.int32), packed=None, size=np.int32(0), n=0)[FOUND]
 
 
 def _count(window: int):
     """Word ranges of the windows that occur twice or more in their bucket, from rows sorted by bucket.
 
-    The super-k-mers of hot minimisers are not in their bucket here: they pass, with two hashes of their own content.
+    A share of a hot minimiser does not hold all of its super-k-mers: they pass, equal ones as one row.
     """
 
     def ranges(group: pd.DataFrame) -> pd.DataFrame:
@@ -150,14 +159,14 @@ def _count(window: int):
         out = group.iloc[row[starts]][["doc_id", "text_key", "first"]].reset_index(drop=True)
         out["first"] += place[starts].astype(np.int32)
         out["last"] = (out["first"] + length + window - 1).astype(np.int32)
-        return out.assign(packed=None, size=np.int32(0))
+        return out.assign(packed=None, size=np.int32(0), n=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
-            hot = batch["hot"].to_numpy(bool)
+            hot = batch["shares"].to_numpy() > 0
             if hot.any():
-                yield batch[hot].assign(last=np.int32(0))[["doc_id", "text_key", "first", "last", "packed", "size"]]
+                yield from _equal_hot(batch[hot], window)
             batch = batch[~hot]
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(held):
@@ -187,62 +196,71 @@ def _windows(window: int):
 
 
 def _hot_ranges(hot: DataFrame, window: int) -> DataFrame:
-    """Ranges of repeated windows in the super-k-mers of hot minimisers.
+    """Ranges of repeated windows in the super-k-mers of hot minimisers that met no equal one.
 
     Equal super-k-mers are combined first, which leaves one of each however often a passage occurs; the windows of what
     is left are counted by their hashes.
     """
-    keyed = hot.select("doc_id", "text_key", "first", "size", "packed", F.xxhash64("packed").alias("k1"), F.xxhash64(F.lit(1), "packed").alias("k2"))
-    kinds = keyed.groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.first("size").alias("size"), F.count("*").alias("n"))
+    keyed = hot.select("doc_id", "text_key", "first", "size", "n", "packed", F.xxhash64("packed").alias("k1"), F.xxhash64(F.lit(1), "packed").alias("k2"))
+    kinds = keyed.groupBy("k1", "k2").agg(F.first("packed").alias("packed"), F.first("size").alias("size"), F.sum("n").alias("n"))
     windows = stored(kinds.mapInPandas(
         _windows(window), "k1 bigint, k2 bigint, place int, h1 bigint, h2 bigint, n bigint"), "passages-windows")
     often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2")
     known = windows.join(often, ["h1", "h2"]).groupBy("k1", "k2").agg(F.max("n").alias("n"), F.collect_list("place").alias("places"))
-    # A super-k-mer that has equals repeats as a whole. A passage that occurs very often is one row against many, which
-    # adaptive execution splits.
+    # A super-k-mer that has equals repeats as a whole. The ranges of those that met an equal one are known already.
     whole = F.array(F.struct("first", (F.col("first") + F.col("size") + window - 1).alias("last")))
     some = F.transform("places", lambda p: F.struct((F.col("first") + p).alias("first"), (F.col("first") + p + window).alias("last")))
-    return keyed.drop("packed").join(known, ["k1", "k2"]).select("doc_id", "text_key", F.when(F.col("n") > 1, whole).otherwise(some).alias("found"))
+    alone = keyed.where("n = 1").drop("packed", "n")
+    return alone.join(known, ["k1", "k2"]).select("doc_id", "text_key", F.when(F.col("n") > 1, whole).otherwise(some).alias("found"))
 
 
-def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Overlapping and touching ranges of a document as one."""
     for batch in batches:
-        out = []
-        for found in batch["found"]:
-            spans_ = []
-            for r in sorted(found, key=lambda r: r["first"]):
-                if spans_ and r["first"] <= spans_[-1]["last"]:
-                    spans_[-1]["last"] = max(spans_[-1]["last"], r["last"])
-                else:
-                    spans_.append({"first": r["first"], "last": r["last"]})
-            out.append(spans_)
-        yield batch[["id", "key"]].assign(cut=out)
+        found = batch.column("found")
+        row = np.repeat(np.arange(len(found)), found.value_lengths().to_numpy())
+        first, last = (x.to_numpy().astype(np.int64) for x in found.flatten().flatten())
+        order = np.lexsort((first, row))
+        # one line of words on which the documents lie behind each other, a word apart
+        row, base = row[order], row[order] * (last.max(initial=0) + 2)
+        first, last = first[order] + base, np.maximum.accumulate(last[order] + base)
+        new = np.ones(len(row), bool)
+        new[1:] = first[1:] > last[:-1]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(row))[:len(starts)] - 1
+        spans_ = pa.StructArray.from_arrays(
+            [(x - base[starts]).astype(np.int32) for x in (first[starts], last[ends])], ["first", "last"])
+        offsets = np.searchsorted(row[starts], np.arange(len(found) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("key"), pa.ListArray.from_arrays(offsets, spans_)], ["id", "key", "cut"])
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """``id, key, cut``: word ranges [first, last) covered by windows that start more than once, per id and text hash."""
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("text_key"), "text")
-    counts = base.select("text").mapInPandas(_minimisers(window, seed), "minimiser bigint, n bigint")
+        "doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    counts = base.select("text").mapInArrow(_minimisers(window, seed), "minimiser bigint, n bigint")
+    # into how many shares a hot minimiser is dealt, 0 for others
+    shares = F.when(F.col("n") > HOT, F.ceil(F.col("n") / SHARE)).otherwise(0).cast("long")
     shared = stored(counts.groupBy("minimiser").agg(F.sum("n").alias("n")).where("n > 1").select(
-        "minimiser", (F.col("n") > HOT).alias("hot")), "passages-minimisers")
-    places = base.mapInPandas(_places(window, seed), "minimiser bigint, doc_id bigint, text_key bigint, first int, size int")
+        "minimiser", shares.alias("shares")), "passages-minimisers")
+    places = base.mapInArrow(_places(window, seed), "minimiser bigint, doc_id bigint, text_key bigint, first int, size int")
     runs = places.join(shared, "minimiser").groupBy("doc_id", "text_key").agg(
-        F.collect_set(F.struct("minimiser", "first", "size", "hot")).alias("runs"))
+        F.collect_set(F.struct("minimiser", "first", "size", "shares")).alias("runs"))
     runs = runs.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
     listed = base.join(runs, F.expr("doc_id <=> id AND text_key = key")).select("doc_id", "text_key", "text", "runs")
-    packed = listed.mapInPandas(
-        _pack(window), "minimiser bigint, packed binary, hot boolean, first int, size int, doc_id bigint, text_key bigint")
-    packed = packed.withColumn("bucket", F.when(F.col("hot"), F.xxhash64("doc_id", "text_key", "first")).otherwise(F.col("minimiser")))
+    packed = listed.mapInArrow(
+        _pack(window), "minimiser bigint, packed binary, shares bigint, first int, size int, doc_id bigint, text_key bigint")
+    share = F.xxhash64("minimiser", F.pmod(F.xxhash64("doc_id", "text_key", "first"), F.greatest("shares", F.lit(1))))
+    packed = packed.withColumn("bucket", F.when(F.col("shares") > 0, share).otherwise(F.col("minimiser")))
     found = stored(packed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(
-        _count(window), "doc_id bigint, text_key bigint, first int, last int, packed binary, size int"), "passages-found")
+        _count(window), "doc_id bigint, text_key bigint, first int, last int, packed binary, size int, n bigint"), "passages-found")
     cold = found.where("packed IS NULL").select("doc_id", "text_key", F.struct("first", "last").alias("range"))
     hot = _hot_ranges(found.where("packed IS NOT NULL"), window).select("doc_id", "text_key", F.explode("found").alias("range"))
     # Rows that repeat an id and a text give the same ranges, which count once: no list outgrows its text.
     by_doc = cold.unionByName(hot).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(
         F.collect_set("range").alias("found"))
-    return by_doc.mapInPandas(_merged, "id bigint, key bigint, cut array<struct<first:int,last:int>>")
+    return by_doc.mapInArrow(_merged, "id bigint, key bigint, cut array<struct<first:int,last:int>>")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:

@@ -7,9 +7,11 @@ byte or word is constant whatever the length of an n-gram. They depend on fixed
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -88,16 +90,32 @@ def encoded(texts) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def parts(texts: list[bytes], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` bytes together; a longer text stands alone."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+def _ranges(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items of about ``limit`` together; a larger item stands alone."""
+    begin = size = end = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > limit:
             yield begin, i
             begin, size = i, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+        size, end = size + n, i + 1
+    if begin < end:
+        yield begin, end
+
+
+def parts(texts: list[bytes], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``limit`` bytes together; a longer text stands alone."""
+    return _ranges(map(len, texts), limit)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with about ``limit`` bytes of ``text`` (binary, no nulls), and their texts.
+
+    Only the texts of a slice become Python objects; a batch of long texts is held once, as Arrow has it.
+    """
+    for batch in batches:
+        for lo, hi in _ranges(pc.binary_length(batch.column("text")).to_pylist(), limit):
+            piece = batch.slice(lo, hi - lo)
+            yield piece, piece.column("text").to_pylist()
 
 
 # Letters (with every byte of a longer character), capitals and digits are a class each, and so is any other byte.
