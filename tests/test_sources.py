@@ -1,12 +1,15 @@
 import gzip
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from txnlens.functions.schema import RAW_COLUMNS
 from txnlens.operators.splits import content_identity, data_identity
 from txnlens.plans import inputs, tables
-from txnlens.sources import events, ops
+from txnlens.sources import events, id_filters, ops
 from txnlens.sources.ledger import MissingColumns, load_bronze, number_rows, read_ledger, to_bronze, write_ledger
 from txnlens.sources import grown_files
 from txnlens.streaming import scored_ingest
@@ -291,3 +294,85 @@ def test_packed_files_grow_by_members(tmp_path, monkeypatch, block):
     (hour / "b.gz").write_bytes(gzip.compress(first)[:-9])
     with pytest.raises(ValueError, match="ends inside"):
         [list(reader.read(p)) for p in reader.partitions(at, reader.latestOffset())]
+
+
+def test_small_files_share_tasks_and_keep_their_lines(tmp_path):
+    want = []
+    for h in range(24):
+        hour = tmp_path / "dt=1" / f"hr={h:02d}"
+        hour.mkdir(parents=True)
+        for k in range(9):
+            lines = [f"{h}-{k}-{i}" for i in range(k)]
+            text = "".join(f"{x}\n" for x in lines).encode()
+            (hour / f"a{k}").write_bytes(text + b"open")
+            (hour / f"b{k}.gz").write_bytes(gzip.compress(text))
+            want += lines * 2
+    reader = grown_files.GrownLinesReader(str(tmp_path), tasks=4)
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert len(end["files"]) == 24 * 18 and 4 <= len(parts) <= 40  # a range each was a task each, 408 of them
+    got = [x for p in parts for b in reader.read(p) for x in b.column(0).to_pylist()]
+    assert sorted(got) == sorted(want)
+
+
+def test_ranges_go_together_up_to_a_size(monkeypatch):
+    def ranges(sizes):
+        return [grown_files.ByteRange(f"a{k}", 0, n, n, True) for k, n in enumerate(sizes)]
+
+    def held(parts):
+        return [[p.file, *(m.file for m in p.more)] for p in parts]
+
+    monkeypatch.setattr(grown_files, "OPENING", 1)
+    monkeypatch.setattr(grown_files, "RANGE", 100)
+    monkeypatch.setattr(grown_files, "BLOCK", 10)
+    assert held(grown_files.dealt(ranges([100, 40, 40, 40, 100, 3]), 1)) == [["a0"], ["a1", "a2"], ["a3"], ["a4"], ["a5"]]
+    assert held(grown_files.dealt(ranges([4] * 8), 4)) == [["a0", "a1"], ["a2", "a3"], ["a4", "a5"], ["a6", "a7"]]
+    assert grown_files.dealt([], 4) == []
+    packed = [grown_files.ByteRange(f"{k}.gz", 0, 6, 6, True) for k in range(4)]
+    assert held(grown_files.dealt(packed, 1)) == [["0.gz", "1.gz"], ["2.gz", "3.gz"]]  # text of 48 bytes each
+
+
+def test_lines_that_are_not_utf8_are_read(tmp_path):
+    hour = tmp_path / "dt=1" / "hr=2"
+    hour.mkdir(parents=True)
+    (hour / "a").write_bytes(b"\n\xff\xfe,x\n\xc3\xa9\n\n")
+    reader = grown_files.GrownLinesReader(str(tmp_path))
+    [part] = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert [x for b in reader.read(part) for x in b.column(0).to_pylist()] == ["", "��,x", "é", ""]
+
+
+def test_a_line_is_parsed_once(spark):
+    lines = spark.createDataFrame([('{"event_id":"a","fraud_score":0.5}',), ('{"fraud_score":1}',), ("{broken",), (None,), ("[]",)], "value string")
+    found = events.parse_scored_events(lines)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert [(r.event_id, r.fraud_score) for r in found.collect()] == [("a", 0.5)]
+
+
+def test_junk_lines_of_an_hour_are_few_files(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(tables, "ingest_scored_events", lambda spark, src, out: seen.append(src) or ingest_scored_events(spark, src, out))
+    assert tables.ingest_scored_jsonl(spark, SF).count() == 1000
+    read = spark.read.text(seen[0], pathGlobFilter="*.txt").selectExpr("dt", "hr", "_metadata.file_path AS f")
+    assert read.groupBy("dt", "hr").agg(F.countDistinct("f").alias("n")).agg(F.sum("n") - F.count("n")).first()[0] < 8
+
+
+def test_probing_makes_no_object_of_an_id():
+    rng = np.random.default_rng(5)
+    held, other = (rng.integers(-2**63, 2**63 - 1, (2, 20_000)) for _ in range(2))
+    bits = id_filters._build(id_filters.pd.DataFrame({"h1": held[0], "h2": held[1], "bucket": 3}))["bits"][0]
+
+    def asked(h):
+        pairs = pa.StructArray.from_arrays([pa.array(h[0]), pa.array(h[1])], ["h1", "h2"])
+        return pa.ListArray.from_arrays(pa.array([0, h.shape[1]], pa.int32()), pairs)
+
+    def batch(ids):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([7, 8, 9]), pa.array([bits] * 3), pa.concat_arrays([asked(x) for x in ids])], ["batch_id", "bits", "ids"])
+
+    rows = batch([other, np.hstack([other, held[:, :1]]), held[:, :0]]).slice(1)
+    tracemalloc.start()
+    found = [x for b in id_filters._probe(iter([batch([other, held[:, -1:], held[:, :0]]), rows])) for x in b.column(0).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [8, 8]
+    assert peak < 5 << 20  # 9.7 MB with an object of each id, 2.7 without

@@ -80,7 +80,7 @@ def ingest_scored_jsonl(spark, d):
                              "fraud_score": "1D - fraud_score AS fraud_score"}.get(x, x) for x in ev.columns])
     events.write_scored_events(ev.where("crc32(event_id) % 2 = 0"), src)
     junk = ev.selectExpr("substring(to_json(transaction), 1, 40) AS value", f"{c.hour_dt('scored_at_us')} AS dt",
-                         f"{c.hour_hr('scored_at_us')} AS hr")
+                         f"{c.hour_hr('scored_at_us')} AS hr").repartitionByRange("dt", "hr", "value")
     junk.write.mode("append").partitionBy("dt", "hr").text(src)
     ingest_scored_events(spark, src, out)
     events.write_scored_events(ev.unionByName(again), src)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,8 @@ def to_lines(events: DataFrame) -> DataFrame:
 def parse_scored_events(lines: DataFrame, column: str = "value") -> DataFrame:
     """Typed events from text lines; malformed lines and lines without an id are skipped."""
     doc = F.from_json(F.col(column), SCORED_EVENT, {"mode": "PERMISSIVE"})
-    return lines.select(doc.alias("e")).where("e.event_id IS NOT NULL").select("e.*")
+    # A generator, as a filter would move below a projection and parse each line a second time.
+    return lines.select(F.inline(F.array(doc))).where("event_id IS NOT NULL")
 
 
 def first_writes(events: DataFrame) -> DataFrame:
@@ -85,11 +87,13 @@ def write_scored_events(events: DataFrame, path: str) -> None:
     """Append events as JSON lines below ``dt=/hr=``.
 
     Rows are range-partitioned by time, so an hour is written by few tasks and a busy hour
-    by several.  Files are gzipped, as lines mostly repeat the names of their fields.  Spark's
+    by several.  Files are gzipped, as lines mostly repeat the names of their fields; level three takes
+    less than half the time of the default, six, for files that are a fifth larger.  Spark's
     commit protocol leaves ``_SUCCESS`` at the root; hours are closed one by one with ``close_hours``.
     """
     parted = with_hour_partition(events).repartitionByRange("dt", "hr", "scored_at_us", "event_id")
-    parted.write.mode("append").partitionBy("dt", "hr").option("compression", "gzip").json(path)
+    packed = parted.write.mode("append").partitionBy("dt", "hr").option("compression", "gzip")
+    packed.option("zlib.compress.level", "THREE").json(path)
 
 
 def hour_folders(spark: SparkSession, path: str) -> dict[tuple[str, str], bool]:
@@ -114,9 +118,13 @@ def close_hours(spark: SparkSession, path: str, before: tuple[str, str] | None =
     """
     hours = hour_folders(spark, path)
     todo = [hour for hour, closed in hours.items() if not closed and (before is None or hour < before)]
-    for dt, hr in todo:
-        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt={dt}/hr={hr}/_SUCCESS")
+
+    def close(hour: tuple[str, str]) -> None:
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dt={hour[0]}/hr={hour[1]}/_SUCCESS")
         marker.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(marker)
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(close, todo))
     return len(todo)
 
 

@@ -8,16 +8,19 @@ shrinks gives nothing until it has grown past what was taken.
 
 Folders are listed and files are opened with Arrow's file systems (local or mounted folders, S3, GCS, HDFS), in tasks by
 ranges of ``RANGE`` bytes: a line belongs to the range in which it begins. Gzipped files (``.gz``) are whole when they
-appear, or grow by whole gzip members: what is new in one is one range, unpacked as a stream.
+appear, or grow by whole gzip members: what is new in one is one range, unpacked as a stream. A task reads one range, or
+several small ones, so the tasks follow the bytes and not the files.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -26,6 +29,10 @@ RANGE = 64 << 20
 BLOCK = 1 << 20
 MARKER = "_SUCCESS"
 PACKED = ".gz"
+OPENING = 64 << 10  # bytes that could be read while a file is opened
+UNPACKED = 8  # bytes of text that a gzipped byte is taken for
+THREADS = 16  # that list folders and look at file ends
+TASKS = 32
 
 
 @dataclass
@@ -37,6 +44,25 @@ class ByteRange(InputPartition):
     end: int
     stop: int
     first: bool  # whether a line begins at ``begin``
+    more: list[ByteRange] = field(default_factory=list)  # ranges that the same task reads after this one
+
+    @property
+    def cost(self) -> int:
+        return OPENING + (self.end - self.begin) * (UNPACKED if self.file.endswith(PACKED) else 1)
+
+
+def dealt(ranges: list[ByteRange], tasks: int) -> list[ByteRange]:
+    """The ranges by task, in their order: small ones go together up to ``RANGE`` bytes, as long as that leaves ``tasks``."""
+    most = min(RANGE, max(BLOCK, sum(r.cost for r in ranges) // tasks))
+    out, held = [], 0
+    for r in ranges:
+        if out and held + r.cost <= most:
+            out[-1].more.append(r)
+            held += r.cost
+        else:
+            out.append(r)
+            held = r.cost
+    return out
 
 
 def last_line_end(files: fs.FileSystem, path: str, size: int) -> int:
@@ -52,7 +78,7 @@ def last_line_end(files: fs.FileSystem, path: str, size: int) -> int:
     return 0
 
 
-def lines_of(files: fs.FileSystem, part: ByteRange) -> Iterator[list[bytes]]:
+def lines_of(files: fs.FileSystem, part: ByteRange) -> Iterator[bytes]:
     """The lines of a range, some at a time; an unfinished last one only where the file is complete."""
     with files.open_input_file(part.file) as f:
         at, rest = part.begin, b""
@@ -72,17 +98,30 @@ def lines_of(files: fs.FileSystem, part: ByteRange) -> Iterator[list[bytes]]:
             if not block:
                 break
             at += len(block)
-            *lines, rest = (rest + block).split(b"\n")
-            out = []
-            for line in lines:
-                if begin >= part.end:
-                    break
-                out.append(line)
-                begin += len(line) + 1
-            if out:
-                yield out
+            lines, rest = cut(rest, block)
+            if begin + len(lines) > part.end:  # the last line to take holds the last byte of the range
+                lines = lines[:lines.find(b"\n", part.end - 1 - begin) + 1]
+                begin = part.end
+            begin += len(lines)
+            if lines:
+                yield lines
         if rest and begin < part.end and at >= part.stop:
-            yield [rest]
+            yield rest
+
+
+def cut(rest: bytes, block: bytes) -> tuple[bytes, bytes]:
+    """What was left over and the block after it, cut behind the last line end."""
+    end = block.rfind(b"\n") + 1
+    return (rest + block[:end], block[end:]) if end else (b"", rest + block)
+
+
+def values(lines: bytes) -> pa.Array:
+    """Each line without its end, as text."""
+    found = pc.split_pattern(pa.array([lines.removesuffix(b"\n")], pa.binary()), b"\n").flatten()
+    try:
+        return found.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are not UTF-8
+        return pa.array([line.decode("utf-8", "replace") for line in found.to_pylist()], pa.string())
 
 
 def unpacked(f: pa.NativeFile, part: ByteRange) -> Iterator[bytes]:
@@ -104,21 +143,22 @@ def unpacked(f: pa.NativeFile, part: ByteRange) -> Iterator[bytes]:
             raise ValueError(f"{part.file} ends inside a gzip member")
 
 
-def packed_lines_of(files: fs.FileSystem, part: ByteRange) -> Iterator[list[bytes]]:
+def packed_lines_of(files: fs.FileSystem, part: ByteRange) -> Iterator[bytes]:
     """The lines of a range of gzip members, some at a time."""
     with files.open_input_file(part.file) as f:
         rest = b""
         for block in unpacked(f, part):
-            *lines, rest = (rest + block).split(b"\n")
+            lines, rest = cut(rest, block)
             if lines:
                 yield lines
         if rest:
-            yield [rest]
+            yield rest
 
 
 class GrownLinesReader(DataSourceStreamReader):
-    def __init__(self, path: str):
+    def __init__(self, path: str, tasks: int = TASKS):
         self.files, self.root = fs.FileSystem.from_uri(path)
+        self.tasks = tasks
 
     def _folders(self, path: str) -> list[fs.FileInfo]:
         return self.files.get_file_info(fs.FileSelector(path, allow_not_found=True))
@@ -126,8 +166,9 @@ class GrownLinesReader(DataSourceStreamReader):
     def hours(self) -> dict[str, list[fs.FileInfo]]:
         """What each ``dt=/hr=`` folder holds, oldest first."""
         days = sorted(d.path for d in self._folders(self.root) if d.base_name.startswith("dt="))
-        found = [h for day in days for h in self._folders(day) if h.base_name.startswith("hr=")]
-        return {h.path[len(self.root.rstrip("/")) + 1:]: self._folders(h.path) for h in sorted(found, key=lambda h: h.path)}
+        with ThreadPoolExecutor(THREADS) as pool:
+            found = sorted(h.path for day in pool.map(self._folders, days) for h in day if h.base_name.startswith("hr="))
+            return {h[len(self.root.rstrip("/")) + 1:]: held for h, held in zip(found, pool.map(self._folders, found), strict=True)}
 
     @staticmethod
     def _data(hour: list[fs.FileInfo]) -> list[fs.FileInfo]:
@@ -137,16 +178,18 @@ class GrownLinesReader(DataSourceStreamReader):
         return {"through": "", "files": {}}
 
     def latestOffset(self) -> dict:
-        through, files, unbroken = "", {}, True
-        for hour, found in self.hours().items():
-            unbroken = unbroken and any(f.base_name == MARKER for f in found)
+        through, found, unbroken = "", {}, True
+        for hour, held in self.hours().items():
+            unbroken = unbroken and any(f.base_name == MARKER for f in held)
             if unbroken:
                 through = hour
-                continue
-            for f in self._data(found):
-                whole = f.base_name.endswith(PACKED)
-                files[f"{hour}/{f.base_name}"] = f.size if whole else last_line_end(self.files, f.path, f.size)
-        return {"through": through, "files": files}
+            else:
+                found |= {f"{hour}/{f.base_name}": f for f in self._data(held)}
+        with ThreadPoolExecutor(THREADS) as pool:
+            return {"through": through, "files": dict(zip(found, pool.map(self._taken, found.values()), strict=True))}
+
+    def _taken(self, f: fs.FileInfo) -> int:
+        return f.size if f.base_name.endswith(PACKED) else last_line_end(self.files, f.path, f.size)
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         upto = dict(end["files"])
@@ -160,13 +203,13 @@ class GrownLinesReader(DataSourceStreamReader):
             step = max(1, stop - begin) if name.endswith(PACKED) else RANGE
             for at in range(begin, stop, step):
                 out.append(ByteRange(f"{self.root.rstrip('/')}/{name}", at, min(at + step, stop), stop, at == begin))
-        return out
+        return dealt(out, self.tasks)
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        found = packed_lines_of if partition.file.endswith(PACKED) else lines_of
-        for lines in found(self.files, partition):
-            text = [line.decode("utf-8", "replace") for line in lines]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["value"])
+        for part in (partition, *partition.more):
+            found = packed_lines_of if part.file.endswith(PACKED) else lines_of
+            for lines in found(self.files, part):
+                yield pa.RecordBatch.from_arrays([values(lines)], ["value"])
 
 
 class GrownLines(DataSource):
@@ -180,10 +223,10 @@ class GrownLines(DataSource):
         return "value string"
 
     def streamReader(self, schema) -> GrownLinesReader:
-        return GrownLinesReader(self.options["path"])
+        return GrownLinesReader(self.options["path"], int(self.options.get("tasks", TASKS)))
 
 
 def grown_lines(spark: SparkSession, path: str):
-    """The stream of complete lines below ``path``."""
+    """The stream of complete lines below ``path``; a load is dealt to some tasks per core where it has the bytes."""
     spark.dataSource.register(GrownLines)
-    return spark.readStream.format("grown_lines").load(path)
+    return spark.readStream.format("grown_lines").option("tasks", 4 * spark.sparkContext.defaultParallelism).load(path)

@@ -11,12 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 256
 BITS = 32
 PROBES = 11
+PIECE = 10_000  # ids that are probed at once
 FILTER = "bucket int, bits binary"
 
 
@@ -37,15 +39,25 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
 
 
-def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _holds_any(bits: bytes, h1: np.ndarray, h2: np.ndarray) -> bool:
+    held = np.frombuffer(bits, np.uint8)
+    for at in range(0, len(h1), PIECE):
+        places = _places(h1[at:at + PIECE], h2[at:at + PIECE], 8 * len(held))
+        # as ``np.packbits`` lays them out, the highest bit of a byte first
+        if (held[places >> np.uint64(3)] >> (np.uint64(7) - places & np.uint64(7)).astype(np.uint8) & 1).all(axis=1).any():
+            return True
+    return False
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        hits = []
-        for batch_id, bits, ids in zip(rows["batch_id"], rows["bits"], rows["ids"], strict=True):
-            held = np.unpackbits(np.frombuffer(bits, np.uint8))
-            h1, h2 = (np.array([x[k] for x in ids], np.int64) for k in ("h1", "h2"))
-            if held[_places(h1, h2, len(held))].all(axis=1).any():
-                hits.append(batch_id)
-        yield pd.DataFrame({"batch_id": pd.Series(sorted(set(hits)), dtype="int64")})
+        hits, ids = set(), rows.column("ids")
+        ends, h1, h2 = (np.asarray(x) for x in (ids.offsets, ids.values.field("h1"), ids.values.field("h2")))
+        for k, (batch_id, bits) in enumerate(zip(rows.column("batch_id").to_pylist(), rows.column("bits"), strict=True)):
+            one = slice(ends[k], ends[k + 1])
+            if batch_id not in hits and _holds_any(bits.as_buffer(), h1[one], h2[one]):
+                hits.add(batch_id)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(hits), pa.int64())], ["batch_id"])
 
 
 def filters_of(ids: DataFrame) -> DataFrame:
@@ -57,4 +69,4 @@ def suspects(ids: DataFrame, filters: DataFrame) -> set[int]:
     """Numbers of the batches that may hold any of ``ids``; ``filters`` has ``batch_id, bucket, bits``."""
     asked = _hashed(ids).groupBy("bucket").agg(F.collect_set(F.struct("h1", "h2")).alias("ids"))
     met = filters.join(asked, "bucket").select("batch_id", "bits", "ids")
-    return {r["batch_id"] for r in met.mapInPandas(_probe, "batch_id long").distinct().collect()}
+    return {r["batch_id"] for r in met.mapInArrow(_probe, "batch_id long").distinct().collect()}

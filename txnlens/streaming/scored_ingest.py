@@ -37,12 +37,14 @@ def batches_to_open(spark: SparkSession, out: str, fresh: DataFrame, batch_id: i
 def _load_batch(out: str):
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = stored(first_writes(parse_scored_events(batch)), "fresh-events")
+        fresh = first_writes(parse_scored_events(batch))
         # The folder of this batch is left out, so a replay writes the same rows again.
-        opened = batches_to_open(spark, out, fresh, batch_id)
-        if opened:
-            known = spark.read.schema("event_id string").parquet(*[f"{out}/batch_id={n}" for n in opened])
-            fresh = fresh.join(known, "event_id", "left_anti")
+        if any(n < batch_id for n in _committed(spark, out)):
+            fresh = stored(fresh, "fresh-events")
+            opened = batches_to_open(spark, out, fresh, batch_id)
+            if opened:
+                known = spark.read.schema("event_id string").parquet(*[f"{out}/batch_id={n}" for n in opened])
+                fresh = fresh.join(known, "event_id", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         written = spark.read.schema("event_id string").parquet(f"{out}/batch_id={batch_id}")
         filters_of(written).write.mode("overwrite").parquet(f"{out}_ids/batch_id={batch_id}")
