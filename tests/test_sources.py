@@ -376,3 +376,14 @@ def test_probing_makes_no_object_of_an_id():
     tracemalloc.stop()
     assert found == [8, 8]
     assert peak < 5 << 20  # 9.7 MB with an object of each id, 2.7 without
+
+
+def test_a_struct_of_the_features_is_taken_whole(spark):
+    rows = inputs.scored_with_features(spark, SF).where("step <= 100")
+    other = rows.selectExpr("* EXCEPT (f)", "struct(f.* EXCEPT (amount), f.amount) AS f")
+    whole, named = (events.to_scored_events(x) for x in (rows, other))
+    plans = [df._jdf.queryExecution().analyzed().toString() for df in (whole, named)]
+    assert [p.count("named_struct(is_first_txn, f#") for p in plans] == [0, 1]
+    assert whole.schema == named.schema and sorted(map(str, whole.collect())) == sorted(map(str, named.collect()))
+    gone = events.to_scored_events(rows.selectExpr("* EXCEPT (f)", "if(step < 0, f, NULL) AS f"))
+    assert gone.where("features IS NULL").isEmpty() and not gone.isEmpty()
